@@ -10,22 +10,25 @@ from pyspark.sql import functions as F
 LABEL_NAMES = ("Real", "Fake")
 
 
-def cast_label(label: Column, names: Sequence[str] = LABEL_NAMES) -> Column:
+def cast_label(
+    label: Column, names: Sequence[str] = LABEL_NAMES, integral: bool = False
+) -> Column:
     """Label as the class index; a name, an index or an index in text is accepted.
 
     Anything else fails the query, NULL stays NULL. Which classes occur in the data
-    does not matter.
+    does not matter. ``integral`` is a promise that the column holds whole numbers.
     """
-    text = label.cast("string")
-    known = F.array(*[F.lit(n) for n in names])
-    by_name = F.array_position(known, text) - 1
-    index = F.when(by_name >= 0, by_name).otherwise(text.try_cast("bigint"))
-    message = F.concat(F.lit("not a class label: "), text)
-    return (
-        F.when(label.isNull(), F.lit(None).cast("int"))
-        .when(index.between(0, len(names) - 1), index.cast("int"))
-        .otherwise(F.raise_error(message).cast("int"))
-    )
+    if integral:
+        index = label
+    else:
+        known = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])
+        text = label.cast("string")
+        index = F.coalesce(F.try_element_at(known, text), text.try_cast("int"))
+    message = F.concat(F.lit("not a class label: "), label.cast("string"))
+    return F.when(
+        label.isNull() | F.coalesce(index.between(0, len(names) - 1), F.lit(False)),
+        index.cast("int"),
+    ).otherwise(F.raise_error(message).cast("int"))
 
 
 def label_metadata(names: Sequence[str] = LABEL_NAMES) -> dict:

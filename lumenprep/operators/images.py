@@ -71,18 +71,18 @@ def _image_views(images: pa.StructArray) -> list:
 # --- single operators ------------------------------------------------------------------
 
 
-@F.arrow_udf("double")
-def _blur_udf(height: pa.Array, width: pa.Array, channels: pa.Array, data: pa.Array) -> pa.Array:
-    images = _views(height, width, channels, data)
-    out = np.full(len(images), np.nan)
-    for rows, stack in _by_shape(images, range(len(images))):
-        out[rows] = pixels.laplacian_variance(stack)
-    return pa.array(out, mask=np.array([x is None for x in images], bool))
-
-
 def blur_estimate(image: Column) -> Column:
     """Variance of the Laplacian of an image: high where it is sharp, NULL without image."""
-    return _blur_udf(image["height"], image["width"], image["nChannels"], image["data"])
+
+    @F.arrow_udf("double")
+    def run(height: pa.Array, width: pa.Array, channels: pa.Array, data: pa.Array) -> pa.Array:
+        images = _views(height, width, channels, data)
+        out = np.full(len(images), np.nan)
+        for rows, stack in _by_shape(images, range(len(images))):
+            out[rows] = pixels.laplacian_variance(stack)
+        return pa.array(out, mask=np.array([x is None for x in images], bool))
+
+    return run(image["height"], image["width"], image["nChannels"], image["data"])
 
 
 def _stackwise(images: pa.StructArray, kernel) -> pa.StructArray:
@@ -94,10 +94,14 @@ def _stackwise(images: pa.StructArray, kernel) -> pa.StructArray:
     return _pack(out, _fields(images)[0])
 
 
-@F.arrow_udf(IMAGE)
-def to_rgb(images: pa.Array) -> pa.Array:
+def to_rgb(image: Column) -> Column:
     """Image with three channels: gray repeated, alpha dropped."""
-    return _stackwise(images, lambda stack, rows: pixels.three_channels(stack))
+
+    @F.arrow_udf(IMAGE)
+    def run(images: pa.Array) -> pa.Array:
+        return _stackwise(images, lambda stack, rows: pixels.three_channels(stack))
+
+    return run(image)
 
 
 def gaussian_blur(image: Column, sigma: float) -> Column:

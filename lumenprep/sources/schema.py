@@ -40,7 +40,9 @@ def _field(df: DataFrame, field: T.StructField) -> Column:
     if field.name not in df.columns:
         return F.lit(None).cast(field.dataType).alias(field.name)
     if field.name == "label":
-        return cast_label(F.col("label")).alias("label", metadata=label_metadata(LABEL_NAMES))
+        integral = isinstance(df.schema["label"].dataType, T.IntegralType)
+        index = cast_label(F.col("label"), integral=integral)
+        return index.alias("label", metadata=label_metadata(LABEL_NAMES))
     return F.col(field.name).cast(field.dataType).alias(field.name)
 
 
