@@ -40,7 +40,7 @@ def strip(text: Column) -> Column:
 
 def vocabulary(text: DataFrame, column: str) -> DataFrame:
     """``id`` and ``token`` of every word in a text column, for the default word ids."""
-    tokens = text.select(F.explode(words(F.col(column))).alias("token"))
+    tokens = text.select(F.explode(words(F.col(column))).alias("token")).distinct()
     return tokens.groupBy(word_id(F.col("token")).alias("id")).agg(F.min("token").alias("token"))
 
 

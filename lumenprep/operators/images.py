@@ -50,7 +50,7 @@ def _pack(images: list, origin: pa.Array) -> pa.StructArray:
     h, w, c = (pa.array([s[i] for s in shape], pa.int32()) for i in range(3))
     mode = pa.array([None if s[2] is None else MODES[s[2]] for s in shape], pa.int32())
     data = pa.array([None if x is None else x.tobytes() for x in images], pa.binary())
-    missing = pa.array([x is None for x in images])
+    missing = pa.array([x is None for x in images], pa.bool_())
     return pa.StructArray.from_arrays(
         [origin.cast(pa.string()), h, w, c, mode, data],
         names=["origin", "height", "width", "nChannels", "mode", "data"],

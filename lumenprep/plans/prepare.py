@@ -13,6 +13,7 @@ from lumenprep.operators.images import degrade, needs_degradation
 from lumenprep.operators.index import global_index
 from lumenprep.operators.mix import SHUFFLE_SALT, round_robin_position
 from lumenprep.operators.split import stratified_split
+from lumenprep.operators.staging import stage
 from lumenprep.plans.spec import JobSpec
 from lumenprep.sources.load import load_dataset
 from lumenprep.sources.schema import SOURCE_ORDER
@@ -34,29 +35,28 @@ def with_messages(
 
 
 def load_all(spark: SparkSession, job: JobSpec) -> DataFrame:
-    """All datasets in the signature; fractions held out, named eval splits as they are."""
+    """All datasets in the signature: train splits, and eval splits where named."""
     if len({d.image_type for d in job.datasets}) > 1:
         raise ValueError("all datasets of a job need the same image type")
     loaded = [load_dataset(spark, d, i) for i, d in enumerate(job.datasets)]
-    rows = reduce(DataFrame.unionByName, loaded)
-    fractions = {d.name: d.eval_split for d in job.datasets if isinstance(d.eval_split, float)}
-    if fractions:
-        rows = stratified_split_train(rows, fractions, job.seed)
-    return rows
+    return reduce(DataFrame.unionByName, loaded)
 
 
-def stratified_split_train(rows: DataFrame, fractions: dict[str, float], seed: int) -> DataFrame:
-    """Hold out a fraction of each named dataset.
+def hold_out(keys: DataFrame, job: JobSpec) -> DataFrame:
+    """Hold out the fraction of each dataset that has one.
 
     Those have no named eval split, so all their rows are still train rows.
     """
-    tagged = stratified_split(rows, fractions, "example_id", seed, col="_part")
+    fractions = {d.name: d.eval_split for d in job.datasets if isinstance(d.eval_split, float)}
+    if not fractions:
+        return keys
+    tagged = stratified_split(keys, fractions, "example_id", job.seed, col="_part")
     held = F.when(F.col("_part") == "eval", F.lit("eval")).otherwise(F.col("split"))
     return tagged.withColumn("split", held).drop("_part")
 
 
 def positions(rows: DataFrame, job: JobSpec) -> DataFrame:
-    """``example_id`` and ``pos`` of every row, counted from 0 in train and in eval.
+    """``example_id``, ``split`` and ``pos`` of every row, from 0 in train and in eval.
 
     Works on the key columns alone: one range sort by split and then by dataset and
     source order, or by seeded hash for a shuffle.
@@ -85,25 +85,26 @@ def positions(rows: DataFrame, job: JobSpec) -> DataFrame:
             here = round_robin_position(rank, F.col("ds_pos"), sizes)
         pos = F.when(F.col("split") == split, here).otherwise(pos)
         start += sum(sizes)
-    return indexed.select("example_id", pos.alias("pos"))
+    return indexed.select("example_id", "split", pos.alias("pos"))
 
 
 def prepare(spark: SparkSession, job: JobSpec, profile: DataFrame | None = None) -> DataFrame:
     """The training and evaluation rows of a job, in the signature, with their ``pos``.
 
     With a profile of real images the fake images of flagged datasets are degraded
-    towards it. Splits and positions are computed on key columns; the media columns are
-    joined to them once.
+    towards it. The key columns are staged once; splits and positions come from them
+    alone, and one join takes both to the wide rows.
     """
-    rows = with_messages(load_all(spark, job), job.prompt_policy, job.completion_policy)
-    placed = rows.join(positions(rows, job), "example_id")
+    rows = load_all(spark, job)
+    keys = stage(rows.select("example_id", "dataset", "label", "split", "ds_pos", *SOURCE_ORDER), "keys")
+    places = positions(hold_out(keys, job), job)
     if job.num_total_samples is not None:
-        placed = placed.where(
-            (F.col("split") == "eval") | (F.col("pos") < F.lit(job.num_total_samples))
-        )
+        in_budget = (F.col("split") == "eval") | (F.col("pos") < F.lit(job.num_total_samples))
+        places = places.where(in_budget)
+    wide = with_messages(rows.drop("split"), job.prompt_policy, job.completion_policy)
+    placed = wide.join(places, "example_id")
     if profile is not None:
         placed = degrade(
             placed, profile, job.degrade, job.seed, needed=needs_degradation(job.degrade_eval)
         )
     return placed
-
