@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lumenprep.functions.template import word_id, words
 from lumenprep.operators.collate import IGNORE
-from lumenprep.operators.staging import stage
+from lumenprep.operators.staging import join_staged, stage
 
 # Vocabularies up to this many entries travel to the tasks.
 BROADCAST_VOCABULARY = 500_000
@@ -58,14 +58,16 @@ def decode_ids(
     """``df`` with the text of ``ids``, special ids left out.
 
     A vocabulary of bounded size goes to the tasks and nothing is shuffled. A larger one
-    is joined to the exploded ids, each row's tokens coming back together by ``key``.
+    is joined to the exploded ids, frequent ones spread over tasks, and each row's tokens
+    come back together by ``key``.
     """
     vocab = stage(vocab.select(F.col("id").cast("int"), "token"), "vocabulary")
     kept = F.filter(F.col(ids), lambda x: ~x.isin(*special_ids)) if special_ids else F.col(ids)
     if vocab.count() <= broadcast_entries:
         return df.withColumn(col, _lookup_udf(df, vocab, joiner, unknown)(kept))
     exploded = df.select(key, F.posexplode(kept).alias("_pos", "_id"))
-    named = exploded.join(vocab, F.col("_id") == F.col("id"), "left").select(
+    tokens = vocab.withColumnRenamed("id", "_id")
+    named = join_staged(exploded, tokens, ["_id"], "_pos", "left", broadcast_entries).select(
         key, F.struct("_pos", F.coalesce("token", F.lit(unknown)).alias("token")).alias("_item")
     )
     # A list has as many entries as the ids of its row.

@@ -192,7 +192,15 @@ def profile_summary(profile: DataFrame, accuracy: int = 10_000) -> DataFrame:
 # --- degradation -----------------------------------------------------------------------
 
 
-def draw_plan(key: Column, n_profile: Column, params: DegradeParams, seed: int) -> Column:
+def profile_size(profile: DataFrame) -> tuple[int, int]:
+    """Number of resolutions and of blur values; they may differ."""
+    row = profile.agg(F.count("height").alias("sizes"), F.count("blur").alias("blurs")).first()
+    if not row["sizes"] or not row["blurs"]:
+        raise ValueError("the profile of real images is empty")
+    return row["sizes"], row["blurs"]
+
+
+def draw_plan(key: Column, size: tuple[int, int], params: DegradeParams, seed: int) -> Column:
     """All random choices for one image, as a struct that can be stored and audited."""
     p = params.probability
     qualities = params.quality_to - params.quality_from
@@ -201,8 +209,8 @@ def draw_plan(key: Column, n_profile: Column, params: DegradeParams, seed: int)
         gate(key, seed, "blur", p).alias("blur"),
         gate(key, seed, "noise", p).alias("noise"),
         gate(key, seed, "jpeg", p).alias("jpeg"),
-        pick(key, seed, "resolution", n_profile).alias("res_idx"),
-        pick(key, seed, "target_blur", n_profile).alias("blur_idx"),
+        pick(key, seed, "resolution", size[0]).alias("res_idx"),
+        pick(key, seed, "target_blur", size[1]).alias("blur_idx"),
         (pick(key, seed, "quality", qualities) + params.quality_from).cast("int").alias("quality"),
         hash52(key, seed, "noise_seed").alias("noise_seed"),
     )
@@ -213,18 +221,18 @@ def image_key(key: Column, position: Column) -> Column:
 
 
 def plan_rows(
-    df: DataFrame, key: str, n_images: Column, profile: DataFrame, n_profile: int,
-    params: DegradeParams, seed: int,
+    df: DataFrame, key: str, n_images: Column, profile: DataFrame, params: DegradeParams, seed: int
 ) -> DataFrame:
     """One row per image: key, place in the row, choices and the targets they point to.
 
     The targets come by join on the profile's index, which is uniform, so no index is
     hot; a profile of any size works, and a small one is broadcast by its file size.
     """
+    size = profile_size(profile)
     images = df.select(key, F.explode(F.sequence(F.lit(0), n_images - 1)).alias("image_pos"))
     drawn = images.withColumn(
         "plan",
-        draw_plan(image_key(F.col(key), F.col("image_pos")), F.lit(n_profile), params, seed),
+        draw_plan(image_key(F.col(key), F.col("image_pos")), size, params, seed),
     )
     sizes = profile.select(
         F.col("idx").alias("_res"), F.col("height").alias("target_h"), F.col("width").alias("target_w")
@@ -325,22 +333,20 @@ def degrade(
     """
     needed = needs_degradation() if needed is None else needed
     profile = stage(profile.select("idx", "blur", "height", "width"), "profile")
-    n_profile = profile.count()
-    if n_profile == 0:
-        raise ValueError("the profile of real images is empty")
+    size = profile_size(profile)
     marked = df.withColumn("_needed", needed)
-    if n_profile <= broadcast_rows:
+    if max(size) <= broadcast_rows:
         rows = profile.orderBy("idx").toPandas()
         arrays = tuple(rows[c].to_numpy() for c in ("height", "width", "blur"))
         run = _degrade_udf(params, df.sparkSession.sparkContext.broadcast(arrays))
         plans = F.transform(
             F.sequence(F.lit(0), F.size("images") - 1),
-            lambda i: draw_plan(image_key(F.col(key), i), F.lit(n_profile), params, seed),
+            lambda i: draw_plan(image_key(F.col(key), i), size, params, seed),
         )
     else:
         run = _degrade_udf(params, None)
         per_image = plan_rows(
-            marked.where("_needed"), key, F.size("images"), profile, n_profile, params, seed
+            marked.where("_needed"), key, F.size("images"), profile, params, seed
         )
         # One list per row of images, as long as the list of images of that row.
         item = F.struct("image_pos", "plan.*", "target_h", "target_w", "target_blur")

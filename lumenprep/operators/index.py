@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenprep.functions.draws import HASH_BITS, hash52
-from lumenprep.operators.staging import stage
+from lumenprep.operators.staging import join_staged, stage
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row within a partition in these bits
 
@@ -54,15 +54,13 @@ def rank_within(
 ) -> DataFrame:
     """1-based rank of each row inside its group, for groups of any size.
 
-    A group of any size is spread over range partitions. The start of each group is
-    staged, so the join to it is broadcast only when that table is small.
+    A large group is spread over range partitions, and its rows meet the start of the
+    group in a join that a hot group does not slow down.
     """
     indexed = stage(global_index(df, [group, *order_by], "_idx"), "rank")
-    starts = stage(
-        indexed.groupBy(F.col(group).alias("_group")).agg(F.min("_idx").alias("_start")), "starts"
-    )
+    starts = stage(indexed.groupBy(group).agg(F.min("_idx").alias("_start")), "starts")
     return (
-        indexed.join(starts, F.col(group).eqNullSafe(F.col("_group")))
+        join_staged(indexed, starts, [group], spread="_idx")
         .withColumn(col, F.col("_idx") - F.col("_start") + 1)
         .select(*df.columns, col)
     )

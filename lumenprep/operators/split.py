@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenprep.functions.draws import hash52, u01
 from lumenprep.operators.index import hash_bucket
-from lumenprep.operators.staging import stage
+from lumenprep.operators.staging import join_staged, stage
 
 SPLIT_SALT = "split"
 
@@ -36,8 +36,8 @@ def mark_smallest(
     ``quotas`` turns group sizes (``groups``, ``n``) into ``groups``, ``k``. A histogram
     of hash buckets tells in which bucket the k-th smallest hash lies; only that bucket
     is sorted. Each group then has one threshold (hash, key), and marking is a
-    comparison, so wide rows are neither shuffled nor sorted when the thresholds are
-    small enough to broadcast, and no group is ever gathered in one task.
+    comparison, so wide rows are neither shuffled nor sorted while the thresholds are
+    few enough to broadcast, and no group is ever gathered in one task.
     """
     narrow = df.select(
         *groups, F.col(key).alias("_key"), hash52(F.col(key), seed, salt).alias("_h")
@@ -65,7 +65,7 @@ def mark_smallest(
     h = hash52(F.col(key), seed, salt)
     below = (h < F.col("_cut_h")) | ((h == F.col("_cut_h")) & (F.col(key) <= F.col("_cut_key")))
     return (
-        _join_groups(df, cuts, groups, "left")
+        join_staged(df, cuts, groups, spread=key, how="left")
         .withColumn(col, F.coalesce(below, F.lit(False)))
         .select(*df.columns, col)
     )

@@ -10,7 +10,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Staged tables up to this many rows are broadcast.
+BROADCAST_ROWS = 200_000
+SALTS = 16
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -47,6 +55,33 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_staged(
+    left: DataFrame,
+    staged: DataFrame,
+    on: Sequence[str],
+    spread: str,
+    how: str = "inner",
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Join to a staged table with one row per key, on keys that may be hot in ``left``.
+
+    The staged table is counted (from its file footers) and broadcast when small. A larger
+    one is repeated once per salt, and rows of a hot key go to as many tasks as there are
+    salts, by the hash of ``spread``. NULL equals NULL.
+    """
+    right = staged.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in staged.columns])
+    keys = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
+    if staged.count() <= broadcast_rows:
+        right = F.broadcast(right)
+    else:
+        left = left.withColumn("_salt", F.pmod(F.hash(spread), F.lit(SALTS)))
+        salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
+        right = right.withColumn("_r_salt", salts)
+        keys.append(F.col("_salt") == F.col("_r_salt"))
+    joined = left.join(right, reduce(lambda a, b: a & b, keys), how)
+    return joined.drop("_salt", "_r_salt", *[f"_r_{c}" for c in on])
+
+
 def clear_staged(spark: SparkSession) -> bool:
     """Delete what this application has staged; results read from it are gone afterwards."""
     jvm = spark.sparkContext._jvm

@@ -83,6 +83,27 @@ ORACLES["prepared_write"] = f"""{JOB} SELECT split, {INTERLEAVED} AS pos, exampl
   CASE WHEN lang = 'en' THEN CAST(strlen(text) AS BIGINT) ELSE -1 END AS image_bytes,
   CASE WHEN lang <> 'en' THEN CAST({VIDEO_CHARS} AS BIGINT) ELSE -1 END AS video_chars FROM turn"""
 
+ORACLES["prepared_named_eval"] = f"""
+WITH {LABELLED},
+sliced AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i, CAST(count(*) OVER () AS DOUBLE) AS n
+  FROM labelled WHERE lang = 'en' AND quality = 1),
+other AS (
+  SELECT 'others' AS dataset, 'others/train/' || CAST(doc_id AS VARCHAR) AS example_id, doc_id, label
+  FROM labelled WHERE lang <> 'en'),
+{stratified('other', 'example_id', dbl(0.1))},
+allrows AS (
+  SELECT 'train' AS split, 0 AS ds, 0 AS term, 'en/train/' || CAST(doc_id AS VARCHAR) || '@0' AS example_id, doc_id, label
+  FROM sliced WHERE i < round_even(40 * n / 100, 0) UNION ALL
+  SELECT 'train', 0, 1, 'en/train/' || CAST(doc_id AS VARCHAR) || '@1', doc_id, label
+  FROM sliced WHERE i >= round_even(60 * n / 100, 0) UNION ALL
+  SELECT 'eval', 0, 0, 'en/test/' || CAST(doc_id AS VARCHAR), doc_id, label
+  FROM labelled WHERE lang = 'en' AND quality = 0 UNION ALL
+  SELECT split, 1, 0, example_id, doc_id, label FROM tagged),
+turn AS (SELECT *, row_number() OVER (PARTITION BY split, ds ORDER BY term, doc_id) AS rr FROM allrows)
+SELECT split, row_number() OVER (PARTITION BY split ORDER BY rr, ds) - 1 AS pos, example_id,
+  CASE ds WHEN 0 THEN 'en' ELSE 'others' END AS dataset, label, ds = 0 AS degrade_fake FROM turn"""
+
 # --- sources and schema ----------------------------------------------------------------
 
 ORACLES["percent_slice"] = """
@@ -459,6 +480,15 @@ ORACLES["batch_score"] = f"""
 WITH {LABELLED}
 SELECT doc_id, CASE WHEN length(text) > 500 THEN 'Fake' ELSE 'Real' END AS prediction,
   (length(text) > 500) = (label = 1) AS correct FROM labelled"""
+ORACLES["mapped_rows"] = r"""
+SELECT doc_id, upper(lang) AS lang, CAST(length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS BIGINT) AS n_letters
+FROM documents"""
+ORACLES["column_by_position"] = """
+WITH first AS (SELECT o_custkey, min(o_orderkey) AS first_order FROM orders GROUP BY o_custkey),
+l AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) AS i FROM customer
+      WHERE c_custkey IN (SELECT o_custkey FROM first)),
+r AS (SELECT first_order, row_number() OVER (ORDER BY first_order) AS i FROM first)
+SELECT c_custkey, c_name, first_order FROM l JOIN r USING (i)"""
 ORACLES["dataset_report"] = f"""
 WITH {LABELLED}, tagged AS (
   SELECT dataset, label, CASE WHEN {gate('doc_id', 'split', 0.2)} THEN 'eval' ELSE 'train' END AS split FROM labelled)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenprep.functions import draws, labels, messages, sizing, template
 from lumenprep.operators import collate, evaluate, images, index, mix, report, split
+from lumenprep.operators import rows as row_functions
 from lumenprep.operators.staging import stage, staged_path
 from lumenprep.plans.prepare import prepare
 from lumenprep.plans.session import ship_package
@@ -121,6 +122,20 @@ def prepared_write(spark, sf_dir):
     )
 
 
+@query
+def prepared_named_eval(spark, sf_dir):
+    """A slice of one split to train on, another split held out, one dataset more."""
+    rows = labelled(spark, sf_dir).select("doc_id", "text", "label", "quality", "lang")
+    english = {"train": rows.where("lang = 'en' AND quality = 1"), "test": rows.where("lang = 'en' AND quality = 0")}
+    others = {"train": rows.where("lang <> 'en'")}
+    specs = [
+        DatasetSpec("en", frames=english, id_column="doc_id", train_split="train[:40%]+train[60%:]", eval_split="test"),
+        DatasetSpec("others", frames=others, id_column="doc_id", eval_split=0.1, degrade_fake=False),
+    ]
+    job = JobSpec(specs, SEED, mix="interleave")
+    return prepare(spark, job).select("split", "pos", "example_id", "dataset", "label", "degrade_fake")
+
+
 # --- sources and schema ----------------------------------------------------------------
 
 
@@ -407,7 +422,7 @@ def degrade_plan(spark, sf_dir):
     real = gray_images(spark, sf_dir).withColumn("images", F.array("image"))
     profile = stage(images.real_profile(real, "vec_id"), "profile")
     planned = images.plan_rows(
-        table(spark, sf_dir, "labels"), "doc_id", F.lit(2), profile, profile.count(), DegradeParams(), SEED
+        table(spark, sf_dir, "labels"), "doc_id", F.lit(2), profile, DegradeParams(), SEED
     )
     return planned.select(
         "doc_id",
@@ -717,6 +732,29 @@ def batch_score(spark, sf_dir):
     )
 
 
+@query
+def mapped_rows(spark, sf_dir):
+    """A Python function per row that replaces the text by its number of letters."""
+    docs = table(spark, sf_dir, "documents")
+    return row_functions.map_rows(
+        docs,
+        lambda r: {"n_letters": sum(c.isalpha() for c in r["text"]), "lang": r["lang"].upper()},
+        "doc_id bigint, lang string, n_letters bigint",
+        inputs=["doc_id", "lang", "text"],
+        remove_columns=["text"],
+    )
+
+
+@query
+def column_by_position(spark, sf_dir):
+    """Labels beside the customers and orders that stand at the same place."""
+    left = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    right = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    first = right.groupBy("o_custkey").agg(F.min("o_orderkey").alias("first_order"))
+    buyers = left.join(first, left.c_custkey == first.o_custkey, "left_semi")
+    return row_functions.add_column(buyers, first, ["c_custkey"], ["first_order"]).drop("o_custkey")
+
+
 @query
 def dataset_report(spark, sf_dir):
     rows = labelled(spark, sf_dir).select("doc_id", "dataset", "label")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenprep.operators import images, pixels
 from lumenprep.plans.spec import DegradeParams
+from lumenprep.sources import stats
 from lumenprep.sources.schema import IMAGE
 
 RNG = np.random.default_rng(5)
@@ -190,7 +191,7 @@ def test_chain_equals_kernels(pictures, profile):
     """The chain against the kernels called one by one with the stored plan."""
     params = DegradeParams(probability=0.6)
     fakes = pictures.where("label = 1 AND degrade_fake AND split = 'train' AND size(images) > 0")
-    plans = images.plan_rows(fakes, "example_id", F.size("images"), profile, profile.count(), params, 3).collect()
+    plans = images.plan_rows(fakes, "example_id", F.size("images"), profile, params, 3).collect()
     before = {r["example_id"]: r["images"] for r in fakes.collect()}
     after = by_key(images.degrade(pictures, profile, params, 3))
     for row in plans:
@@ -209,7 +210,7 @@ def test_chain_equals_kernels(pictures, profile):
 
 
 def test_gate_rates(spark):
-    plan = images.draw_plan(F.col("id"), F.lit(10), DegradeParams(), 3)
+    plan = images.draw_plan(F.col("id"), (10, 10), DegradeParams(), 3)
     row = spark.range(20_000).select(plan.alias("p")).agg(
         *[F.avg(F.col(f"p.{g}").cast("int")).alias(g) for g in ("resize", "blur", "noise", "jpeg")],
         F.avg((F.col("p.resize") | F.col("p.blur") | F.col("p.noise") | F.col("p.jpeg")).cast("int")).alias("any"),
@@ -242,3 +243,17 @@ def test_noise_column(spark):
     df = spark.createDataFrame([(image_row(np.full((4, 4, 3), 100, np.uint8)), 1)], f"image {IMAGE}, seed bigint")
     got = back(df.select(images.add_noise(F.col("image"), 5, F.col("seed"))).first()[0])
     assert (got == pixels.add_noise(np.full((4, 4, 3), 100, np.uint8), 5, 1)).all()
+
+
+def test_profile_from_arrays_of_different_length(spark, pictures, tmp_path):
+    profile = stats.profile_from_arrays(spark, [1.0, 2.0, 3.0], [(4, 5)])
+    stats.write_profile(profile, str(tmp_path / "profile"))
+    profile = stats.read_profile(spark, str(tmp_path / "profile"))
+    assert images.profile_size(profile) == (1, 3)
+    params = DegradeParams(probability=1.0)
+    fakes = pictures.where("label = 1 AND size(images) > 0")
+    plans = images.plan_rows(fakes, "example_id", F.size("images"), profile, params, 3).collect()
+    assert {(r["target_h"], r["target_w"]) for r in plans} == {(4, 5)}
+    assert {r["target_blur"] for r in plans} == {1.0, 2.0, 3.0}
+    small = by_key(images.degrade(pictures, profile, params, 3))
+    assert small == by_key(images.degrade(pictures, profile, params, 3, broadcast_rows=0))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lumenprep.functions.draws import gate, pick, u01
 from lumenprep.operators import index, mix, split
+from lumenprep.operators.staging import join_staged, stage
 
 SEED = 7
 
@@ -193,3 +194,36 @@ def test_draws(spark):
     assert abs(row["share"] - 0.2) < 0.01
     assert 0 <= row["lo"] and row["hi"] < 1
     assert (row["first"], row["last"]) == (0, 4)
+
+
+@pytest.mark.parametrize("limit", [0, 200_000])
+def test_join_to_a_staged_table(spark, limit):
+    """Salted or broadcast, the join gives the same, NULL keys and a hot key included."""
+    left = spark.range(5000).select(
+        "id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("k")
+    )
+    right = stage(left.groupBy("k").agg(F.max("id").alias("top")).where("k IS NULL OR k <> '1'"), "right")
+    want = {}
+    for r in left.collect():
+        want.setdefault(r["k"], []).append(r["id"])
+    for how in ("inner", "left"):
+        got = join_staged(left, right, ["k"], "id", how, broadcast_rows=limit).collect()
+        assert len(got) == (4999 if how == "inner" else 5000)
+        assert all(r["top"] == (None if r["k"] == "1" else max(want[r["k"]])) for r in got)
+
+
+def test_hot_key_is_spread(spark):
+    """The rows of one hot key reach as many partitions as there are salts allow."""
+    left = spark.range(4000).select("id", F.lit("hot").alias("k"))
+    right = stage(left.groupBy("k").agg(F.max("id").alias("top")), "right")
+    with_off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in with_off}
+    try:
+        for k, v in with_off.items():
+            spark.conf.set(k, v)
+        joined = join_staged(left, right, ["k"], "id", broadcast_rows=0)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 4000 and max(sizes) < 2000

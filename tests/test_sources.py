@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from lumenprep import DatasetSpec, JobSpec, prepare
 from lumenprep.functions.labels import cast_label
+from lumenprep.operators import rows
 from lumenprep.operators.staging import clear_staged, shared_folder, stage
 from lumenprep.plans.spec import DegradeParams, check_eval_split
 from lumenprep.sources import load, media, schema, sinks
@@ -265,3 +266,16 @@ def test_clear_staged(spark):
     stage(spark.range(3), "x")
     assert clear_staged(spark)
     assert not clear_staged(spark)
+
+
+def test_map_rows_and_columns_by_position(spark):
+    df = spark.createDataFrame([(1, "a", 9), (2, "bb", 9), (3, None, 9)], "id int, t string, unused int").repartition(2)
+    out = rows.map_rows(
+        df, lambda r: {"n": len(r["t"] or ""), "t": None}, "id int, n int", inputs=["id", "t"], remove_columns=["t"]
+    )
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 1), (2, 2), (3, 0)]
+    values = spark.createDataFrame([(30, "z"), (10, "x"), (20, "y")], "o int, v string")
+    got = rows.add_column(df.select("id"), values, ["id"], ["o"]).collect()
+    assert sorted((r["id"], r["v"]) for r in got) == [(1, "x"), (2, "y"), (3, "z")]
+    with pytest.raises(ValueError, match="values for"):
+        rows.add_column(df.select("id"), values.where("o > 10"), ["id"], ["o"])
