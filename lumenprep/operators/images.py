@@ -1,5 +1,6 @@
 """Image operators: NumPy kernels over Arrow batches, plans and choices as columns."""
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -18,6 +19,8 @@ from lumenprep.sources.schema import IMAGE
 # Profiles up to this many rows travel to the tasks as three arrays (20 bytes a row).
 BROADCAST_PROFILE_ROWS = 200_000
 
+STACK_BYTES = 1 << 21
+
 MODES = {1: 0, 3: 16, 4: 24}  # OpenCV type codes of 8-bit images, as in Spark's image source
 
 
@@ -36,13 +39,20 @@ def _views(height: pa.Array, width: pa.Array, channels: pa.Array, data: pa.Array
 
 
 def _by_shape(images: list, rows: Sequence[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of equal shape, stacked: small images share one NumPy call."""
+    """Rows of equal shape, stacked: small images share one NumPy call.
+
+    A stack holds at most STACK_BYTES (or one image), so the temporary arrays of a kernel
+    stay small beside the Arrow batch.
+    """
     groups: dict[tuple, list[int]] = {}
     for i in rows:
         if images[i] is not None:
             groups.setdefault(images[i].shape, []).append(i)
-    for members in groups.values():
-        yield np.array(members), np.stack([images[i] for i in members])
+    for shape, members in groups.items():
+        step = max(1, STACK_BYTES // max(1, math.prod(shape)))
+        for start in range(0, len(members), step):
+            part = members[start : start + step]
+            yield np.array(part), np.stack([images[i] for i in part])
 
 
 def _pack(images: list, origin: pa.Array) -> pa.StructArray:

@@ -38,13 +38,18 @@ CHROMA_TABLE = """
 """
 
 
+# Nearest whole number, halves up; the small term keeps exact halves stable in floating point.
+_HALF = 0.5 + 1e-9
+
+
 def round_half_up(x: np.ndarray) -> np.ndarray:
-    """Nearest whole number; the small term keeps exact halves stable in floating point."""
-    return np.floor(x + 0.5 + 1e-9)
+    x = x + _HALF
+    return np.floor(x, out=x)
 
 
 def to_uint8(x: np.ndarray) -> np.ndarray:
-    return np.clip(round_half_up(x), 0, 255).astype(np.uint8)
+    x = round_half_up(x)
+    return np.clip(x, 0, 255, out=x).astype(np.uint8)
 
 
 def three_channels(stack: np.ndarray) -> np.ndarray:
@@ -95,7 +100,8 @@ def resize_taps(n_in: int, n_out: int) -> tuple[np.ndarray, np.ndarray]:
     weight = np.maximum(1.0 - np.abs((position - centre[:, None] + 0.5) / reach), 0.0)
     weight[position >= last[:, None]] = 0.0
     weight /= weight.sum(axis=1, keepdims=True)
-    return np.minimum(position, n_in - 1), np.floor(weight * (1 << RESIZE_BITS) + 0.5)
+    fixed = np.floor(weight * (1 << RESIZE_BITS) + 0.5).astype(np.int32)
+    return np.minimum(position, n_in - 1), fixed
 
 
 def _resample(stack: np.ndarray, axis: int, n_out: int) -> np.ndarray:
@@ -105,9 +111,9 @@ def _resample(stack: np.ndarray, axis: int, n_out: int) -> np.ndarray:
     position, weight = resize_taps(n_in, n_out)
     shape = [1] * stack.ndim
     shape[axis] = n_out
-    total = np.full(stack.shape[:axis] + (n_out,) + stack.shape[axis + 1 :], 1 << (RESIZE_BITS - 1), np.int64)
+    total = np.full(stack.shape[:axis] + (n_out,) + stack.shape[axis + 1 :], 1 << (RESIZE_BITS - 1), np.int32)
     for tap in range(position.shape[1]):
-        total += np.take(stack, position[:, tap], axis=axis) * weight[:, tap].astype(np.int64).reshape(shape)
+        total += np.take(stack, position[:, tap], axis=axis) * weight[:, tap].reshape(shape)
     return np.clip(total >> RESIZE_BITS, 0, 255).astype(np.uint8)
 
 
@@ -121,7 +127,7 @@ def blur_kernel(sigma: float) -> np.ndarray:
     size = int(round(sigma * 6 + 1)) | 1
     x = np.arange(size) - size // 2
     weights = np.exp(-(x**2) / (2.0 * sigma * sigma))
-    fixed = np.floor(weights / weights.sum() * (1 << BLUR_BITS) + 0.5).astype(np.int64)
+    fixed = np.floor(weights / weights.sum() * (1 << BLUR_BITS) + 0.5).astype(np.int32)
     fixed[size // 2] += (1 << BLUR_BITS) - fixed.sum()
     return fixed
 
@@ -129,15 +135,14 @@ def blur_kernel(sigma: float) -> np.ndarray:
 def gaussian_blur(stack: np.ndarray, sigma: float) -> np.ndarray:
     """Separable Gaussian blur with mirrored edges."""
     kernel = blur_kernel(sigma)
-    x = stack.astype(np.int64)
+    x = stack.astype(np.int32)
     for axis in (2, 1):
         padded = x
         for _ in range(len(kernel) // 2):
             padded = _reflect(padded, (axis,))
         n = x.shape[axis]
-        x = sum(
-            k * np.take(padded, np.arange(i, i + n), axis=axis) for i, k in enumerate(kernel)
-        )
+        shifted = (padded[:, :, i : i + n] if axis == 2 else padded[:, i : i + n] for i in range(len(kernel)))
+        x = sum(k * part for k, part in zip(kernel, shifted))
     half = 1 << (2 * BLUR_BITS - 1)
     return ((x + half) >> (2 * BLUR_BITS)).astype(np.uint8)
 
@@ -146,7 +151,8 @@ def add_noise(image: np.ndarray, sigma: int, seed: int, channels: str = "all") -
     """Gaussian noise on one image, saturated."""
     if sigma <= 0:
         return image
-    noise = np.rint(np.random.Generator(np.random.Philox(seed)).normal(0.0, sigma, image.shape))
+    normal = np.random.default_rng(seed).standard_normal(image.shape, np.float32)
+    noise = np.rint(normal * np.float32(sigma))
     if channels == "first" and image.shape[-1] > 1:
         noise[..., [c for c in range(image.shape[-1]) if c != 2]] = 0  # red only, in BGR order
     return np.clip(image.astype(np.int16) + noise.astype(np.int16), 0, 255).astype(np.uint8)
@@ -168,17 +174,58 @@ def _cosines() -> np.ndarray:
     return basis
 
 
+def _both_axes(blocks: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """``matrix @ block @ matrix.T`` for all 8x8 blocks, as two large products."""
+    for _ in range(2):
+        blocks = (blocks.reshape(-1, 8) @ matrix.T).reshape(-1, 8, 8).transpose(0, 2, 1)
+    return blocks
+
+
 def _quantise_plane(plane: np.ndarray, tables: np.ndarray) -> np.ndarray:
     """Planes (n, h, w), sides multiples of 8, after quantising their 8x8 cosine blocks."""
     n, h, w = plane.shape
     blocks = plane.reshape(n, h // 8, 8, w // 8, 8).transpose(0, 1, 3, 2, 4) - 128.0
-    c = _cosines()
-    steps = (c @ blocks @ c.T) / tables[:, None, None]
-    steps = np.sign(steps) * round_half_up(np.abs(steps)) * tables[:, None, None]
-    back = to_uint8(c.T @ steps @ c + 128.0)
+    steps = _both_axes(blocks, _cosines()).reshape(n, -1, 8, 8)
+    tables = tables[:, None]
+    steps /= tables
+    steps = np.copysign(round_half_up(np.abs(steps)), steps)
+    steps *= tables
+    back = to_uint8(_both_axes(steps, _cosines().T) + 128.0).reshape(n, h // 8, w // 8, 8, 8)
     return back.transpose(0, 1, 3, 2, 4).reshape(n, h, w)
 
 
+# Colour transform of JPEG files, for red, green and blue, in 16-bit fixed point.
+COLOUR_BITS = 16
+LUMA = (19595, 38470, 7471)
+CHROMA_BLUE = (-11059, -21709, 32768)
+CHROMA_RED = (32768, -27439, -5329)
+RED_FROM_RED = 91881
+GREEN_FROM_BLUE = -22554
+GREEN_FROM_RED = -46802
+BLUE_FROM_BLUE = 116130
+
+
+def to_ycc(stack: np.ndarray) -> list[np.ndarray]:
+    """Luma, blue and red chroma of BGR pixels, as whole numbers in 0..255."""
+    blue, green, red = (stack[..., i].astype(np.int32) for i in range(3))
+    half = 1 << (COLOUR_BITS - 1)
+    centre = (128 << COLOUR_BITS) + half - 1
+    return [
+        (r * red + g * green + b * blue + offset) >> COLOUR_BITS
+        for (r, g, b), offset in ((LUMA, half), (CHROMA_BLUE, centre), (CHROMA_RED, centre))
+    ]
+
+
+def to_bgr(y: np.ndarray, cb: np.ndarray, cr: np.ndarray) -> np.ndarray:
+    y, cb, cr = y.astype(np.int32), cb.astype(np.int32) - 128, cr.astype(np.int32) - 128
+    half = 1 << (COLOUR_BITS - 1)
+    out = np.empty((*y.shape, 3), np.uint8)
+    shifts = (BLUE_FROM_BLUE * cb, GREEN_FROM_BLUE * cb + GREEN_FROM_RED * cr, RED_FROM_RED * cr)
+    for i, shift in enumerate(shifts):
+        out[..., i] = np.clip(y + ((shift + half) >> COLOUR_BITS), 0, 255)
+    return out
+
+
 def _halve(plane: np.ndarray) -> np.ndarray:
     """Mean of 2x2 pixels; halves go down and up in alternate columns."""
     p = plane.astype(np.int32)
@@ -210,12 +257,8 @@ def recompress(stack: np.ndarray, quality: np.ndarray) -> np.ndarray:
         padded = np.pad(stack[..., 0], ((0, 0), (0, -h % 8), (0, -w % 8)), mode="edge")
         return three_channels(_quantise_plane(padded, luma)[:, :h, :w, None])
     chroma = quantisation_tables(quality, CHROMA_TABLE)
-    padded = np.pad(three_channels(stack), ((0, 0), (0, -h % 16), (0, -w % 16), (0, 0)), mode="edge")
-    b, g, r = (padded[..., i].astype(np.float64) for i in range(3))
-    y = to_uint8(0.299 * r + 0.587 * g + 0.114 * b)
-    cb = to_uint8(-0.168736 * r - 0.331264 * g + 0.5 * b + 128.0)
-    cr = to_uint8(0.5 * r - 0.418688 * g - 0.081312 * b + 128.0)
-    y = _quantise_plane(y, luma).astype(np.float64)
-    cb, cr = (_double(_quantise_plane(_halve(p), chroma)).astype(np.float64) - 128.0 for p in (cb, cr))
-    out = np.stack([y + 1.772 * cb, y - 0.344136 * cb - 0.714136 * cr, y + 1.402 * cr], axis=-1)
-    return to_uint8(out)[:, :h, :w]
+    padded = np.pad(stack[..., :3], ((0, 0), (0, -h % 16), (0, -w % 16), (0, 0)), mode="edge")
+    y, cb, cr = to_ycc(padded)
+    y = _quantise_plane(y, luma)
+    cb, cr = (_double(_quantise_plane(_halve(p), chroma)) for p in (cb, cr))
+    return to_bgr(y, cb, cr)[:, :h, :w]

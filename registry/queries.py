@@ -672,11 +672,11 @@ def decode_ids(spark, sf_dir):
 
 @query
 def decode_documents(spark, sf_dir):
-    """Whole documents to ids and back, by the join that serves a vocabulary of any size."""
+    """Whole documents to ids and back."""
     docs = table(spark, sf_dir, "documents")
     ids = docs.select("doc_id", template.word_ids(F.col("text")).alias("ids"))
     vocab = evaluate.vocabulary(docs, "text")
-    back = evaluate.decode_ids(ids, "doc_id", "ids", vocab, broadcast_entries=0)
+    back = evaluate.decode_ids(ids, "doc_id", "ids", vocab)
     return back.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.md5("text").alias("digest"))
 
 
