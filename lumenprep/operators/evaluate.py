@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,26 +82,22 @@ def decode_ids(
 
 
 def _lookup_udf(df: DataFrame, vocab: DataFrame, joiner: str, unknown: str):
-    entries = vocab.orderBy("id").toPandas()
+    entries = vocab.orderBy("id").toArrow()
     shared = df.sparkSession.sparkContext.broadcast(
-        (entries["id"].to_numpy(np.int64), entries["token"].to_numpy(object))
+        (entries["id"].to_numpy(), entries["token"].combine_chunks())
     )
 
     @F.arrow_udf("string")
     def look_up(ids: pa.Array) -> pa.Array:
         known, tokens = shared.value
-        flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        names = np.full(len(flat), unknown, object)
-        if len(known):
-            place = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-            found = known[place] == flat
-            names[found] = tokens[place[found]]
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        place = np.searchsorted(known, flat).clip(max=max(len(known) - 1, 0))
+        missing = known[place] != flat if len(known) else np.ones(len(flat), bool)
+        names = tokens.take(pa.array(place, mask=missing)).fill_null(unknown)
         ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-        starts = np.concatenate([[0], ends[:-1]]).astype(int)
-        null = ids.is_null().to_pylist()
-        return pa.array(
-            [None if n else joiner.join(names[s:e]) for n, s, e in zip(null, starts, ends)], pa.string()
-        )
+        offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+        lists = pa.ListArray.from_arrays(offsets, names.cast(pa.string()), mask=ids.is_null())
+        return pc.binary_join(lists, joiner)
 
     return look_up
 

@@ -346,7 +346,7 @@ def degrade(
     size = profile_size(profile)
     marked = df.withColumn("_needed", needed)
     if max(size) <= broadcast_rows:
-        rows = profile.orderBy("idx").toPandas()
+        rows = profile.orderBy("idx").toArrow()
         arrays = tuple(rows[c].to_numpy() for c in ("height", "width", "blur"))
         run = _degrade_udf(params, df.sparkSession.sparkContext.broadcast(arrays))
         plans = F.transform(
