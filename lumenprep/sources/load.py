@@ -36,11 +36,10 @@ def read_split(spark: SparkSession, spec: DatasetSpec, split: str) -> DataFrame:
         return with_row_key(raw, F.col(spec.id_column), raw.schema[spec.id_column].dataType, spec, split)
     if spec.format != "parquet" or spec.frames is not None:
         raise ValueError(f"dataset {spec.name} needs an id column")
-    keyed = raw.withColumn("src_file", F.col("_metadata.file_path")).withColumn(
-        "src_row", F.col("_metadata.row_index")
-    )
-    row = F.concat_ws("#", "src_file", F.col("src_row").cast("string"))
-    return keyed.withColumn("example_id", F.concat_ws("/", F.lit(spec.name), F.lit(split), row))
+    file, number = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    row = F.concat_ws("#", file, number.cast("string"))
+    name = F.concat_ws("/", F.lit(spec.name), F.lit(split), row)
+    return raw.withColumns({"example_id": name, "src_file": file, "src_row": number})
 
 
 def with_row_key(
@@ -51,9 +50,7 @@ def with_row_key(
     file = F.lit("") if whole else key.cast("string")
     row = key.cast("bigint") if whole else F.lit(0).cast("bigint")
     name = F.concat_ws("/", F.lit(spec.name), F.lit(split), key.cast("string"))
-    return (
-        raw.withColumn("example_id", name).withColumn("src_file", file).withColumn("src_row", row)
-    )
+    return raw.withColumns({"example_id": name, "src_file": file, "src_row": row})
 
 
 def load_split(spark: SparkSession, spec: DatasetSpec, text: str) -> DataFrame:
@@ -77,10 +74,13 @@ def _mark_terms(rows: DataFrame, n_terms: int) -> DataFrame:
     """Slices keep the order of their list, and a row in two slices counts twice."""
     if n_terms > 1:
         term = F.col("slice_term").cast("string")
-        rows = rows.withColumn("example_id", F.concat_ws("@", "example_id", term)).withColumn(
-            "src_file", F.concat_ws(" ", F.lpad(term, 6, "0"), "src_file")
+        rows = rows.withColumns(
+            {
+                "example_id": F.concat_ws("@", "example_id", term),
+                "src_file": F.concat_ws(" ", F.lpad(term, 6, "0"), "src_file"),
+            }
         )
-    return rows.drop("slice_term")
+    return rows
 
 
 def load_dataset(spark: SparkSession, spec: DatasetSpec, ds_pos: int) -> DataFrame:

@@ -35,27 +35,32 @@ def wrap_image(df: DataFrame) -> DataFrame:
     return df.withColumn("images", F.array("image")).drop("image")
 
 
-def _field(df: DataFrame, field: T.StructField) -> Column:
-    """A column of the signature from what the dataset has: cast, or NULL where missing."""
-    if field.name not in df.columns:
-        return F.lit(None).cast(field.dataType).alias(field.name)
-    if field.name == "label":
-        integral = isinstance(df.schema["label"].dataType, T.IntegralType)
-        index = cast_label(F.col("label"), integral=integral)
-        return index.alias("label", metadata=label_metadata(LABEL_NAMES))
-    return F.col(field.name).cast(field.dataType).alias(field.name)
-
-
 def reconcile(df: DataFrame, constants: dict | None = None, image_type: str = IMAGE) -> DataFrame:
     """``df`` with exactly the columns of the signature.
 
     A single image is wrapped, missing columns are NULL, other columns are dropped, and
     ``constants`` are set for all rows. A value that does not fit its type fails the query.
     """
-    wrapped = wrap_image(df)
-    for name, value in (constants or {}).items():
-        wrapped = wrapped.withColumn(name, F.lit(value))
-    return wrapped.select(*[_field(wrapped, f) for f in signature(image_type).fields])
+    constants = constants or {}
+    df = wrap_image(df)
+    given = {f.name: f.dataType for f in df.schema}
+
+    def column(field: T.StructField) -> Column:
+        if field.name in constants:
+            value = F.lit(constants[field.name])
+        elif field.name not in given:
+            value = F.lit(None)
+        elif field.name == "label":
+            integral = isinstance(given["label"], T.IntegralType)
+            index = cast_label(F.col("label"), integral=integral)
+            return index.alias("label", metadata=label_metadata(LABEL_NAMES))
+        else:
+            value = F.col(field.name)
+            if given[field.name] == field.dataType:
+                return value
+        return value.cast(field.dataType).alias(field.name)
+
+    return df.select(*[column(f) for f in signature(image_type).fields])
 
 
 def is_conversational(schema: T.StructType, column: str = "prompt") -> bool:
