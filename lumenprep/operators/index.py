@@ -49,6 +49,33 @@ def attach_index(
     return df.join(positions, key)
 
 
+def file_offsets(df: DataFrame, file: str = "src_file") -> DataFrame:
+    """Staged ``file``, ``_offset``, ``_n``: rows before each file, and in it.
+
+    For whole files only. The counts come from file footers, and there is one row per
+    file, so the running total over all files is small.
+    """
+    sizes = df.groupBy(file).agg(F.count("*").alias("_n"))
+    before = Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("bigint").alias("_offset")
+    return stage(sizes.select(file, offset, "_n"), "files")
+
+
+def file_index(
+    df: DataFrame, file: str = "src_file", row: str = "src_row", col: str = "idx"
+) -> DataFrame:
+    """``global_index`` of whole files in the order (file, row), without any sort.
+
+    ``row`` is the row number in the file, as Spark's Parquet scan gives it.
+    """
+    offsets = file_offsets(df, file).drop("_n")
+    return (
+        join_staged(df, offsets, [file], spread=row)
+        .withColumn(col, F.col("_offset") + F.col(row))
+        .select(*df.columns, col)
+    )
+
+
 def rank_within(
     df: DataFrame, group: str, order_by: Sequence[str], col: str = "rank"
 ) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from lumenprep.plans.spec import DatasetSpec
 from lumenprep.sources.schema import SOURCE_ORDER, reconcile
-from lumenprep.sources.slices import parse_slices, slice_rows
+from lumenprep.sources.slices import ends_by_files, ends_by_sort, parse_slices, slice_rows
 
 def split_path(spec: DatasetSpec, split: str) -> str:
     """``path/config/split``; without a config ``path/split``."""
@@ -56,14 +56,15 @@ def with_row_key(
 def load_split(spark: SparkSession, spec: DatasetSpec, text: str) -> DataFrame:
     """Rows of ``text``: a split name, or slices of splits joined by ``+``."""
     terms = parse_slices(text)
+    ends = ends_by_sort if spec.id_column else ends_by_files
+
+    def sliced(name: str, piece: str) -> DataFrame:
+        return slice_rows(read_split(spark, spec, name), piece, SOURCE_ORDER, ends=ends)
+
     if len({t.name for t in terms}) == 1:
-        return _mark_terms(
-            slice_rows(read_split(spark, spec, terms[0].name), text, SOURCE_ORDER), len(terms)
-        )
+        return _mark_terms(sliced(terms[0].name, text), len(terms))
     parts = [
-        slice_rows(read_split(spark, spec, term.name), piece, SOURCE_ORDER).withColumn(
-            "slice_term", F.lit(i)
-        )
+        sliced(term.name, piece).withColumn("slice_term", F.lit(i))
         for i, (term, piece) in enumerate(zip(terms, text.split("+")))
     ]
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

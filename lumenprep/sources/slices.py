@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenprep.operators.index import global_index
+from lumenprep.operators.index import file_offsets, global_index
 from lumenprep.operators.staging import stage
 
 _TERM = re.compile(
@@ -66,45 +66,79 @@ def parse_slices(text: str) -> list[Slice]:
     return terms
 
 
-def _not_before(keys: Sequence[str], bound: Sequence) -> Column:
-    """Row key >= bound, compared column by column."""
-    *head, last = zip(keys, bound)
-    condition = F.col(last[0]) >= F.lit(last[1])
-    for name, value in reversed(head):
-        condition = (F.col(name) > F.lit(value)) | ((F.col(name) == F.lit(value)) & condition)
+def _between(keys: Sequence[str], first: Sequence, last: Sequence) -> Column:
+    """Row keys from ``first`` to ``last``, compared column by column.
+
+    The condition on the leading column alone is implied; it is stated because that is
+    what a scan can use to skip files and row groups.
+    """
+    leading = F.col(keys[0]).between(F.lit(first[0]), F.lit(last[0]))
+    if len(keys) == 1:
+        return leading
+    return leading & _beyond(keys, first, Column.__gt__) & _beyond(keys, last, Column.__lt__)
+
+
+def _beyond(keys: Sequence[str], bound: Sequence, compare) -> Column:
+    """Equal to the bound, or on its far side in the first column that differs."""
+    condition = F.lit(True)
+    for name, value in reversed(list(zip(keys, bound))):
+        here, edge = F.col(name), F.lit(value)
+        condition = compare(here, edge) | ((here == edge) & condition)
     return condition
 
 
-def _not_after(keys: Sequence[str], bound: Sequence) -> Column:
-    *head, last = zip(keys, bound)
-    condition = F.col(last[0]) <= F.lit(last[1])
-    for name, value in reversed(head):
-        condition = (F.col(name) < F.lit(value)) | ((F.col(name) == F.lit(value)) & condition)
-    return condition
+def ends_by_sort(df: DataFrame, order_by: Sequence[str]):
+    """Row count of ``df``, and a function from positions to their order keys."""
+    index = stage(global_index(df.select(*order_by), order_by, "_idx"), "slices")
+
+    def keys(wanted: Sequence[int]) -> dict[int, list]:
+        rows = index.where(F.col("_idx").isin(list(wanted))).collect()
+        return {r["_idx"]: [r[c] for c in order_by] for r in rows}
+
+    return index.count(), keys
+
+
+def ends_by_files(df: DataFrame, order_by: Sequence[str]):
+    """The same for whole files ordered by (file, row): from the rows per file alone."""
+    file, _ = order_by
+    offsets = file_offsets(df, file)
+
+    def keys(wanted: Sequence[int]) -> dict[int, list]:
+        found = {}
+        for w in wanted:
+            inside = (F.col("_offset") <= w) & (F.col("_offset") + F.col("_n") > w)
+            hit = offsets.where(inside).first()
+            found[w] = [hit[file], w - hit["_offset"]]
+        return found
+
+    return offsets.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0], keys
 
 
 def slice_rows(
-    df: DataFrame, text: str, order_by: Sequence[str], term_col: str = "slice_term"
+    df: DataFrame,
+    text: str,
+    order_by: Sequence[str],
+    term_col: str = "slice_term",
+    ends=ends_by_sort,
 ) -> DataFrame:
     """Rows of ``df`` in the slices of ``text``, each tagged with its place in the list.
 
-    Only the order columns (unique together, not NULL) are indexed. The keys at the
-    slice ends, two rows per term, then become ordinary range filters on ``df``, which
-    reach the scan; the rows themselves are not shuffled. Overlapping terms repeat rows.
+    The keys (unique, not NULL) at the slice ends, two rows per term, become ordinary range
+    filters on ``df``, which reach the scan; the rows themselves are not shuffled.
+    Overlapping terms repeat rows. ``ends`` finds those keys: by sorting the order columns,
+    or from the sizes of whole files.
     """
     terms = parse_slices(text)
     if all(t.lo is None and t.hi is None for t in terms):
         parts = [df.withColumn(term_col, F.lit(i)) for i in range(len(terms))]
         return reduce(DataFrame.unionByName, parts)
-    index = stage(global_index(df.select(*order_by), order_by, "_idx"), "slices")
-    n = index.count()
+    n, keys_at = ends(df, order_by)
     ranges = [t.bounds(n) for t in terms]
-    ends = sorted({e for lo, hi in ranges if lo < hi for e in (lo, hi - 1)})
-    keys = {r["_idx"]: [r[c] for c in order_by] for r in index.where(F.col("_idx").isin(ends)).collect()}
+    keys = keys_at(sorted({e for lo, hi in ranges if lo < hi for e in (lo, hi - 1)}))
     parts = []
     for i, (lo, hi) in enumerate(ranges):
         if lo < hi:
-            inside = _not_before(order_by, keys[lo]) & _not_after(order_by, keys[hi - 1])
+            inside = _between(order_by, keys[lo], keys[hi - 1])
         else:
             inside = F.lit(False)
         parts.append(df.where(inside).withColumn(term_col, F.lit(i)))

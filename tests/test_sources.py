@@ -5,17 +5,19 @@ from __future__ import annotations
 import base64
 import struct
 import zlib
+from collections.abc import Iterator
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenprep import DatasetSpec, JobSpec, prepare
 from lumenprep.functions.labels import cast_label
-from lumenprep.operators import rows
+from lumenprep.operators import collate, index, rows, split
 from lumenprep.operators.staging import clear_staged, shared_folder, stage
 from lumenprep.plans.spec import DegradeParams, check_eval_split
-from lumenprep.sources import load, media, schema, sinks
+from lumenprep.sources import load, media, schema, sinks, slices
 from lumenprep.sources.slices import parse_slices, slice_rows
 
 
@@ -279,3 +281,56 @@ def test_map_rows_and_columns_by_position(spark):
     assert sorted((r["id"], r["v"]) for r in got) == [(1, "x"), (2, "y"), (3, "z")]
     with pytest.raises(ValueError, match="values for"):
         rows.add_column(df.select("id"), values.where("o > 10"), ["id"], ["o"])
+
+
+def test_slices_of_whole_files_equal_the_sort(spark, tmp_path):
+    """Slice ends from file sizes alone: same rows, and the scan skips the other files."""
+    path = str(tmp_path / "ds" / "train")
+    spark.range(500).withColumn("label", F.lit(0)).repartition(7).write.parquet(path)
+    spec = DatasetSpec("ds", path=str(tmp_path / "ds"))
+    raw = load.read_split(spark, spec, "train")
+    text = "train[:2%]+train[-2%:]+train[100:300]+train[7:7]"
+    order = list(schema.SOURCE_ORDER)
+    by_sort = slice_rows(raw, text, order, ends=slices.ends_by_sort)
+    by_files = slice_rows(raw, text, order, ends=slices.ends_by_files)
+    rows_of = lambda df: sorted((r["slice_term"], r["example_id"]) for r in df.collect())
+    assert rows_of(by_files) == rows_of(by_sort)
+    assert len(rows_of(by_files)) == 10 + 10 + 200
+    indexed = index.file_index(raw).select("example_id", "idx").collect()
+    sorted_ = index.global_index(raw.select("example_id", *order), order).select("example_id", "idx").collect()
+    assert sorted(map(tuple, indexed)) == sorted(map(tuple, sorted_))
+    plan = by_files._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    few = slice_rows(raw, "train[:5]", order, ends=slices.ends_by_files)
+    assert few.count() == 5
+    assert few._jdf.queryExecution().executedPlan().toString().count("file_path") > 0
+
+
+def test_tokenizer_with_its_own_model(spark):
+    """A vectorised function that loads its model once per worker serves as tokenizer."""
+
+    def load_model():
+        return {"a": 5}
+
+    @F.pandas_udf("array<int>")
+    def tokens(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load_model()
+        for part in parts:
+            yield part.map(lambda t: [model.get(w, 0) for w in t.split()])
+
+    df = spark.createDataFrame([("a b a",)], "text string")
+    assert list(collate.tokenise(df, {"text": "ids"}, tokens).first()["ids"]) == [5, 0, 5]
+
+
+def test_hash_split_on_a_stream(spark, tmp_path):
+    path = str(tmp_path / "in")
+    spark.range(1000).write.parquet(path)
+    stream = split.approximate_hash_split(spark.readStream.schema("id bigint").parquet(path), 0.2, "id", 3)
+    out = str(tmp_path / "out")
+    stream.writeStream.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(
+        out, format="parquet"
+    ).awaitTermination()
+    got = spark.read.parquet(out)
+    batch = split.approximate_hash_split(spark.range(1000), 0.2, "id", 3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
+    assert abs(got.where("split = 'eval'").count() - 200) < 50
