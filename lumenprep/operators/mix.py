@@ -86,9 +86,9 @@ def interleave(
     )
 
 
-def shuffle(df: DataFrame, key: str, seed: int, col: str = "pos") -> DataFrame:
-    """Seeded shuffle: position of each row in the order of its hash."""
-    return hash_index(df, key, seed, SHUFFLE_SALT, col)
+def shuffle(df: DataFrame, key: str, seed: int, col: str = "pos", bits: int = 12) -> DataFrame:
+    """Seeded shuffle: position of each row in the order of its hash, by 2^bits buckets."""
+    return hash_index(df, key, seed, SHUFFLE_SALT, col, bits)
 
 
 def sample_budget(df: DataFrame, n: int, pos: str = "pos") -> DataFrame:

@@ -31,17 +31,22 @@ def mark_smallest(
     col: str,
     bits: int = 12,
 ) -> DataFrame:
-    """Mark exactly the ``k`` rows with the smallest hash in each group.
-
-    ``quotas`` turns group sizes (``groups``, ``n``) into ``groups``, ``k``. A histogram
-    of hash buckets tells in which bucket the k-th smallest hash lies; only that bucket
-    is sorted. Each group then has one threshold (hash, key), and marking is a
-    comparison, so wide rows are neither shuffled nor sorted while the thresholds are
-    few enough to broadcast, and no group is ever gathered in one task.
+    """Mark exactly the ``k`` rows with the smallest hash in each group, or of all rows.
+
+    ``quotas`` adds ``k`` to group sizes (``groups``, ``n``). A histogram of hash buckets
+    tells in which bucket the k-th smallest hash lies; only that bucket is sorted. Each
+    group then has one threshold (hash, key), and marking is a comparison, so wide rows are
+    neither shuffled nor sorted while the thresholds are few enough to broadcast, and no
+    group is ever gathered in one task. There are 2^bits buckets: more of them make the
+    sorted one smaller, at 2^bits histogram rows per group.
     """
-    narrow = df.select(
-        *groups, F.col(key).alias("_key"), hash52(F.col(key), seed, salt).alias("_h")
-    ).withColumn("_bucket", hash_bucket(F.col("_h"), bits))
+    ungrouped = not groups
+    if ungrouped:
+        groups = ["_all"]
+    h = hash52(F.col(key), seed, salt)
+    narrow = (df.withColumn("_all", F.lit(0)) if ungrouped else df).select(
+        *groups, F.col(key).alias("_key"), h.alias("_h"), hash_bucket(h, bits).alias("_bucket")
+    )
     histogram = stage(narrow.groupBy(*groups, "_bucket").agg(F.count("*").alias("_c")), "histogram")
     totals = histogram.groupBy(*groups).agg(F.sum("_c").alias("n"))
     quota = quotas(totals).where("k > 0").select(*groups, "k")
@@ -62,11 +67,17 @@ def mark_smallest(
         .select(*groups, F.col("_h").alias("_cut_h"), F.col("_key").alias("_cut_key")),
         "cuts",
     )
-    h = hash52(F.col(key), seed, salt)
-    below = (h < F.col("_cut_h")) | ((h == F.col("_cut_h")) & (F.col(key) <= F.col("_cut_key")))
+
+    def below(cut_h: Column, cut_key: Column) -> Column:
+        return (h < cut_h) | ((h == cut_h) & (F.col(key) <= cut_key))
+
+    if ungrouped:
+        cut = cuts.first()
+        marked = F.lit(False) if cut is None else below(F.lit(cut["_cut_h"]), F.lit(cut["_cut_key"]))
+        return df.withColumn(col, marked)
     return (
         join_staged(df, cuts, groups, spread=key, how="left")
-        .withColumn(col, F.coalesce(below, F.lit(False)))
+        .withColumn(col, F.coalesce(below(F.col("_cut_h"), F.col("_cut_key")), F.lit(False)))
         .select(*df.columns, col)
     )
 
@@ -108,6 +119,7 @@ def stratified_split(
     by: str = "dataset",
     stratum: str = "label",
     col: str = "split",
+    bits: int = 12,
 ) -> DataFrame:
     """Tag rows ``eval`` or ``train``: exactly ceil(f*n) eval rows in every dataset.
 
@@ -129,25 +141,31 @@ def stratified_split(
         seed,
         SPLIT_SALT,
         "_eval",
+        bits,
     )
     return _tag(marked, df.columns, col)
 
 
 def random_split(
-    df: DataFrame, fraction: float, key: str, seed: int, by: str | None = None, col: str = "split"
+    df: DataFrame,
+    fraction: float,
+    key: str,
+    seed: int,
+    by: str | None = None,
+    col: str = "split",
+    bits: int = 12,
 ) -> DataFrame:
     """Tag rows ``eval`` or ``train``: exactly ceil(f*n) eval rows, whatever their class."""
     share = F.lit(check_fraction(fraction))
-    group = by or "_all"
-    base = df if by else df.withColumn(group, F.lit(0))
     marked = mark_smallest(
-        base,
+        df,
         key,
-        [group],
-        lambda totals: totals.select(group, held_out(F.col("n"), share).alias("k")),
+        [by] if by else [],
+        lambda totals: totals.withColumn("k", held_out(F.col("n"), share)),
         seed,
         SPLIT_SALT,
         "_eval",
+        bits,
     )
     return _tag(marked, df.columns, col)
 

@@ -227,3 +227,14 @@ def test_hot_key_is_spread(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert sum(sizes) == 4000 and max(sizes) < 2000
+
+
+def test_split_of_nothing(uneven):
+    none = uneven.where("id < 0")
+    assert split.random_split(none, 0.1, "id", SEED).count() == 0
+    assert split.stratified_split(none, 0.1, "id", SEED).count() == 0
+
+
+def test_ungrouped_split_needs_no_join(uneven):
+    plan = split.random_split(uneven, 0.1, "id", SEED)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
