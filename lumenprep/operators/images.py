@@ -1,7 +1,7 @@
 """Image operators: NumPy kernels over Arrow batches, plans and choices as columns."""
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,7 @@ from lumenprep.operators.index import global_index
 from lumenprep.operators.staging import stage
 from lumenprep.plans.spec import DegradeParams
 from lumenprep.sources.schema import IMAGE
+from lumenprep.sources.sinks import decode_images, encode_images
 
 # Profiles up to this many rows travel to the tasks as three arrays (20 bytes a row).
 BROADCAST_PROFILE_ROWS = 200_000
@@ -341,6 +342,9 @@ def degrade(
     nothing are passed to it as NULL and their pixels never leave the JVM. A profile
     above ``broadcast_rows`` is joined instead of sent to the tasks; the result is equal.
     """
+    element = df.schema["images"].dataType.elementType
+    if "data" not in element.fieldNames():
+        raise ValueError("the images are encoded: use degrade_encoded with a decoder")
     needed = needs_degradation() if needed is None else needed
     profile = stage(profile.select("idx", "blur", "height", "width"), "profile")
     size = profile_size(profile)
@@ -367,3 +371,28 @@ def degrade(
     return marked.withColumn("images", F.when(F.col("_needed"), done).otherwise(F.col("images"))).select(
         *df.columns
     )
+
+
+def degrade_encoded(
+    df: DataFrame,
+    profile: DataFrame,
+    params: DegradeParams,
+    seed: int,
+    decoder: Callable[[bytes], dict],
+    encoder: Callable[[dict], bytes],
+    key: str = "example_id",
+    needed: Column | None = None,
+) -> DataFrame:
+    """``degrade`` for images kept as file bytes, by way of the caller's codec.
+
+    Only images that are degraded are decoded and encoded again; others keep their bytes.
+    """
+    needed = needs_degradation() if needed is None else needed
+    opened = df.withColumns({"_kept": F.col("images"), "_todo": needed}).withColumn(
+        "images", decode_images(F.when(F.col("_todo"), F.col("_kept")), decoder)
+    )
+    done = degrade(opened, profile, params, seed, key, F.col("_todo"))
+    packed = encode_images(F.when(F.col("_todo"), F.col("images")), encoder)
+    return done.withColumn(
+        "images", F.when(F.col("_todo"), packed).otherwise(F.col("_kept"))
+    ).select(*df.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenprep.functions import messages as M
 from lumenprep.functions.draws import hash52
-from lumenprep.operators.images import degrade, needs_degradation
+from lumenprep.operators.images import degrade, degrade_encoded, needs_degradation
 from lumenprep.operators.index import global_index
 from lumenprep.operators.mix import SHUFFLE_SALT, round_robin_position
 from lumenprep.operators.split import stratified_split
@@ -88,12 +89,19 @@ def positions(rows: DataFrame, job: JobSpec) -> DataFrame:
     return indexed.select("example_id", "split", pos.alias("pos"))
 
 
-def prepare(spark: SparkSession, job: JobSpec, profile: DataFrame | None = None) -> DataFrame:
+def prepare(
+    spark: SparkSession,
+    job: JobSpec,
+    profile: DataFrame | None = None,
+    codec: tuple[Callable[[bytes], dict], Callable[[dict], bytes]] | None = None,
+) -> DataFrame:
     """The training and evaluation rows of a job, in the signature, with their ``pos``.
 
     With a profile of real images the fake images of flagged datasets are degraded
-    towards it. The key columns are staged once; splits and positions come from them
-    alone, and one join takes both to the wide rows.
+    towards it; images kept as file bytes need a ``codec`` (decoder, encoder).
+
+    The key columns are staged once; splits and positions come from them alone, and one
+    join takes both to the wide rows.
     """
     rows = load_all(spark, job)
     keys = stage(rows.select("example_id", "dataset", "label", "split", "ds_pos", *SOURCE_ORDER), "keys")
@@ -103,8 +111,9 @@ def prepare(spark: SparkSession, job: JobSpec, profile: DataFrame | None = None)
         places = places.where(in_budget)
     wide = with_messages(rows.drop("split"), job.prompt_policy, job.completion_policy)
     placed = wide.join(places, "example_id")
-    if profile is not None:
-        placed = degrade(
-            placed, profile, job.degrade, job.seed, needed=needs_degradation(job.degrade_eval)
-        )
-    return placed
+    if profile is None:
+        return placed
+    needed = needs_degradation(job.degrade_eval)
+    if codec is None:
+        return degrade(placed, profile, job.degrade, job.seed, needed=needed)
+    return degrade_encoded(placed, profile, job.degrade, job.seed, *codec, needed=needed)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumenprep import DatasetSpec, JobSpec, prepare
 from lumenprep.operators import images, pixels
 from lumenprep.plans.spec import DegradeParams
 from lumenprep.sources import stats
-from lumenprep.sources.schema import IMAGE
+from lumenprep.sources.schema import ENCODED_IMAGE, IMAGE
 
 RNG = np.random.default_rng(5)
 
@@ -257,3 +260,40 @@ def test_profile_from_arrays_of_different_length(spark, pictures, tmp_path):
     assert {r["target_blur"] for r in plans} == {1.0, 2.0, 3.0}
     small = by_key(images.degrade(pictures, profile, params, 3))
     assert small == by_key(images.degrade(pictures, profile, params, 3, broadcast_rows=0))
+
+
+def raw_codec():
+    """A codec for the test: the sizes, then compressed pixels."""
+
+    def encode(image):
+        head = bytes([image["height"], image["width"], image["nChannels"]])
+        return head + zlib.compress(bytes(image["data"]))
+
+    def decode(data):
+        h, w, c = data[:3]
+        return {"height": h, "width": w, "nChannels": c, "mode": 16, "data": zlib.decompress(data[3:])}
+
+    return encode, decode
+
+
+def test_encoded_images_are_degraded_through_a_codec(spark):
+    """A whole job on image files in a table: only fakes of the train part change."""
+    encode, decode = raw_codec()
+    stacks = random_stack(60, 9, 12)
+    rows = [(i, (encode({"height": 9, "width": 12, "nChannels": 3, "data": s.tobytes()}), f"p{i}"), i % 2) for i, s in enumerate(stacks)]
+    raw = spark.createDataFrame(rows, "id bigint, image struct<bytes:binary,path:string>, label int")
+    profile = stats.profile_from_arrays(spark, [1.0], [(5, 6)])
+    spec = DatasetSpec("d", frames={"train": raw}, id_column="id", eval_split=0.2, image_type=ENCODED_IMAGE)
+    job = JobSpec([spec], 3, degrade=DegradeParams(probability=1.0))
+    out = prepare(spark, job, profile, codec=(decode, encode)).collect()
+    assert len(out) == 60
+    for r in out:
+        before = stacks[int(r["example_id"].split("/")[-1])]
+        after = back(decode(bytes(r["images"][0]["bytes"])))
+        if r["label"] == 1 and r["split"] == "train":
+            assert after.shape != before.shape
+        else:
+            assert (after == before).all()
+        assert r["images"][0]["path"] == f"p{r['example_id'].split('/')[-1]}"
+    with pytest.raises(ValueError, match="encoded"):
+        prepare(spark, job, profile)
