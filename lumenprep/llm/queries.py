@@ -7,8 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenprep.llm import chat, fingerprints, line_dedup, mixing
-
+from lumenprep.llm import (
+    chat,
+    decontaminate,
+    fingerprints,
+    language,
+    line_dedup,
+    lm,
+    mixing,
+    near_dup,
+    quality,
+    suffix_dedup,
+)
+
+QUALITY = 0.3
 SAID = "</s>[INST] ok [/INST]"
 
 
@@ -34,6 +46,37 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "lines", "lines_dropped", "text")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labelled = language.label_language(docs.select("doc_id", "text"), language.fit_language(docs))
+    held_out = quality.remainder(F.col("doc_id"), 5) == 0
+    return labelled.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_copies(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        (quality.remainder(F.col("doc_id"), 5) == 0).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= QUALITY).cast("int").alias("predicted"),
+    )
+
+
+def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.find_contamination(docs, items).drop("text_hash")
+
+
 def conversation_events(rows: DataFrame) -> DataFrame:
     """A delta per row; rows that share a turn stay separate messages, by role and text."""
     same = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
@@ -64,11 +107,28 @@ def op9_format_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_fingerprints": op2_fingerprints,
     "op3_line_dedup": op3_line_dedup,
+    "op4_language": op4_language,
+    "op5_lm_scoring": op5_lm_scoring,
+    "op6_near_copies": op6_near_copies,
+    "op7_quality": op7_quality,
+    "op8_contamination": op8_contamination,
     "op9_format_conversations": op9_format_conversations,
+    "op10_repeats": op10_repeats,
 }
 
 _ESCAPES = [(chat.SIGN, chat.SIGN + chat.SELF), *[(c, chat.SIGN + k) for c, k in zip(chat.CONTROLS, chat.CODES)]]
@@ -121,4 +181,23 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM r GROUP BY conv_id
 """
 
-LLM_ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op9_format_conversations": OP9_SQL}
+OP3_SQL = r"""
+WITH p AS (
+  SELECT page_id,
+    nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
+    trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+      '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', '', 'g'),
+      '(?i)\s*</?(?:p|div|li|ul|ol|nav|article|section|header|footer|h[1-6]|br|tr|table|title|head|body|html|blockquote|pre)\b[^>]*>\s*', chr(10), 'g'),
+      '<[^>]*>', '', 'g'), '\n{2,}', chr(10), 'g'), chr(10)) AS text
+  FROM pages),
+l AS (SELECT page_id, coalesce(host, '') AS h, host, string_split(text, chr(10)) AS ls FROM p),
+n AS (SELECT h, count(*) AS n FROM l GROUP BY h),
+c AS (
+  SELECT h, line, count(*) AS c FROM (SELECT DISTINCT page_id, h, unnest(list_transform(ls, x -> trim(x))) AS line FROM l) GROUP BY ALL),
+b AS (SELECT h, list(line) AS drops FROM c JOIN n USING (h) WHERE n >= 5 AND c >= 2 AND c > 0.3::DOUBLE * n AND line <> '' GROUP BY h)
+SELECT page_id, host, len(ls)::BIGINT AS lines, (len(ls) - len(kept))::BIGINT AS lines_dropped, array_to_string(kept, chr(10)) AS text
+FROM (SELECT *, CASE WHEN drops IS NULL THEN ls ELSE list_filter(ls, x -> NOT list_contains(drops, trim(x))) END AS kept
+      FROM l LEFT JOIN b USING (h))
+""".replace("\\\\", "\\")
+
+LLM_ORACLES: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op1_mix_sources": OP1_SQL, "op9_format_conversations": OP9_SQL}
