@@ -38,6 +38,11 @@ THRESHOLD = 0.8
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _nth(n: int) -> np.uint64:
+    """A constant for the n-th of several draws."""
+    return np.uint64(n * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+
+
 def shingles(block: Block, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every shingle of a block, and the text it stands in."""
     starts, ends, first = block.words()
@@ -74,7 +79,7 @@ def signatures(h: np.ndarray, text_of: np.ndarray, weight: np.ndarray, texts: in
         of = np.flatnonzero(weight > low)
         if not len(of):
             break
-        seeds.append(mix64(h[of] + np.uint64(j) * _GOLDEN))
+        seeds.append(mix64(h[of] + _nth(j)))
         owners.append(text_of[of])
         lows.append(np.full(len(of), low))
         lengths.append(np.full(len(of), length))
@@ -84,10 +89,10 @@ def signatures(h: np.ndarray, text_of: np.ndarray, weight: np.ndarray, texts: in
     seed, owner, low_of, length_of, height = (np.concatenate(x) for x in (seeds, owners, lows, lengths, heights))
     time = np.zeros(len(seed))
     latest = np.full(texts, np.inf)
-    step = np.uint64(0)
+    step = 0
     while len(seed):
-        step += np.uint64(1)
-        draw = mix64(seed + step * _GOLDEN)
+        step += 1
+        draw = mix64(seed + _nth(step))
         time -= np.log(((draw >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53) / length_of
         alive = time < latest[owner]
         if not alive.all():
@@ -110,7 +115,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     bits = np.ascontiguousarray(sig).view(np.uint64).reshape(len(sig), bands, rows)
     key = np.broadcast_to(mix64(np.arange(1, bands + 1, dtype=np.uint64)), (len(sig), bands)).copy()
     for r in range(rows):
-        key = mix64(key + bits[:, :, r] * (np.uint64(2 * r + 1) * _GOLDEN))
+        key = mix64(key + bits[:, :, r] * _nth(2 * r + 1))
     return key
 
 

@@ -193,10 +193,10 @@ WITH p AS (
 l AS (SELECT page_id, coalesce(host, '') AS h, host, string_split(text, chr(10)) AS ls FROM p),
 n AS (SELECT h, count(*) AS n FROM l GROUP BY h),
 c AS (
-  SELECT h, line, count(*) AS c FROM (SELECT DISTINCT page_id, h, unnest(list_transform(ls, x -> trim(x))) AS line FROM l) GROUP BY ALL),
+  SELECT h, line, count(*) AS c FROM (SELECT DISTINCT page_id, h, unnest(list_transform(ls, lambda x: trim(x))) AS line FROM l) GROUP BY ALL),
 b AS (SELECT h, list(line) AS drops FROM c JOIN n USING (h) WHERE n >= 5 AND c >= 2 AND c > 0.3::DOUBLE * n AND line <> '' GROUP BY h)
 SELECT page_id, host, len(ls)::BIGINT AS lines, (len(ls) - len(kept))::BIGINT AS lines_dropped, array_to_string(kept, chr(10)) AS text
-FROM (SELECT *, CASE WHEN drops IS NULL THEN ls ELSE list_filter(ls, x -> NOT list_contains(drops, trim(x))) END AS kept
+FROM (SELECT *, CASE WHEN drops IS NULL THEN ls ELSE list_filter(ls, lambda x: NOT list_contains(drops, trim(x))) END AS kept
       FROM l LEFT JOIN b USING (h))
 """.replace("\\\\", "\\")
 

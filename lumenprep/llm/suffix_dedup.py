@@ -188,6 +188,8 @@ def repeated_offsets(group: np.ndarray, left: np.ndarray, left_size: np.ndarray,
     found_low, found_high = np.full(n, -1), np.full(n, -1)
     changed = True
     for offset in range(left.shape[1] + 1):
+        if len(rank) < 2:
+            break
         if changed:
             same = interval[1:] == interval[:-1]
             alone = ~(np.append(False, same) | np.append(same, False))
