@@ -146,7 +146,7 @@ def test_lm_edge_cases(spark):
 
 
 def test_attention_is_causal_and_normalised():
-    opens = np.tile([True, False, False], lm.TOPICS)
+    opens = np.append(np.tile([True, False, False], lm.TOPICS), False)
     m = lm.AttentionModel.start(50, 49, opens)
     rng = np.random.default_rng(3)
     ids = rng.integers(0, 50, (4, lm.CONTEXT + lm.WIDTH))
@@ -157,7 +157,11 @@ def test_attention_is_causal_and_normalised():
     later[:, lm.CONTEXT + 10 :] = 7
     assert np.allclose(m.gates(later, real, lm.WIDTH)[:, :10], g[:, :10], atol=1e-6)
     m.set_experts(np.zeros((50, len(opens))), rng.random(50), np.arange(50) % 2 == 0)
-    assert np.allclose(m.experts.sum(0), 1, atol=1e-5)
+    assert np.allclose(m.experts[:, :-1].sum(0), 1, atol=1e-5) and not m.experts[:, -1].any()
+    keys = np.unique(rng.integers(0, 50, 300) << lm.PAIR_BITS | rng.integers(0, 25, 300) * 2 + 1).astype(np.uint64)
+    m.pairs = lm.Pairs(keys, rng.integers(1, 9, len(keys)), np.arange(50) % 2 == 0)
+    every = np.array([[m.chances(np.array([a]), np.array([b]))[0, -1] for b in range(50)] for a in range(50)])
+    assert np.allclose(every.sum(1), 1, atol=1e-5)
 
 
 def test_attention_gradients():
