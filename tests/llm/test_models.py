@@ -115,7 +115,7 @@ def test_passages_do_not_depend_on_the_block():
 
 
 def test_lm_base_score_and_gain(spark, docs):
-    got = lm.score_documents(docs, sample_documents=300, frequent_words=500).collect()
+    got = lm.score_documents(docs, frequent_words=500).collect()
     rows = docs.collect()
     token = re.compile(rb"[^\x20\x09-\x0d]+")
     of = {r.doc_id: [*token.findall((r.text or "").encode().lower()), None] for r in rows}
@@ -127,7 +127,7 @@ def test_lm_base_score_and_gain(spark, docs):
         assert r.n_known == sum(train[w] > 0 for w in t)
         assert r.base_score == pytest.approx(sum(math.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t))
     out = [r for r in got if r.held_out]
-    assert sum(r.score for r in out) > 0.9 * sum(r.base_score for r in out)
+    assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
 def test_lm_same_result_for_any_bound_on_frequent_words(spark, docs):
