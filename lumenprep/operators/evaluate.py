@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from lumenprep.functions.template import word_id, words
 from lumenprep.operators.collate import IGNORE
+from lumenprep.operators.index import require_unique
 from lumenprep.operators.staging import join_staged, stage
 
-# Vocabularies up to this many entries travel to the tasks.
-BROADCAST_VOCABULARY = 500_000
+# Vocabularies up to this many bytes (tokens and ids) travel to the tasks.
+BROADCAST_VOCABULARY = 32 << 20
 
 
 def argmax(scores: Column) -> Column:
@@ -54,21 +55,25 @@ def decode_ids(
     joiner: str = " ",
     unknown: str = "",
     col: str = "text",
-    broadcast_entries: int = BROADCAST_VOCABULARY,
+    broadcast_bytes: int = BROADCAST_VOCABULARY,
 ) -> DataFrame:
     """``df`` with the text of ``ids``, special ids left out.
 
     A vocabulary of bounded size goes to the tasks and nothing is shuffled. A larger one
     is joined to the exploded ids, frequent ones spread over tasks, and each row's tokens
-    come back together by ``key``.
+    come back together by ``key``. The result is the same: an id that stands twice in the
+    vocabulary, and a ``key`` that is NULL or repeated, are errors either way.
     """
     vocab = stage(vocab.select(F.col("id").cast("int"), "token"), "vocabulary")
+    require_unique(vocab, ["id"], "vocabulary")
+    require_unique(df, [key], "rows to decode")
     kept = F.filter(F.col(ids), lambda x: ~x.isin(*special_ids)) if special_ids else F.col(ids)
-    if vocab.count() <= broadcast_entries:
+    size = vocab.agg(F.coalesce(F.sum(F.octet_length("token") + 8), F.lit(0)).alias("bytes")).first()["bytes"]
+    if size <= broadcast_bytes:
         return df.withColumn(col, _lookup_udf(df, vocab, joiner, unknown)(kept))
     exploded = df.select(key, F.posexplode(kept).alias("_pos", "_id"))
     tokens = vocab.withColumnRenamed("id", "_id")
-    named = join_staged(exploded, tokens, ["_id"], "_pos", "left", broadcast_entries).select(
+    named = join_staged(exploded, tokens, ["_id"], "_pos", "left", broadcast_rows=0).select(
         key, F.struct("_pos", F.coalesce("token", F.lit(unknown)).alias("token")).alias("_item")
     )
     # A list has as many entries as the ids of its row.

@@ -182,6 +182,8 @@ def real_profile(df: DataFrame, key: str, real_label: int = 0) -> DataFrame:
         F.col("image.height").alias("height"),
         F.col("image.width").alias("width"),
     ).where("height > 0")
+    # Measured once; what is sorted afterwards are numbers.
+    measured = stage(measured, "profile")
     return global_index(measured, ["_key", "_image"], "idx").select("idx", "blur", "height", "width")
 
 
@@ -205,9 +207,18 @@ def profile_summary(profile: DataFrame, accuracy: int = 10_000) -> DataFrame:
 
 def profile_size(profile: DataFrame) -> tuple[int, int]:
     """Number of resolutions and of blur values; they may differ."""
-    row = profile.agg(F.count("height").alias("sizes"), F.count("blur").alias("blurs")).first()
+    row = profile.agg(
+        F.count("height").alias("sizes"),
+        F.count("blur").alias("blurs"),
+        F.count("*").alias("n"),
+        F.min("idx").alias("first"),
+        F.max("idx").alias("last"),
+        F.countDistinct("idx").alias("places"),
+    ).first()
     if not row["sizes"] or not row["blurs"]:
         raise ValueError("the profile of real images is empty")
+    if (row["first"], row["last"], row["places"]) != (0, row["n"] - 1, row["n"]):
+        raise ValueError("the index of the profile must run from 0 without gaps or repeats")
     return row["sizes"], row["blurs"]
 
 
@@ -240,7 +251,8 @@ def plan_rows(
     hot; a profile of any size works, and a small one is broadcast by its file size.
     """
     size = profile_size(profile)
-    images = df.select(key, F.explode(F.sequence(F.lit(0), n_images - 1)).alias("image_pos"))
+    some = df.where(n_images > 0)
+    images = some.select(key, F.explode(F.sequence(F.lit(0), n_images - 1)).alias("image_pos"))
     drawn = images.withColumn(
         "plan",
         draw_plan(image_key(F.col(key), F.col("image_pos")), size, params, seed),

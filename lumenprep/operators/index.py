@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,21 @@ from lumenprep.operators.staging import join_staged, stage
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row within a partition in these bits
 
 
+def require_unique(df: DataFrame, keys: Sequence[str], what: str) -> None:
+    """Raise if a key is NULL or stands more than once.
+
+    Looks at the key columns alone, and counts before it shuffles.
+    """
+    counted = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    row = counted.agg(
+        F.sum(F.when(missing, F.col("_n")).otherwise(0)).alias("none"),
+        F.sum(F.when(~missing & (F.col("_n") > 1), F.col("_n")).otherwise(0)).alias("repeated"),
+    ).first()
+    if row["none"] or row["repeated"]:
+        raise ValueError(f"{what}: {row['none']} rows without a key, {row['repeated']} with one that others have")
+
+
 def global_index(df: DataFrame, order_by: Sequence[str], col: str = "idx") -> DataFrame:
     """``df`` with a 0-based contiguous position in the order of ``order_by``.
 
@@ -41,12 +57,17 @@ def global_index(df: DataFrame, order_by: Sequence[str], col: str = "idx") -> Da
 
 
 def attach_index(
-    df: DataFrame, key: str, order_by: Sequence[str], col: str = "idx"
+    df: DataFrame, key: str | Sequence[str], order_by: Sequence[str], col: str = "idx"
 ) -> DataFrame:
-    """``global_index`` for wide rows: only the keys are sorted, one join brings them back."""
-    narrow = df.select(*dict.fromkeys([key, *order_by]))
-    positions = global_index(narrow, order_by, col).select(key, col)
-    return df.join(positions, key)
+    """``global_index`` for wide rows: only the keys are sorted, one join brings them back.
+
+    Keys that are NULL or repeated would lose or multiply rows and raise an error.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    narrow = stage(df.select(*dict.fromkeys([*keys, *order_by])), "keys")
+    require_unique(narrow, keys, "positions")
+    positions = global_index(narrow, order_by, col).select(*keys, col)
+    return df.join(positions, keys)
 
 
 def file_offsets(df: DataFrame, file: str = "src_file") -> DataFrame:

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenprep.operators.index import attach_index, global_index, hash_index
+from lumenprep.operators.index import attach_index, global_index, hash_index, require_unique
+from lumenprep.operators.staging import stage
 
 SHUFFLE_SALT = "shuffle"
 
@@ -26,13 +27,14 @@ def concat(
 ) -> DataFrame:
     """Datasets one after the other, with their position ``pos``.
 
-    With ``key`` only the key columns are sorted, and wide rows join once.
+    With ``key``, unique within each dataset, only the key columns are sorted, and wide
+    rows join once. Datasets may share keys.
     """
     merged = union_tagged(datasets)
     order = ["ds_pos", *order_by]
     if key is None:
         return global_index(merged, order, "pos")
-    return attach_index(merged, key, order, "pos")
+    return attach_index(merged, ["ds_pos", key], order, "pos")
 
 
 def round_robin_position(
@@ -76,14 +78,17 @@ def interleave_position(
 def interleave(
     datasets: Sequence[DataFrame], order_by: Sequence[str], key: str | None = None
 ) -> DataFrame:
-    """One row of each dataset in turn, used-up datasets skipped, until all are used up."""
+    """One row of each dataset in turn, used-up datasets skipped, until all are used up.
+
+    ``key`` is as in ``concat``.
+    """
     merged = union_tagged(datasets)
     if key is None:
         return interleave_position(merged, order_by, len(datasets))
-    narrow = merged.select(*dict.fromkeys([key, "ds_pos", *order_by]))
-    return merged.join(
-        interleave_position(narrow, order_by, len(datasets)).select(key, "pos"), key
-    )
+    narrow = stage(merged.select(*dict.fromkeys([key, "ds_pos", *order_by])), "keys")
+    require_unique(narrow, ["ds_pos", key], "interleave")
+    places = interleave_position(narrow, order_by, len(datasets)).select("ds_pos", key, "pos")
+    return merged.join(places, ["ds_pos", key])
 
 
 def shuffle(df: DataFrame, key: str, seed: int, col: str = "pos", bits: int = 12) -> DataFrame:

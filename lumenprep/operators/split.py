@@ -37,7 +37,8 @@ def mark_smallest(
     tells in which bucket the k-th smallest hash lies; only that bucket is sorted. Each
     group then has one threshold (hash, key), and marking is a comparison, so wide rows are
     neither shuffled nor sorted while the thresholds are few enough to broadcast, and no
-    group is ever gathered in one task. There are 2^bits buckets: more of them make the
+    group is ever gathered in one task. A key that several rows share is an error where the
+    cut would fall among them. There are 2^bits buckets: more of them make the
     sorted one smaller, at 2^bits histogram rows per group.
     """
     ungrouped = not groups
@@ -63,10 +64,15 @@ def mark_smallest(
     cuts = stage(
         _join_groups(narrow, edge, [*groups, "_bucket"], "inner")
         .withColumn("_rn", F.row_number().over(in_bucket))
+        .withColumn("_last", F.max("_rn").over(Window.partitionBy(*groups, "_bucket", "_h", "_key")))
         .where("_rn = _need")
-        .select(*groups, F.col("_h").alias("_cut_h"), F.col("_key").alias("_cut_key")),
+        .select(*groups, F.col("_h").alias("_cut_h"), F.col("_key").alias("_cut_key"), (F.col("_last") > F.col("_rn")).alias("_torn")),
         "cuts",
     )
+    torn = cuts.where("_torn OR _cut_key IS NULL").count()
+    if torn:
+        raise ValueError(f"the cut falls among rows that share a key, or have none, in {torn} groups")
+    cuts = cuts.drop("_torn")
 
     def below(cut_h: Column, cut_key: Column) -> Column:
         return (h < cut_h) | ((h == cut_h) & (F.col(key) <= cut_key))

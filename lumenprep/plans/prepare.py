@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lumenprep.functions import messages as M
 from lumenprep.functions.draws import hash52
 from lumenprep.operators.images import degrade, degrade_encoded, needs_degradation
-from lumenprep.operators.index import global_index
+from lumenprep.operators.index import global_index, require_unique
 from lumenprep.operators.mix import SHUFFLE_SALT, round_robin_position
 from lumenprep.operators.split import stratified_split
 from lumenprep.operators.staging import stage
@@ -53,21 +53,22 @@ def hold_out(keys: DataFrame, job: JobSpec) -> DataFrame:
         return keys
     tagged = stratified_split(keys, fractions, "example_id", job.seed, col="_part")
     held = F.when(F.col("_part") == "eval", F.lit("eval")).otherwise(F.col("split"))
+    # Named eval rows belong to datasets without a fraction.
     return tagged.withColumn("split", held).drop("_part")
 
 
 def positions(rows: DataFrame, job: JobSpec) -> DataFrame:
-    """``example_id``, ``split`` and ``pos`` of every row, from 0 in train and in eval.
+    """``example_id``, ``loaded``, ``split`` and ``pos`` of every row, from 0 in train and in eval.
 
     Works on the key columns alone: one range sort by split and then by dataset and
     source order, or by seeded hash for a shuffle.
     """
     if job.shuffle:
         h = hash52(F.col("example_id"), job.seed, SHUFFLE_SALT)
-        keys = rows.select("example_id", "split", F.lit(0).alias("ds_pos"), h.alias("_h"))
+        keys = rows.select("example_id", "loaded", "split", F.lit(0).alias("ds_pos"), h.alias("_h"))
         order = ["_h", "example_id"]
     else:
-        keys = rows.select("example_id", "split", "ds_pos", *SOURCE_ORDER)
+        keys = rows.select("example_id", "loaded", "split", "ds_pos", *SOURCE_ORDER)
         order = ["ds_pos", *SOURCE_ORDER]
     indexed = global_index(keys, ["split", *order], "_idx")
     # At most two counts per dataset of the job.
@@ -86,7 +87,7 @@ def positions(rows: DataFrame, job: JobSpec) -> DataFrame:
             here = round_robin_position(rank, F.col("ds_pos"), sizes)
         pos = F.when(F.col("split") == split, here).otherwise(pos)
         start += sum(sizes)
-    return indexed.select("example_id", "split", pos.alias("pos"))
+    return indexed.select("example_id", "loaded", "split", pos.alias("pos"))
 
 
 def prepare(
@@ -101,16 +102,19 @@ def prepare(
     towards it; images kept as file bytes need a ``codec`` (decoder, encoder).
 
     The key columns are staged once; splits and positions come from them alone, and one
-    join takes both to the wide rows.
+    join takes both to the wide rows. A row is known by its id and the split it was loaded
+    as, so a row may be in both; ids that are NULL or repeated there are an error.
     """
-    rows = load_all(spark, job)
-    keys = stage(rows.select("example_id", "dataset", "label", "split", "ds_pos", *SOURCE_ORDER), "keys")
+    rows = load_all(spark, job).withColumnRenamed("split", "loaded")
+    narrow = rows.select("example_id", "dataset", "label", "loaded", "ds_pos", *SOURCE_ORDER)
+    keys = stage(narrow.withColumn("split", F.col("loaded")), "keys")
+    require_unique(keys, ["example_id", "loaded"], "ids of the datasets")
     places = positions(hold_out(keys, job), job)
     if job.num_total_samples is not None:
         in_budget = (F.col("split") == "eval") | (F.col("pos") < F.lit(job.num_total_samples))
         places = places.where(in_budget)
-    wide = with_messages(rows.drop("split"), job.prompt_policy, job.completion_policy)
-    placed = wide.join(places, "example_id")
+    wide = with_messages(rows, job.prompt_policy, job.completion_policy)
+    placed = wide.join(places, ["example_id", "loaded"]).drop("loaded")
     if profile is None:
         return placed
     needed = needs_degradation(job.degrade_eval)

@@ -64,7 +64,7 @@ def check_eval_split(eval_split: Any, streaming: bool = False) -> None:
     if eval_split is None or isinstance(eval_split, str):
         return
     if isinstance(eval_split, bool) or not isinstance(eval_split, float):
-        raise ValueError("eval_split must be either float or str")
+        raise ValueError("to hold out rows, name a split or give a fraction")
     if streaming:
         raise ValueError("a fraction cannot be held out of a stream; name a split")
     if not 0.0 < eval_split < 1.0:
@@ -101,6 +101,8 @@ class JobSpec:
         Unknown keys and lists of different lengths are errors.
         """
         values = dict(values)
+        if isinstance(values.get("degrade"), dict):
+            values["degrade"] = DegradeParams(**values["degrade"])
         per_dataset = {
             "dataset_name": "name",
             "dataset_path": "path",
@@ -109,6 +111,10 @@ class JobSpec:
             "eval_split": "eval_split",
             "degrade_fake": "degrade_fake",
             "id_column": "id_column",
+            "format": "format",
+            "options": "options",
+            "schema": "schema",
+            "image_type": "image_type",
         }
         known = set(per_dataset) | {f.name for f in fields(cls)} - {"datasets"}
         unknown = sorted(set(values) - known)

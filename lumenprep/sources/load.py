@@ -49,7 +49,8 @@ def with_row_key(
     whole = isinstance(kind, T.IntegralType)
     file = F.lit("") if whole else key.cast("string")
     row = key.cast("bigint") if whole else F.lit(0).cast("bigint")
-    name = F.concat_ws("/", F.lit(spec.name), F.lit(split), key.cast("string"))
+    # NULL for a row without an id, which is refused before anything is joined by it.
+    name = F.concat(F.lit(f"{spec.name}/{split}/"), key.cast("string"))
     return raw.withColumns({"example_id": name, "src_file": file, "src_row": row})
 
 
@@ -77,7 +78,7 @@ def _mark_terms(rows: DataFrame, n_terms: int) -> DataFrame:
         term = F.col("slice_term").cast("string")
         rows = rows.withColumns(
             {
-                "example_id": F.concat_ws("@", "example_id", term),
+                "example_id": F.concat("example_id", F.lit("@"), term),
                 "src_file": F.concat_ws(" ", F.lpad(term, 6, "0"), "src_file"),
             }
         )

@@ -22,13 +22,22 @@ def write_prepared(
 ) -> None:
     """Parquet under ``path/split=…``, rows in the order of ``pos`` within and across files.
 
-    ``rows_per_file`` and ``row_group_bytes`` keep files and row groups small for rows
-    with large media.
+    Positions run from 0 in each split, so the shard of a row follows from its position and
+    the number of rows, which only the key columns are read for: media and what is computed
+    from them are evaluated once. ``rows_per_file`` and ``row_group_bytes`` keep files and row
+    groups small for rows with large media.
     """
     if pos is not None:
-        keys = ["split", pos]
-        ranged = df.repartitionByRange(shards, *keys) if shards else df.repartitionByRange(*keys)
-        df = ranged.sortWithinPartitions(*keys)
+        total = shards or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # One row per split.
+        sizes = df.groupBy("split").agg(F.coalesce(F.max(pos) + 1, F.lit(1)).alias("n")).orderBy("split").collect()
+        whole = max(1, sum(r["n"] for r in sizes))
+        shard, before = F.lit(0), 0
+        for r in sizes:
+            here = F.floor((F.lit(before) + F.col(pos)) * total / whole).cast("int")
+            shard = F.when(F.col("split").eqNullSafe(F.lit(r["split"])), here).otherwise(shard)
+            before += r["n"]
+        df = df.repartitionById(total, F.coalesce(shard, F.lit(0))).sortWithinPartitions("split", pos)
     elif shards:
         df = df.repartition(shards)
     writer = df.write.mode(mode).partitionBy("split").option("compression", "zstd")

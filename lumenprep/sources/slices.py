@@ -90,6 +90,9 @@ def _beyond(keys: Sequence[str], bound: Sequence, compare) -> Column:
 def ends_by_sort(df: DataFrame, order_by: Sequence[str]):
     """Row count of ``df``, and a function from positions to their order keys."""
     index = stage(global_index(df.select(*order_by), order_by, "_idx"), "slices")
+    missing = index.where(reduce(Column.__or__, [F.col(c).isNull() for c in order_by])).count()
+    if missing:
+        raise ValueError(f"{missing} rows have no order key, so they cannot be sliced")
 
     def keys(wanted: Sequence[int]) -> dict[int, list]:
         rows = index.where(F.col("_idx").isin(list(wanted))).collect()

@@ -42,7 +42,7 @@ def test_decode_by_both_ways(spark, entries):
     vocab = spark.createDataFrame([(3, "a"), (4, "b"), (7, "c")], "id int, token string")
     rows = [(1, [3, 0, 4, 3]), (2, []), (3, [0]), (4, None), (5, [9, 7])]
     df = spark.createDataFrame(rows, "k int, ids array<int>").repartition(3)
-    got = evaluate.decode_ids(df, "k", "ids", vocab, unknown="?", broadcast_entries=entries)
+    got = evaluate.decode_ids(df, "k", "ids", vocab, unknown="?", broadcast_bytes=entries)
     assert {r["k"]: r["text"] for r in got.collect()} == {1: "a b a", 2: "", 3: "", 4: None, 5: "? c"}
 
 
