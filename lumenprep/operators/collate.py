@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenprep.functions import messages as M
+from lumenprep.functions.template import (
+    CHATML,
+    ChatTemplate,
+    completion_suffix,
+    render_normalised,
+    word_ids,
+)
+
 IDS = "array<int>"
 IGNORE = -100
 
@@ -118,3 +129,39 @@ def tokenise(df: DataFrame, columns: dict[str, str], tokenizer) -> DataFrame:
     ``pandas_udf`` that loads its model once per worker.
     """
     return df.withColumns({out: tokenizer(F.col(text)) for text, out in columns.items()})
+
+
+def render_prepared(df: DataFrame, template: ChatTemplate = CHATML) -> DataFrame:
+    """``prompt_text`` and ``completion_text`` of prepared rows (prompt, completion, images, video).
+
+    Prompts are whole conversations; their first user message takes the media. The
+    completion is what the rendered whole has after the prompt with the answer's header.
+    """
+    none = F.array()
+    plain = lambda c: F.coalesce(F.col(c), none.cast(df.schema[c].dataType))
+    n_images = F.coalesce(M.media_count(F.col("images")), F.lit(0))
+    prompt = M.normalise_messages(plain("prompt"), n_images, F.col("video").isNotNull())
+    answer = M.normalise_messages(plain("completion"), F.lit(0), F.lit(False))
+    rendered = df.withColumns(
+        {
+            "prompt_text": render_normalised(prompt, template, add_answer_header=True),
+            "_full": render_normalised(F.concat(prompt, answer), template),
+        }
+    )
+    return rendered.withColumn(
+        "completion_text", completion_suffix(F.col("_full"), F.col("prompt_text"))
+    ).drop("_full")
+
+
+def collate_prepared(
+    df: DataFrame,
+    tokenizer: Callable[[Column], Column] = word_ids,
+    template: ChatTemplate = CHATML,
+    **options,
+) -> DataFrame:
+    """Prepared rows with a ``batch_id`` to padded and masked batches, in one plan.
+
+    ``options`` are those of ``collate``.
+    """
+    columns = {"prompt_text": "prompt_ids", "completion_text": "completion_ids"}
+    return collate(tokenise(render_prepared(df, template), columns, tokenizer), **options)

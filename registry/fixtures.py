@@ -12,6 +12,13 @@ SEED = 42
 LANGUAGES = ("en", "fr", "de", "es")
 
 
+def in_language(lang: str) -> Column:
+    """Rows of a language; the last one takes all others too, so that none is lost."""
+    if lang != LANGUAGES[-1]:
+        return F.col("lang") == lang
+    return ~F.coalesce(F.col("lang").isin(*LANGUAGES[:-1]), F.lit(False))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -49,6 +56,20 @@ def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation whole: a last answer is its completion, all before it the prompt."""
+    turns = table(spark, sf_dir, "conversations")
+    listed = turns.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
+    )
+    answered = (F.element_at("turns", -1)["role"] == "assistant").cast("int")
+    whole = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
+    n = F.size("turns") - answered
+    return listed.select(
+        "conv_id", F.slice(whole, 1, n).alias("prompt"), F.slice(whole, n + 1, answered).alias("completion")
+    )
+
+
 def gray_image(embedding: Column) -> Column:
     """64 numbers in [-1, 1] as an 8x8 gray image."""
     level = F.transform(

@@ -188,6 +188,14 @@ ORACLES["chat_render_media"] = (
 ORACLES["completion_suffix"] = f"""
 WITH {EXCHANGES} SELECT conv_id, turn, next_text || '<|im_end|>\n' AS completion_text FROM exchange"""
 
+DIALOGUES = """last AS (
+  SELECT *, turn = max(turn) OVER (PARTITION BY conv_id) AND role = 'assistant' AS answer,
+    turn = min(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS first_user FROM conversations)"""
+ORACLES["chat_render_conversations"] = f"""
+WITH {DIALOGUES}
+SELECT conv_id, coalesce(string_agg({chatml('role', 'text')}, '' ORDER BY turn) FILTER (NOT answer), '') || {ANSWER_HEADER} AS prompt_text,
+  string_agg({chatml('role', 'text')}, '' ORDER BY turn) AS full_text FROM last GROUP BY conv_id"""
+
 # --- sizes -----------------------------------------------------------------------------
 
 SIZES = """sizes AS (
@@ -266,7 +274,9 @@ WITH {PIX}, {PROFILE} SELECT idx, round(blur, 6) AS blur, height, width FROM pro
 ORACLES["profile_summary"] = f"""
 WITH {PIX}, {PROFILE}
 SELECT count(*) AS n_images, round(min(blur), 6) AS min_blur, round(max(blur), 6) AS max_blur,
-  round(avg(blur), 4) AS avg_blur, avg(CAST(height AS DOUBLE) * width) AS avg_area FROM profile"""
+  round(avg(blur), 4) AS avg_blur, avg(CAST(height AS DOUBLE) * width) AS avg_area,
+  {', '.join(f"round(quantile_disc(blur, {q}), 6) AS blur_q{i}, quantile_disc(CAST(height AS DOUBLE) * width, {q}) AS area_q{i}" for i, q in enumerate((0.05, 0.25, 0.5, 0.75, 0.95)))}
+FROM profile"""
 
 
 def hex_of(channels: int = 1) -> str:
@@ -387,6 +397,21 @@ ORACLES["interleave_sets"] = f"""
 WITH {SETS} SELECT doc_id, lang, source, ds_pos, row_number() OVER (ORDER BY rr, ds_pos) - 1 AS pos FROM turns"""
 ORACLES["interleave_wide"] = f"""
 WITH {SETS} SELECT row_number() OVER (ORDER BY rr, ds_pos) - 1 AS pos, doc_id, md5(text) AS digest FROM turns"""
+ORACLES["interleave_overlap"] = """
+WITH rows AS (
+  SELECT CAST(0 AS INTEGER) AS ds_pos, o_orderkey AS key, o_orderstatus AS kind FROM orders
+  UNION ALL SELECT 1, c_custkey, c_mktsegment FROM customer),
+turns AS (SELECT *, row_number() OVER (PARTITION BY ds_pos ORDER BY key) AS rr FROM rows)
+SELECT ds_pos, key, kind, row_number() OVER (ORDER BY rr, ds_pos) - 1 AS pos FROM turns"""
+ORACLES["prepared_overlap"] = f"""
+WITH {LABELLED},
+numbered AS (SELECT doc_id, label, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM labelled),
+cut AS (SELECT *, CAST(round_even(10 * n / 100.0, 0) AS BIGINT) AS k FROM numbered),
+held AS (
+  SELECT doc_id, label, 0 AS term FROM cut WHERE i < k UNION ALL SELECT doc_id, label, 1 FROM cut WHERE i >= n - k)
+SELECT 'train' AS split, i AS pos, 'docs/train/' || doc_id AS example_id, CAST(label AS INTEGER) AS label FROM cut
+UNION ALL
+SELECT 'eval', row_number() OVER (ORDER BY term, doc_id) - 1, 'docs/train/' || doc_id || '@' || term, label FROM held"""
 SHUFFLED = f"row_number() OVER (ORDER BY {h52('doc_id', 'shuffle')}, doc_id) - 1"
 ORACLES["seeded_shuffle"] = f"SELECT doc_id, lang, {SHUFFLED} AS pos FROM documents"
 ORACLES["sample_budget"] = f"""
@@ -435,6 +460,24 @@ def collated(max_length: int | None, multiple: int | None, completion_only: bool
       CAST(n - s AS INTEGER) AS n_loss_tokens{kind} FROM target"""
 
 
+ORACLES["collate_prepared"] = f"""
+WITH {DIALOGUES},
+marked AS (
+  SELECT *, CASE WHEN first_user AND NOT answer THEN repeat('{IMAGE_MARK}', CAST(conv_id % 3 AS INTEGER))
+    || CASE WHEN conv_id % 4 = 0 THEN '{VIDEO_MARK}' ELSE '' END ELSE '' END || text AS body FROM last),
+texts AS (
+  SELECT conv_id, (row_number() OVER (ORDER BY conv_id) - 1) // 8 AS batch_id,
+    coalesce(string_agg({chatml('role', 'body')}, '' ORDER BY turn) FILTER (NOT answer), '') || {ANSWER_HEADER} AS text,
+    coalesce(string_agg(text || '<|im_end|>' || chr(10), '') FILTER (answer), '') AS next_text
+  FROM marked GROUP BY conv_id),
+tokens AS (
+  SELECT conv_id, batch_id, [{WORD_ID} FOR w IN {WORDS.format('text')}] AS p, [{WORD_ID} FOR w IN {WORDS.format('next_text')}] AS c FROM texts),
+sized AS (SELECT *, list_concat(p, c) AS ids, CAST(len(p) + len(c) AS BIGINT) AS n, CAST(len(p) AS BIGINT) AS s FROM tokens),
+target AS (SELECT *, max(n) OVER (PARTITION BY batch_id) AS t FROM sized)
+SELECT conv_id, batch_id, array_to_string(list_concat(ids, {many('0', 't - n')}), ',') AS input_ids,
+  array_to_string(list_concat({many('1', 'n')}, {many('0', 't - n')}), ',') AS attention_mask,
+  array_to_string(list_concat({many('-100', 's')}, c, {many('-100', 't - n')}), ',') AS labels,
+  CAST(n - s AS INTEGER) AS n_loss_tokens FROM target"""
 ORACLES["collate_tokens"] = collated(None, None, True)
 ORACLES["collate_truncated"] = collated(60, 16, True, types=True)
 ORACLES["collate_full_loss"] = collated(None, None, False)

@@ -22,9 +22,11 @@ from lumenprep.streaming import streams
 from registry.fixtures import (
     LANGUAGES,
     SEED,
+    dialogues,
     exchanges,
     frame_size,
     gray_images,
+    in_language,
     joined,
     labelled,
     next_turns,
@@ -60,7 +62,7 @@ def language_datasets(spark: SparkSession, sf_dir: str) -> list[DatasetSpec]:
     specs = []
     for lang in LANGUAGES:
         media = F.col("text").cast("binary")
-        raw = rows.where(F.col("lang") == lang).select("doc_id", "text", "source", "label")
+        raw = rows.where(in_language(lang)).select("doc_id", "text", "source", "label")
         if lang == "en":
             raw = raw.withColumn("image", F.struct(media.alias("bytes"), F.col("source").alias("path")))
         else:
@@ -136,6 +138,14 @@ def prepared_named_eval(spark, sf_dir):
     return prepare(spark, job).select("split", "pos", "example_id", "dataset", "label", "degrade_fake")
 
 
+@query
+def prepared_overlap(spark, sf_dir):
+    """All labelled documents to train on, their first and last tenth also held out."""
+    rows = labelled(spark, sf_dir).select("doc_id", "text", "label")
+    spec = DatasetSpec("docs", frames={"train": rows}, id_column="doc_id", eval_split="train[:10%]+train[-10%:]")
+    return prepare(spark, JobSpec([spec], SEED)).select("split", "pos", "example_id", "label")
+
+
 # --- sources and schema ----------------------------------------------------------------
 
 
@@ -300,6 +310,17 @@ def completion_suffix(spark, sf_dir):
     )
 
 
+@query
+def chat_render_conversations(spark, sf_dir):
+    """Whole conversations with their system turns."""
+    whole = dialogues(spark, sf_dir)
+    return whole.select(
+        "conv_id",
+        template.render_messages(F.col("prompt"), TEMPLATE, add_answer_header=True).alias("prompt_text"),
+        template.render_messages(F.concat("prompt", "completion"), TEMPLATE).alias("full_text"),
+    )
+
+
 # --- sizes -----------------------------------------------------------------------------
 
 
@@ -385,6 +406,8 @@ def profile_summary(spark, sf_dir):
         F.round("max_blur", 6).alias("max_blur"),
         F.round("avg_blur", 4).alias("avg_blur"),
         "avg_area",
+        *[F.round(F.col("blur_quantiles")[i], 6).alias(f"blur_q{i}") for i in range(5)],
+        *[F.col("area_quantiles")[i].alias(f"area_q{i}") for i in range(5)],
     )
 
 
@@ -523,7 +546,7 @@ def hash_split(spark, sf_dir):
 
 def _by_language(spark, sf_dir) -> list[DataFrame]:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    return [docs.where(F.col("lang") == lang) for lang in LANGUAGES]
+    return [docs.where(in_language(lang)) for lang in LANGUAGES]
 
 
 @query
@@ -540,12 +563,20 @@ def interleave_sets(spark, sf_dir):
 def interleave_wide(spark, sf_dir):
     """The same with the texts joined to the positions."""
     docs = table(spark, sf_dir, "documents")
-    sets = [docs.where(F.col("lang") == lang) for lang in LANGUAGES]
+    sets = [docs.where(in_language(lang)) for lang in LANGUAGES]
     return mix.interleave(sets, ["doc_id"], key="doc_id").select(
         "pos", "doc_id", F.md5("text").alias("digest")
     )
 
 
+@query
+def interleave_overlap(spark, sf_dir):
+    """Two datasets with the same keys."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("kind"))
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("kind"))
+    return mix.interleave([orders, customers], ["key"], key="key").select("ds_pos", "key", "kind", "pos")
+
+
 @query
 def seeded_shuffle(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
@@ -623,6 +654,24 @@ def collate_truncated(spark, sf_dir):
     return _flat(done, "token_type_ids")
 
 
+@query
+def collate_prepared(spark, sf_dir):
+    """Whole conversations with images and videos, rendered, tokenised and collated."""
+    whole = dialogues(spark, sf_dir)
+    keys = index.global_index(whole.select("conv_id"), ["conv_id"], "pos")
+    media = F.struct(F.lit(b"").alias("bytes"), F.lit(None).cast("string").alias("path")).cast(ENCODED_IMAGE)
+    rows = mix.batches(whole.join(keys, "conv_id"), BATCH).withColumns(
+        {
+            "images": F.array_repeat(media, F.pmod("conv_id", F.lit(3)).cast("int")),
+            "video": F.when(F.pmod("conv_id", F.lit(4)) == 0, F.lit("")),
+        }
+    )
+    done = collate.collate_prepared(rows, template=TEMPLATE)
+    return done.select(
+        "conv_id", "batch_id", *[joined(F.col(c)).alias(c) for c in ("input_ids", "attention_mask", "labels")], "n_loss_tokens"
+    )
+
+
 @query
 def collate_full_loss(spark, sf_dir):
     return _flat(collate.collate(_tokens(spark, sf_dir), completion_only=False))
