@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lumenprep.functions.messages import QUESTION_HEAD, QUESTION_TAIL
-from lumenprep.operators.pixels import LUMA_TABLE
+from lumenprep.operators.pixels import LUMA_TABLE, NOISE_PRIME, NOISE_STEP, NOISE_UNIT, noise_scale
 
 ORACLES: dict[str, str] = {}
 
@@ -370,6 +370,38 @@ SELECT d.vec_id, CAST(c.label AS INTEGER) AS label, CAST(1 AS INTEGER) AS n_imag
   string_agg(repeat(printf('%02X', v), channels), '' ORDER BY y, x) AS pixels
 FROM done d JOIN choice c ON c.vec_id = d.vec_id GROUP BY d.vec_id, c.label, channels"""
 
+NOISE = f"""CAST((({{sum}} - {2 * NOISE_PRIME}) * {noise_scale(5)} + CAST({NOISE_PRIME} AS BIGINT) * {NOISE_UNIT // 2}
+  + CAST({NOISE_PRIME} AS BIGINT) * {64 * NOISE_UNIT}) // (CAST({NOISE_PRIME} AS BIGINT) * {NOISE_UNIT}) - 64 AS BIGINT)"""
+ORACLES["degrade_noise"] = f"""
+WITH {PIX}, {PROFILE},
+twice AS (SELECT row_number() OVER (ORDER BY idx, i) - 1 AS idx, blur FROM profile, range(0, 2) r(i)),
+plan AS (
+  SELECT 2 * vec_id + i AS id, vec_id, i AS image_pos, label % 2 AS label, label % 2 = 1 AS needed,
+    {choices("CAST(vec_id AS VARCHAR) || '#' || CAST(i AS VARCHAR)").replace(N_PROFILE, '(SELECT count(*) FROM twice)')}
+  FROM embeddings, range(0, 2) r(i)),
+choice AS (
+  SELECT p.*, needed AND p.jpeg AS pack, needed AND p.noise AS grain, needed AND p.blur AND b.blur > {dbl(1.2)} * t.blur AS soften
+  FROM plan p JOIN blurs b ON b.vec_id = p.vec_id JOIN twice t ON t.idx = p.blur_idx),
+soft AS ({blurred('pix', 'vec_id')}),
+softened AS (
+  SELECT c.id, c.quality, c.pack, c.grain, c.noise_seed, p.y, p.x, CASE WHEN c.soften THEN s.v ELSE p.v END AS v
+  FROM pix p JOIN choice c ON c.vec_id = p.vec_id JOIN soft s ON s.vec_id = p.vec_id AND s.y = p.y AND s.x = p.x),
+n0 AS (SELECT *, (noise_seed % {NOISE_PRIME} + (8 * y + x) * CAST({NOISE_STEP} AS BIGINT)) % {NOISE_PRIME} AS u FROM softened),
+n1 AS (SELECT *, u * u % {NOISE_PRIME} AS u1 FROM n0),
+n2 AS (SELECT *, (u1 + 1) * (u1 + 1) % {NOISE_PRIME} AS u2 FROM n1),
+n3 AS (SELECT *, (u2 + 2) * (u2 + 2) % {NOISE_PRIME} AS u3 FROM n2),
+n4 AS (SELECT *, (u3 + 3) * (u3 + 3) % {NOISE_PRIME} AS u4 FROM n3),
+stage1 AS (
+  SELECT id AS vec_id, quality, pack AS jpeg, y, x,
+    CASE WHEN grain THEN least(255, greatest(0, v + {NOISE.format(sum='(u1 + u2 + u3 + u4)')})) ELSE v END AS v FROM n4),
+{jpeg('(SELECT * FROM stage1 WHERE jpeg)', 'packed')},
+done AS (
+  SELECT vec_id, y, x, v, 1 AS channels FROM stage1 WHERE NOT jpeg UNION ALL
+  SELECT vec_id, y, x, v, 3 FROM packed)
+SELECT c.vec_id, CAST(c.label AS INTEGER) AS label, CAST(c.image_pos AS INTEGER) AS image_pos, CAST(channels AS INTEGER) AS channels,
+  string_agg(repeat(printf('%02X', v), channels), '' ORDER BY y, x) AS pixels
+FROM done d JOIN choice c ON c.id = d.vec_id GROUP BY c.vec_id, c.label, c.image_pos, channels"""
+
 # --- splits and order ------------------------------------------------------------------
 
 ORACLES["seeded_draws"] = f"""

@@ -486,7 +486,7 @@ def degrade_apply(spark, sf_dir):
 
 @query
 def degrade_noise(spark, sf_dir):
-    """The whole chain with noise."""
+    """The whole chain with noise, on both images of every row."""
     rows = gray_images(spark, sf_dir).select(
         "vec_id",
         "label",
@@ -495,7 +495,13 @@ def degrade_noise(spark, sf_dir):
         F.lit("train").alias("split"),
     )
     done = images.degrade(rows, images.real_profile(rows, "vec_id"), DegradeParams(), SEED, key="vec_id")
-    return done.select("vec_id", "label", F.size("images").alias("n_images"), F.hex(F.col("images")[1]["data"]).alias("pixels"))
+    return done.select("vec_id", "label", F.posexplode("images").alias("image_pos", "image")).select(
+        "vec_id",
+        "label",
+        "image_pos",
+        F.col("image.nChannels").alias("channels"),
+        F.hex("image.data").alias("pixels"),
+    )
 
 
 # --- splits and order ------------------------------------------------------------------
