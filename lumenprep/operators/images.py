@@ -369,6 +369,8 @@ def degrade(
             F.sequence(F.lit(0), F.size("images") - 1),
             lambda i: draw_plan(image_key(F.col(key), i), size, params, seed),
         )
+    elif df.isStreaming:
+        raise ValueError("the profile is too large to be sent to the tasks of a stream")
     else:
         run = _degrade_udf(params, None)
         per_image = plan_rows(

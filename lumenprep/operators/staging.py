@@ -8,9 +8,11 @@ broadcasts it only when it is below ``spark.sql.autoBroadcastJoinThreshold``.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,10 +49,28 @@ def staged_path(spark: SparkSession, name: str) -> str:
     return f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_scopes = threading.local()
+
+
+@contextmanager
+def staging_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at the end; what is read from them must be written by then."""
+    outer = getattr(_scopes, "paths", None)
+    _scopes.paths = []
+    try:
+        yield
+    finally:
+        for path in _scopes.paths:
+            _delete(spark, path)
+        _scopes.paths = outer
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return the written table."""
     spark = df.sparkSession
     path = staged_path(spark, name)
+    if getattr(_scopes, "paths", None) is not None:
+        _scopes.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -84,6 +104,9 @@ def join_staged(
 
 def clear_staged(spark: SparkSession) -> bool:
     """Delete what this application has staged; results read from it are gone afterwards."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(staging_root(spark))
+    return _delete(spark, staging_root(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lumenprep.operators.evaluate import answer_metrics, evaluate
+from lumenprep.operators.images import degrade, needs_degradation
+from lumenprep.operators.index import require_unique
 from lumenprep.operators.mix import interleave_position
+from lumenprep.operators.staging import stage, staging_scope
 from lumenprep.plans.prepare import with_messages
-from lumenprep.plans.spec import DatasetSpec, check_eval_split
+from lumenprep.plans.spec import DatasetSpec, DegradeParams, check_eval_split
 from lumenprep.sources.load import split_path, with_row_key
 from lumenprep.sources.schema import SOURCE_ORDER, reconcile
 
@@ -34,11 +37,17 @@ def prepare_stream(
     split: str = "train",
     prompt_policy: str = "regenerate",
     completion_policy: str = "keep",
+    profile: DataFrame | None = None,
+    params: DegradeParams = DegradeParams(),
+    seed: int = 0,
+    degrade_eval: bool = False,
 ) -> DataFrame:
     """Datasets as one stream in the signature, with prompts and completions.
 
     A fraction cannot be held out of a stream; a named eval split is a second call with
-    ``split="eval"``, where prompts are usually kept.
+    ``split="eval"``, where prompts are usually kept. With a profile of real images (small
+    enough to be sent to the tasks) the fake images are degraded as in ``prepare``: choices
+    depend on seed and id alone, so a stream needs no state for them.
     """
     if not streams:
         raise ValueError("there is no stream to put together")
@@ -51,7 +60,10 @@ def prepare_stream(
         keyed = with_row_key(raw, key, raw.schema[spec.id_column].dataType, spec, split)
         constants = {"dataset": spec.name, "ds_pos": i, "degrade_fake": spec.degrade_fake, "split": split}
         parts.append(reconcile(keyed, constants, spec.image_type))
-    return with_messages(reduce(DataFrame.unionByName, parts), prompt_policy, completion_policy)
+    rows = with_messages(reduce(DataFrame.unionByName, parts), prompt_policy, completion_policy)
+    if profile is None:
+        return rows
+    return degrade(rows, profile, params, seed, needed=needs_degradation(degrade_eval))
 
 
 def write_stream(
@@ -61,15 +73,18 @@ def write_stream(
     """Parquet under ``path``, one folder per micro-batch.
 
     With ``n_datasets`` the datasets are interleaved within each micro-batch (``pos``);
-    a stream has no order beyond it. A repeated micro-batch overwrites its own folder.
+    a stream has no order beyond it. A repeated micro-batch overwrites its own folder, and
+    leaves nothing staged.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if n_datasets is not None:
-            narrow = batch.select("example_id", "ds_pos", *SOURCE_ORDER)
-            place = interleave_position(narrow, SOURCE_ORDER, n_datasets)
-            batch = batch.join(place.select("example_id", "pos"), "example_id")
-        batch.write.mode("overwrite").parquet(f"{path}/micro_batch={batch_id}")
+        with staging_scope(batch.sparkSession):
+            if n_datasets is not None:
+                narrow = stage(batch.select("example_id", "ds_pos", *SOURCE_ORDER), "keys")
+                require_unique(narrow, ["example_id"], "ids of the micro-batch")
+                place = interleave_position(narrow, SOURCE_ORDER, n_datasets)
+                batch = batch.join(place.select("example_id", "pos"), "example_id")
+            batch.write.mode("overwrite").parquet(f"{path}/micro_batch={batch_id}")
 
     writer = prepared.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -573,10 +573,11 @@ FROM tagged GROUP BY ROLLUP (dataset, split, label)"""
 # --- streams ---------------------------------------------------------------------------
 
 ORACLES["stream_prepare"] = f"""
-SELECT CASE WHEN lang = 'en' THEN 'image' ELSE 'text' END || '/train/' || CAST(doc_id AS VARCHAR) AS example_id,
+SELECT row_number() OVER (ORDER BY rr, lang IS NOT DISTINCT FROM 'en') - 1 AS pos, CASE WHEN lang = 'en' THEN 'image' ELSE 'text' END || '/train/' || CAST(doc_id AS VARCHAR) AS example_id,
   CAST(doc_id % 2 AS INTEGER) AS label,
   '{QUESTION_HEAD}' || CASE WHEN lang = 'en' THEN 'image' ELSE 'video' END || '{QUESTION_TAIL}' AS prompt,
   CASE WHEN doc_id % 2 = 1 THEN 'Fake' ELSE 'Real' END AS completion,
-  CASE WHEN lang <> 'en' THEN CAST(strlen(text) AS BIGINT) ELSE -1 END AS video_bytes,
-  CASE WHEN lang = 'en' THEN CAST(strlen(text) AS BIGINT) ELSE -1 END AS image_bytes FROM documents"""
+  CASE WHEN lang IS DISTINCT FROM 'en' THEN CAST(strlen(text) AS BIGINT) ELSE -1 END AS video_bytes,
+  CASE WHEN lang = 'en' THEN CAST(strlen(text) AS BIGINT) ELSE -1 END AS image_bytes
+FROM (SELECT *, row_number() OVER (PARTITION BY lang IS NOT DISTINCT FROM 'en' ORDER BY doc_id) AS rr FROM documents)"""
 ORACLES["stream_accuracy"] = f"SELECT lang, {METRICS} FROM documents JOIN labels USING (doc_id) GROUP BY lang"

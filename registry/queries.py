@@ -823,13 +823,15 @@ def dataset_report(spark, sf_dir):
 @query
 def stream_prepare(spark, sf_dir):
     """Documents as two file streams, prepared and interleaved, equal to the batch rows."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table(spark, sf_dir, "documents").schema)
     specs = [
-        DatasetSpec(name, path=sf_dir, id_column="doc_id", image_type=ENCODED_IMAGE)
+        DatasetSpec(name, path=sf_dir, id_column="doc_id", image_type=ENCODED_IMAGE, schema=schema)
         for name in ("text", "image")
     ]
-    raw = [stream_of(spark, sf_dir, "documents") for _ in specs]
+    # A pattern, as the table may be one file or a folder.
+    raw = [streams.read_stream(spark, spec, "documents.parque[t]") for spec in specs]
     label = F.pmod("doc_id", F.lit(2)).cast("int")
-    video = raw[0].where("lang <> 'en'").select(
+    video = raw[0].where("lang IS DISTINCT FROM 'en'").select(
         "doc_id", F.base64(F.col("text").cast("binary")).alias("video"), label.alias("label")
     )
     image = F.struct(F.col("text").cast("binary").alias("bytes"), F.col("source").alias("path"))
@@ -840,6 +842,7 @@ def stream_prepare(spark, sf_dir):
     job.awaitTermination()
     done = spark.read.parquet(f"{out}/rows")
     return done.select(
+        "pos",
         "example_id",
         "label",
         F.col("prompt")[0]["content"].alias("prompt"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 
 from pyspark.sql import functions as F
@@ -110,3 +112,27 @@ def test_job_from_a_dict_takes_everything(spark):
     )
     assert [d.format for d in job.datasets] == ["parquet", "json"] and job.datasets[1].options == {"multiLine": "true"}
     assert job.datasets[0].schema is None and job.degrade.probability == 0.5
+
+
+def test_stream_degrades_like_a_batch_and_leaves_nothing_staged(spark, tmp_path):
+    from lumenprep.operators.staging import staging_root
+    from lumenprep.sources.schema import IMAGE
+    from lumenprep.streaming import streams
+
+    picture = F.struct(F.lit("").alias("origin"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), F.sha2(F.col("id").cast("string"), 512).cast("binary").alias("data")).cast(IMAGE)
+    rows = spark.range(60).select("id", F.pmod("id", F.lit(2)).cast("int").alias("label"), F.array(picture).alias("images"))
+    rows = rows.withColumn("images", F.transform("images", lambda i: i.withField("data", F.substring(i["data"], 1, 64))))
+    rows.write.parquet(str(tmp_path / "set/train"))
+    spec_ = DatasetSpec("a", path=str(tmp_path / "set"), id_column="id", schema=", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
+    profile = spark.createDataFrame([(0, 1.0, 8, 8), (1, 50.0, 16, 4)], "idx bigint, blur double, height int, width int")
+    params = images.DegradeParams(probability=0.7)
+    prepared = streams.prepare_stream([(spec_, streams.read_stream(spark, spec_, "train"))], profile=profile, params=params, seed=5)
+    root = staging_root(spark).removeprefix("file:")
+    staged = set(os.listdir(root)) if os.path.isdir(root) else set()
+    streams.write_stream(prepared, str(tmp_path / "out"), str(tmp_path / "check"), n_datasets=1).awaitTermination()
+    assert (set(os.listdir(root)) if os.path.isdir(root) else set()) == staged
+    got = spark.read.parquet(str(tmp_path / "out"))
+    job = JobSpec([spec_], seed=5, degrade=params)
+    want = prepare(spark, job, profile=profile)
+    take = lambda df: sorted((r.example_id, r.pos, bytes(r.images[0].data)) for r in df.collect())
+    assert take(got) == take(want) and len(take(got)) == 60
