@@ -25,8 +25,6 @@ that stand twice. An empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
-
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -71,7 +69,7 @@ def anchors(block: Block, length: int, gram: int) -> tuple[np.ndarray, np.ndarra
 
 
 def find_spots(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """A row per anchor of ``texts`` (doc_id, tid, text): doc_id, tid, pos, anchor, ctx, before, after.
+    """A row per anchor of ``texts`` (doc_id, text_hash, text): doc_id, text_hash, pos, anchor, ctx, before, after.
 
     ``before`` and ``after`` are the bytes of the text around ``pos`` that windows with this anchor can reach;
     ``ctx`` is a hash of them all.
@@ -84,7 +82,7 @@ def find_spots(texts: DataFrame, length: int, gram: int) -> DataFrame:
             before = np.minimum(at - block.offsets[row], length - gram)
             after = np.minimum(block.offsets[row + 1] - at, length)
             ctx = mix64(prefix.ranges(at - before, at + after) ^ mix64((before * (length + 1) + after).astype(np.uint64)))
-            rows = block.rows.select(["doc_id", "tid"]).take(pa.array(row))
+            rows = block.rows.select(["doc_id", "text_hash"]).take(pa.array(row))
             yield pa.RecordBatch.from_arrays(
                 [
                     *rows.columns,
@@ -94,12 +92,12 @@ def find_spots(texts: DataFrame, length: int, gram: int) -> DataFrame:
                     pa.array(before.astype(np.int32)),
                     pa.array(after.astype(np.int32)),
                 ],
-                names=["doc_id", "tid", "pos", "anchor", "ctx", "before", "after"],
+                names=["doc_id", "text_hash", "pos", "anchor", "ctx", "before", "after"],
             )
 
     schema = T.StructType(
         [
-            *texts.select("doc_id", "tid").schema.fields,
+            *texts.select("doc_id", "text_hash").schema.fields,
             *[T.StructField(c, T.LongType()) for c in ("pos", "anchor", "ctx")],
             *[T.StructField(c, T.IntegerType()) for c in ("before", "after")],
         ]
@@ -285,37 +283,43 @@ def count_windows(surroundings: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def find_repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """Staged table of texts with repeats, of ``rows`` (doc_id, tid, text): tid, whole, spans (start, end; may overlap)."""
+    """Staged table of texts with repeats, of ``rows`` (doc_id, text_hash, text): whole, spans (start, end; may overlap).
+
+    A row of the input is known by its doc_id and the hash of its text.
+    """
     spots = stage(find_spots(rows, length, gram), "spots")
-    # Copies of a text have the same spots: one is kept.
-    places = spots.groupBy("tid", "pos", "anchor", "ctx", "before", "after").agg(F.min("doc_id").alias("doc_id"))
-    kinds = places.groupBy("anchor", "ctx", "before", "after").agg(
-        F.count("*").alias("n"), F.min(F.struct("tid", "pos")).alias("one"), F.min_by("doc_id", F.struct("tid", "pos")).alias("doc_id")
+    # Most anchors stand once in the corpus; only the others go on.
+    several = spots.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("anchor")
+    spots = stage(spots.join(several, "anchor"), "spots")
+    kinds = spots.groupBy("anchor", "ctx", "before", "after").agg(
+        F.count("*").alias("n"), F.min(F.struct("text_hash", "pos", "doc_id")).alias("one")
     )
-    groups = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where(F.col("total") > 1)
-    kinds = stage(kinds.join(groups, "anchor"), "kinds")
+    kinds = stage(kinds.join(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchor"), "kinds")
     wanted = (
         kinds.where(F.col("kinds") > 1)
-        .groupBy(F.col("one.tid").alias("_tid"), F.col("doc_id").alias("_id"))
+        .groupBy(F.col("one.text_hash").alias("_hash"), F.col("one.doc_id").alias("_id"))
         .agg(F.collect_list(F.struct("anchor", "ctx", F.col("one.pos").alias("pos"), (F.col("kinds") > group_limit).alias("large"))).alias("spots"))
     )
-    texts = rows.join(wanted, (F.col("tid") == F.col("_tid")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    texts = rows.join(wanted, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     of = lambda large: texts.select("text", F.filter("spots", lambda s: s["large"] == large).alias("spots")).where(F.size("spots") > 0)
     expanded = expand_groups(cut_surroundings(of(False), length, gram), length, gram)
     if kinds.where(F.col("kinds") > group_limit).limit(1).count():
         expanded = expanded.unionByName(count_windows(cut_surroundings(of(True), length, gram), length, gram))
     # Surroundings that stand more than once are repeated at every offset they have.
-    several = kinds.where(F.col("n") > 1).select("anchor", "ctx", F.greatest(F.lit(0), length - F.col("after")).alias("low"), F.col("before").alias("high")).where("low <= high")
-    ranges = expanded.unionByName(several).groupBy("anchor", "ctx").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    equal = kinds.where(F.col("n") > 1).select("anchor", "ctx", F.greatest(F.lit(0), length - F.col("after")).alias("low"), F.col("before").alias("high")).where("low <= high")
+    ranges = stage(expanded.unionByName(equal).groupBy("anchor", "ctx").agg(F.min("low").alias("low"), F.max("high").alias("high")), "ranges")
     spans = (
-        places.join(ranges, ["anchor", "ctx"])
-        .select("tid", F.struct((F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + length).alias("end")).alias("span"))
-        .groupBy("tid")
-        .agg(F.collect_list("span").alias("spans"))
+        spots.join(ranges, ["anchor", "ctx"])
+        .select("doc_id", "text_hash", F.struct((F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + length).alias("end")).alias("span"))
+        .groupBy("doc_id", "text_hash")
+        .agg(F.collect_set("span").alias("spans"), F.lit(False).alias("whole"))
     )
-    copies = rows.where(F.octet_length("text") >= length).groupBy("tid").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("tid", F.lit(True).alias("whole"))
-    joined = copies.join(spans, "tid", "full")
-    return stage(joined.select("tid", F.coalesce("whole", F.lit(False)).alias("whole"), F.when(F.col("whole").isNull(), F.col("spans")).alias("spans")), "repeats")
+    ids = stage(rows.where(F.octet_length("text") >= length).select("doc_id", "text_hash", F.unhex(F.md5("text")).alias("tid")), "ids")
+    copies = ids.groupBy("tid").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("tid")
+    none = F.array().cast(spans.schema["spans"].dataType)
+    whole = ids.join(copies, "tid").select("doc_id", "text_hash", none.alias("spans"), F.lit(True).alias("whole"))
+    both = spans.unionByName(whole).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.max("whole").alias("whole"))
+    return stage(both.select("doc_id", "text_hash", "whole", F.when(F.col("whole"), none).otherwise(F.col("spans")).alias("spans")), "repeats")
 
 
 def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -329,8 +333,8 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """doc_id, n_bytes, spans (start and end of every removed run), kept (bytes that are left), one row per input row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("tid", F.unhex(F.md5("text")))
-    repeats = find_repeats(rows, length, gram, group_limit)
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    repeats = find_repeats(rows, length, gram, group_limit).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
@@ -361,8 +365,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([rows.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.BinaryType())])
-    return rows.join(repeats, "tid", "left").select("doc_id", "text", "whole", "spans").mapInArrow(run, schema)
-
-
-def digest(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
+    same = (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    return rows.join(repeats, same, "left").select("doc_id", "text", "whole", "spans").mapInArrow(run, schema)
