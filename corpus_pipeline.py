@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from lumenprep.llm import decontaminate, line_dedup, mixing, near_dup, quality
 from lumenprep.operators.staging import stage
+from lumenprep.plans.session import ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents that the quality classifier scores under 0.3."""
+    ship_package(spark)
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = quality.score_quality(docs, model, out="_quality")
     return scored.where(F.col("_quality") >= 0.3).drop("_quality")
@@ -32,11 +34,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    ship_package(spark)
     return near_dup.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
+    ship_package(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

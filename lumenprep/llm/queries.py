@@ -19,6 +19,7 @@ from lumenprep.llm import (
     quality,
     suffix_dedup,
 )
+from lumenprep.plans.session import ship_package
 
 QUALITY = 0.3
 SAID = "</s>[INST] ok [/INST]"
@@ -118,17 +119,27 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shipped(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query after this package has been sent to the executors."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return function(spark, sf_dir)
+
+    return run
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_mix_sources": op1_mix_sources,
-    "op2_fingerprints": op2_fingerprints,
-    "op3_line_dedup": op3_line_dedup,
-    "op4_language": op4_language,
-    "op5_lm_scoring": op5_lm_scoring,
-    "op6_near_copies": op6_near_copies,
-    "op7_quality": op7_quality,
-    "op8_contamination": op8_contamination,
-    "op9_format_conversations": op9_format_conversations,
-    "op10_repeats": op10_repeats,
+    "op1_mix_sources": shipped(op1_mix_sources),
+    "op2_fingerprints": shipped(op2_fingerprints),
+    "op3_line_dedup": shipped(op3_line_dedup),
+    "op4_language": shipped(op4_language),
+    "op5_lm_scoring": shipped(op5_lm_scoring),
+    "op6_near_copies": shipped(op6_near_copies),
+    "op7_quality": shipped(op7_quality),
+    "op8_contamination": shipped(op8_contamination),
+    "op9_format_conversations": shipped(op9_format_conversations),
+    "op10_repeats": shipped(op10_repeats),
 }
 
 _ESCAPES = [(chat.SIGN, chat.SIGN + chat.SELF), *[(c, chat.SIGN + k) for c, k in zip(chat.CONTROLS, chat.CODES)]]
