@@ -8,11 +8,12 @@ weighted Jaccard similarity. Points are generated in the order of time and a pro
 than all components found, so a signature costs little more than a point per shingle.
 
 Equal texts are one text from the start. Bands of the signature are buckets. In a bucket the most central text (the one
-with the most neighbours in all its buckets) is compared with the others by the exact multiset overlap. Texts that
-are in one group with it are done with. While a bucket still holds texts of different groups that nobody has compared,
-more of its texts are compared with those of other groups (1, 2, 4, ... a round), so that in the end no link between two
-texts of a bucket is missing, and a large group of copies costs a comparison each and not one per pair. Comparisons
-that the numbers of shingles rule out are left out. Groups are the connected components of the links.
+with the most neighbours in all its buckets) is compared with the others by the exact multiset overlap, and texts that
+are in one group with it are done with. What is left is looked at again: shingles that stand in no other text bound the
+overlap of a text with any other, and comparisons that cannot reach the threshold by that bound are left out. While a bucket still holds texts of different groups, more
+of its texts, those of small groups first, are compared with those of other groups (256, 1024, ... a round). So in the end no
+link between two texts of a bucket is missing, and a large group of copies costs a comparison each and not one per pair.
+Groups are the connected components of the links.
 
 Texts under five words are one shingle. Texts without words are near copies only of equal texts. NULL texts are empty.
 A group's id is its smallest doc_id (NULL if it has none).
@@ -35,6 +36,7 @@ from lumenprep.operators.staging import stage
 WORDS = 5
 BANDS, ROWS = 24, 4
 THRESHOLD = 0.8
+MORE_PIVOTS = 256  # of a bucket in the second round of comparisons; four times as many in each later one
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -180,34 +182,38 @@ def find_groups(rows: DataFrame, threshold: float, bands: int, band_rows: int, w
         rows.join(members.select("tid").distinct(), "tid", "left_semi").groupBy("tid").agg(F.any_value("text").alias("text")), "texts"
     )
     groups = None
-    tested = None
+    done = None  # (key, tid) of texts that were compared with all others of their bucket
+    rests = None  # tid and rest: how many of a text's shingles stand in other texts as well
     many = 1
     while True:
         now = members.withColumn("root", F.col("tid")) if groups is None else members.join(groups, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-        if tested is None:
-            left = now
+        left = now if done is None else now.join(done, ["key", "tid"], "left_anti")
+        if rests is None:
+            left = left.withColumn("rest", F.col("size"))
         else:
-            # A text that was compared with all others of its bucket has nothing left to find there.
-            left = now.join(tested, ["key", "tid"], "left_anti")
-        open_keys = (
-            left.groupBy("key")
-            .agg(F.count("*").alias("_left"), F.min("root").alias("_low"), F.max("root").alias("_high"))
-            .where((F.col("_left") > 1) & (F.col("_low") != F.col("_high")))
-            .select("key")
-        )
-        waiting = left.join(open_keys, "key")
-        order = Window.partitionBy("key").orderBy(F.desc("central"), "tid")
-        pivots = (
-            waiting.withColumn("_rank", F.row_number().over(order))
+            smallest = left.groupBy("key").agg(F.min("size").alias("_smallest"))
+            left = left.join(rests, "tid").join(smallest, "key").where(possible(F.col("rest"), F.col("size"), F.greatest("_smallest", "rest"), threshold)).drop("_smallest")
+        open_keys = left.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where(F.col("_low") != F.col("_high")).select("key")
+        waiting = stage(left.join(open_keys, "key"), "waiting")
+        if not waiting.limit(1).count():
+            break
+        if done is not None and rests is None:
+            rests = stage(shared_shingles(waiting, texts, words), "rests")
+            continue
+        # First the texts of small groups: when they are through, the large group has nothing left to meet.
+        crowd = waiting.groupBy("key", "root").agg(F.count("*").alias("_crowd"))
+        by_crowd = [F.col("_crowd")] if done is not None else []
+        order = Window.partitionBy("key").orderBy(*by_crowd, F.desc("central"), "tid")
+        pivots = stage(
+            waiting.join(crowd, ["key", "root"])
+            .withColumn("_rank", F.row_number().over(order))
             .where(F.col("_rank") <= many)
-            .select("key", F.col("tid").alias("b"), F.col("root").alias("_root_b"), F.col("size").alias("_size_b"))
+            .select("key", F.col("tid").alias("b"), F.col("root").alias("_root_b"), F.col("size").alias("_size_b"), F.col("rest").alias("_rest_b")),
+            "pivots",
         )
-        pivots = stage(pivots, "pivots")
-        if not pivots.limit(1).count():
-            break
         pairs = (
             waiting.join(pivots, "key")
-            .where((F.col("root") != F.col("_root_b")) & (F.least("size", "_size_b") >= threshold * F.greatest("size", "_size_b") - 1e-9))
+            .where((F.col("root") != F.col("_root_b")) & possible(F.least("rest", "_rest_b"), F.col("size"), F.col("_size_b"), threshold))
             .select(F.least("tid", "b").alias("a"), F.greatest("tid", "b").alias("b"))
             .distinct()
         )
@@ -220,14 +226,39 @@ def find_groups(rows: DataFrame, threshold: float, bands: int, band_rows: int, w
         if links.limit(1).count():
             edges = links if groups is None else links.unionByName(groups.select(F.col("tid").alias("a"), F.col("root").alias("b")))
             groups = connected_components(edges)
-        done = pivots.select("key", F.col("b").alias("tid"))
-        tested = stage(done if tested is None else tested.unionByName(done), "tested")
-        many *= 2
+        through = pivots.select("key", F.col("b").alias("tid"))
+        done = stage(through if done is None else done.unionByName(through), "done")
+        many = many * 4 if many > 1 else MORE_PIVOTS
     if groups is None:
         return members.select("tid", F.col("tid").alias("root")).limit(0)
     return groups
 
 
+def possible(shared: Column, size: Column, other: Column, threshold: float) -> Column:
+    """Whether two texts of these sizes can be near when at most ``shared`` shingles stand in both."""
+    most = F.least(shared, size, other)
+    return most >= threshold * (size + other - most) - 1e-9
+
+
+def shared_shingles(waiting: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """tid, rest: how many shingles of each text of ``waiting`` stand in another of them, with their weights.
+
+    Two of the texts overlap in no more than the smaller of their rests.
+    """
+    sizes = waiting.select("tid", "size").distinct()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text"):
+            h, text_of, n = weigh(*shingles(block, words))
+            tids = block.rows.column("tid").take(pa.array(text_of))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), tids, pa.array(n)], names=["shingle", "tid", "n"])
+
+    held = texts.join(sizes, "tid", "left_semi").select("tid", "text").mapInArrow(run, "shingle bigint, tid binary, n bigint")
+    own = held.groupBy("shingle").agg(F.count("*").alias("_texts"), F.min("tid").alias("tid"), F.sum("n").alias("n")).where(F.col("_texts") == 1)
+    alone = own.groupBy("tid").agg(F.sum("n").alias("_alone"))
+    return sizes.join(alone, "tid", "left").select("tid", (F.col("size") - F.coalesce("_alone", F.lit(0))).alias("rest"))
+
+
 def near_copies(
     docs: DataFrame,
     id_col: str = "doc_id",
