@@ -39,7 +39,7 @@ from lumenprep.operators.staging import stage
 
 LENGTH = 400
 GRAM = 64
-GROUP_LIMIT = 20_000
+GROUP_LIMIT = 80_000  # surroundings of one anchor in a task: 736 bytes each, at most about 56 MiB
 BLOCK_ROWS = 8_000
 _PLACE = np.uint64(0xFFFFFFFF)
 
