@@ -23,7 +23,7 @@ def stages(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     # Repeated rows, NULL and empty texts, NULL ids, sources and languages.
     odd = spark.createDataFrame(
-        [(5, None, None, None, None), (6, "", "en", "src1", 0), (None, "A text of its own without an id, that nothing else is like at all.", "en", None, 67)] + [(7000, "The same row of words stands here many times over and over.", "en", "src2", 60)] * 30,
+        [(9005, None, None, None, None), (9006, "", "en", "src1", 0), (None, "A text of its own without an id, that nothing else is like at all.", "en", None, 67)] + [(7000, "The same row of words stands here many times over and over.", "en", "src2", 60)] * 30,
         docs.schema,
     )
     out = [stage(docs.unionByName(odd), "input")]
