@@ -2,8 +2,8 @@
 
 A mask such as ``1101`` picks some of the words at a position and ignores the others, so its hash is
 the same where only ignored words differ. Hashes of all masks at all positions of all documents meet
-those of the benchmark, and every hit is verified: along its diagonal, the ungapped stretch with the
-best score (a point per equal word, a penalty per other word) must reach enough words.
+those of the benchmark, and every hit is verified: along its diagonal, the ungapped stretch with most
+equal words, among those with a large enough share of them, must reach enough words.
 
 Document hashes first pass a bitmap of the benchmark's hashes. It has a fixed size (8 MiB), so it can be
 sent to every task whatever the benchmark's size; it lets all hits pass, and few others. What passes
@@ -155,18 +155,28 @@ def document_hits(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def best_stretch(same: np.ndarray, penalty: float) -> tuple[int, int]:
-    """Start and end of the stretch with the highest score; a point per True, minus ``penalty`` per False."""
-    sums = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -penalty))])
-    gain = sums - np.minimum.accumulate(sums)
-    end = int(np.argmax(gain))
-    return int(np.argmin(sums[: end + 1])), end
+def best_stretch(same: np.ndarray, min_identity: float) -> tuple[int, int]:
+    """Start and end of the stretch with most True among those whose share of True is at least ``min_identity``.
+
+    Of several the shortest. It begins and ends with True; without any it is empty.
+    """
+    equal = np.concatenate([[0], np.cumsum(same)])
+    over = equal - min_identity * np.arange(len(equal))  # a stretch has the share if this does not fall
+    highest = np.maximum.accumulate(over[::-1])[::-1]  # from here on, so the last end that is high enough can be looked up
+    end = np.searchsorted(-highest, -over + 1e-9, side="right") - 1
+    matched = equal[end] - equal
+    most = matched.max()
+    if not most:
+        return 0, 0
+    hits = np.flatnonzero(same)
+    begin = np.searchsorted(hits, np.flatnonzero(matched == most))  # in ``hits``, of every best stretch
+    size = hits[begin + most - 1] - hits[begin]
+    first = begin[np.argmin(size)]
+    return int(hits[first]), int(hits[first + most - 1]) + 1
 
 
 def verify(pairs: DataFrame, min_matched: int, min_share: float, min_identity: float) -> DataFrame:
     """Best stretch of each pair (doc_id, text, item, item_text, diagonals) that is long enough."""
-    penalty = min_identity / (1 - min_identity)
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks([batch], "text"):
@@ -181,12 +191,12 @@ def verify(pairs: DataFrame, min_matched: int, min_share: float, min_identity: f
                     for d in sorted(diagonals):
                         low, high = max(0, -d), min(len(item), len(doc) - d)
                         same = item[low:high] == doc[low + d : high + d]
-                        begin, end = best_stretch(same, penalty)
+                        begin, end = best_stretch(same, min_identity)
                         matched = int(same[begin:end].sum())
                         if matched > best[0]:
                             best = (matched, end - begin, low + begin + d)
                     need = min(min_matched, int(np.ceil(min_share * len(item))))
-                    if best[0] >= need and best[0] >= min_identity * best[1]:
+                    if best[0] >= need:
                         found.append((i, len(item), *best))
                 if found:
                     at, size, matched, aligned, start = (list(x) for x in zip(*found, strict=True))

@@ -221,3 +221,41 @@ def test_no_items_or_documents(spark):
     assert decontaminate.find_contamination(docs, items.limit(0)).count() == 0
     assert decontaminate.find_contamination(docs.limit(0), items).count() == 0
     assert decontaminate.find_contamination(docs, items).count() == 1
+
+
+def substituted(rng, item, places):
+    out = list(item)
+    for p in places:
+        out[p] = f"other{rng.randrange(10**6)}"
+    return out
+
+
+def test_stretch_with_most_equal_words():
+    rng = random.Random(11)
+    for _ in range(600):
+        same = [rng.random() < rng.choice([0.5, 0.75, 0.9]) for _ in range(rng.randrange(40))]
+        shares = [(sum(same[a:b]), a - b) for a in range(len(same)) for b in range(a + 1, len(same) + 1) if sum(same[a:b]) >= 0.75 * (b - a)]
+        begin, end = decontaminate.best_stretch(np.array(same, bool), 0.75)
+        assert (sum(same[begin:end]), begin - end) == max(shares, default=(0, 0))
+    nine = np.array([True] * 9 + [False] * 3 + [True] * 9)
+    assert decontaminate.best_stretch(nine, 0.75) == (0, 21)
+
+
+def test_items_with_substitutions(spark):
+    rng = random.Random(12)
+    items, docs = [], []
+    for n, k in [(16, 2), (16, 3), (20, 3), (20, 4), (24, 4), (15, 2), (21, 3)] * 12:
+        i = len(items)
+        item = [f"w{i}x{j}" for j in range(n)]
+        # Adjacent in every other case; a run of eight words is left, so a seed stands in the document.
+        while True:
+            begin = rng.randrange(n - k)
+            places = range(begin, begin + k) if i % 2 else sorted(rng.sample(range(n), k))
+            if max(b - a - 1 for a, b in zip([-1, *places], [*places, n], strict=True)) >= 8:
+                break
+        items.append(item)
+        docs.append((i, " ".join(["before", *substituted(rng, item, places), "after"])))
+    found = decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id bigint, text string")).collect()
+    want = {i: best(items[i], text.split()) for i, text in docs}
+    assert {r.doc_id: r.matched for r in found} == {i: m for i, m in want.items() if m >= min(13, -(-8 * len(items[i]) // 10))}
+    assert all(r.doc_id == r.item_id and r.matched >= 0.75 * r.aligned for r in found) and len(found) > 60
