@@ -26,9 +26,25 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.where(F.col("_quality") >= 0.3).drop("_quality")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """host, text: of each source one text of every group of near copies, and every other text once."""
+    texts = docs.select(F.coalesce("source", F.lit("")).alias("host"), near_dup.text_id(F.col("text")).alias("tid"), F.coalesce("text", F.lit("")).alias("text"))
+    groups = near_dup.find_groups(texts.select("tid", "text"), near_dup.THRESHOLD, near_dup.BANDS, near_dup.ROWS, near_dup.WORDS)
+    members = texts.select("host", "tid").join(groups, "tid")
+    first = members.groupBy("host", "root").agg(F.min("tid").alias("tid")).select("host", "tid")
+    more = stage(members.select("host", "tid").distinct().join(first, ["host", "tid"], "left_anti"), "more_copies")
+    return texts.join(more, ["host", "tid"], "left_anti").dropDuplicates(["host", "tid"]).select("host", "text")
+
+
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop lines that more than 30 % of a source's documents have; no document goes."""
-    out = line_dedup.drop_boilerplate(docs, F.col("source"), F.col("text"), "text").select(*docs.columns)
+    """Drop lines that recur over the texts of a source, near copies counted as one text; no document goes.
+
+    More than 30 % of a source's texts must have the line (of 5 texts or more).
+    """
+    ship_package(spark)
+    out = line_dedup.drop_boilerplate(
+        docs, F.col("source"), F.col("text"), "text", counted=one_of_each(docs)
+    ).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
 
 

@@ -43,8 +43,11 @@ def _hash(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def line_frequencies(lines: DataFrame, min_pages: int, ratio: float) -> DataFrame:
-    """Boilerplate of each host (_ld_host): an array of line hashes (_ld_drop)."""
+def line_frequencies(lines: DataFrame, min_pages: int, ratio: float, large: tuple[float, int] | None = None) -> DataFrame:
+    """Boilerplate of each host (_ld_host): an array of line hashes (_ld_drop).
+
+    With ``large`` (ratio, pages) a line goes as well if more than that ratio of the pages, and so many pages at least, have it.
+    """
     pages = lines.groupBy("_ld_host").agg(F.count("*").alias("_ld_pages"))
     distinct = F.array_distinct(F.transform("_ld_lines", _hash))
     counts = (
@@ -53,9 +56,12 @@ def line_frequencies(lines: DataFrame, min_pages: int, ratio: float) -> DataFram
         .agg(F.count("*").alias("_ld_with"))
         .where(F.col("_ld_with") >= F.least(F.lit(min_pages), F.lit(2)))
     )
+    often = F.col("_ld_with") > F.lit(float(ratio)) * F.col("_ld_pages")
+    if large is not None:
+        often |= (F.col("_ld_with") > F.lit(float(large[0])) * F.col("_ld_pages")) & (F.col("_ld_with") >= large[1])
     return (
         counts.join(pages.where(F.col("_ld_pages") >= min_pages), "_ld_host")
-        .where(F.col("_ld_with") > F.lit(float(ratio)) * F.col("_ld_pages"))
+        .where(often)
         .groupBy("_ld_host")
         .agg(F.collect_list("_ld_line").alias("_ld_drop"))
     )
@@ -68,10 +74,13 @@ def drop_boilerplate(
     out: str,
     ratio: float = 0.3,
     min_pages: int = 5,
+    large: tuple[float, int] | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """``docs`` with column ``out`` set to ``text`` without the boilerplate lines of ``host``.
 
-    Adds ``lines`` and ``lines_dropped`` (bigint) unless ``docs`` has such columns.
+    Adds ``lines`` and ``lines_dropped`` (bigint) unless ``docs`` has such columns. Lines are counted over the rows of
+    ``counted`` (host, text) where it is given, and over those of ``docs`` otherwise.
     """
     blank = F.xxhash64(F.lit(""))
     split = docs.select(
@@ -79,7 +88,10 @@ def drop_boilerplate(
         F.coalesce(host, F.lit("")).alias("_ld_host"),
         F.split(text, "\n").alias("_ld_lines"),
     )
-    drop = line_frequencies(split.select("_ld_host", "_ld_lines"), min_pages, ratio)
+    pages = split
+    if counted is not None:
+        pages = counted.select(F.coalesce("host", F.lit("")).alias("_ld_host"), F.split("text", "\n").alias("_ld_lines"))
+    drop = line_frequencies(pages.select("_ld_host", "_ld_lines"), min_pages, ratio, large)
     salts = drop.withColumn("_ld_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = split.withColumn("_ld_salt", F.pmod(F.xxhash64("_ld_lines"), F.lit(SALTS)).cast("int"))
     joined = salted.join(salts, ["_ld_host", "_ld_salt"], "left")
@@ -87,9 +99,9 @@ def drop_boilerplate(
         "_ld_lines", lambda line: (_hash(line) == blank) | ~F.array_contains(F.col("_ld_drop"), _hash(line))
     )
     kept = F.when(F.col("_ld_drop").isNull(), F.col("_ld_lines")).otherwise(kept)
-    counted = joined.withColumn("_ld_kept", kept)
+    done = joined.withColumn("_ld_kept", kept)
     values = {c: F.col(f"`{c}`") for c in docs.columns}
     values.setdefault("lines", F.coalesce(F.size("_ld_lines"), F.lit(0)).cast("bigint"))
     values.setdefault("lines_dropped", (F.size("_ld_lines") - F.size("_ld_kept")).cast("bigint"))
     values[out] = F.array_join("_ld_kept", "\n")
-    return counted.select(*[v.alias(c) for c, v in values.items()])
+    return done.select(*[v.alias(c) for c, v in values.items()])
