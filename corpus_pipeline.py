@@ -16,6 +16,9 @@ from lumenprep.operators.staging import stage
 from lumenprep.plans.session import ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+# A source has thousands of documents, so its lines recur in a smaller share of them than those of a site's pages.
+SOURCE_RATIO = 0.05
+SOURCE_TEXTS = 10  # that have the line, at least
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,11 +42,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines that recur over the texts of a source, near copies counted as one text; no document goes.
 
-    More than 30 % of a source's texts must have the line (of 5 texts or more).
+    More than 30 % of a source's texts must have the line (of 5 texts or more), or more than 5 % and 10 texts at least.
     """
     ship_package(spark)
     out = line_dedup.drop_boilerplate(
-        docs, F.col("source"), F.col("text"), "text", counted=one_of_each(docs)
+        docs, F.col("source"), F.col("text"), "text", large=(SOURCE_RATIO, SOURCE_TEXTS), counted=one_of_each(docs)
     ).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
 

@@ -1,4 +1,4 @@
-"""Lines of a source in the pipeline: copies count as one text."""
+"""Lines of a source in the pipeline: copies count as one text, and lines that recur over a few per cent of the texts go."""
 
 from __future__ import annotations
 
@@ -40,6 +40,13 @@ def corpus():
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
+def test_frequent_lines_go_and_rare_ones_stay(spark, corpus):
+    rows, passage = corpus
+    out = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    want = {i: "\n".join(x for x in text.split("\n") if x != COMMON) for i, text, *_ in rows}
+    assert out == want and any(RARE in x for x in out.values())
+
+
 def test_a_copy_of_a_large_group_comes_out_with_its_text(spark, corpus, tmp_path):
     rows, passage = corpus
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
