@@ -183,3 +183,8 @@ def test_attention_gradients():
         at = tuple(-1 for _ in m.p[k].shape)
         assert grads[k][at] == pytest.approx(numeric(loss, m.p[k], at, 1e-4), rel=0.02, abs=1e-3)
     assert de[0, 2] == pytest.approx(numeric(loss, m.p["e"], (int(used[0]), 2), 1e-4), rel=0.02, abs=1e-3)
+
+
+def test_lm_same_result_for_any_bound_on_frequent_pairs(spark, docs):
+    a, b, c = ({r.doc_id: (r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.score_documents(docs.limit(80), sample_documents=20, frequent_pairs=n).collect()} for n in (0, 200, 10**9))
+    assert a == b == c
