@@ -188,3 +188,26 @@ def test_attention_gradients():
 def test_lm_same_result_for_any_bound_on_frequent_pairs(spark, docs):
     a, b, c = ({r.doc_id: (r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.score_documents(docs.limit(80), sample_documents=20, frequent_pairs=n).collect()} for n in (0, 200, 10**9))
     assert a == b == c
+
+
+def test_lm_experts_learn_from_all_documents(spark, docs, monkeypatch):
+    learned = []
+    keep = lm.AttentionModel.set_experts
+
+    def watch(self, counts, prior, opens, **options):
+        keep(self, counts, prior, opens, **options)
+        learned.append((counts.copy(), prior.copy()))
+
+    monkeypatch.setattr(lm.AttentionModel, "set_experts", watch)
+    rows = docs.limit(60).collect()
+    lm.score_documents(spark.createDataFrame(rows, docs.schema), sample_documents=5).collect()
+    subwords = lm.Subwords.of(lm.TOKENIZER)
+    want: Counter = Counter()
+    for r in rows:
+        if not held_out(r.doc_id, 10):
+            want[subwords.end] += 1
+            for w in re.findall(rb"[^\x20\x09-\x0d]+", (r.text or "").encode().lower()):
+                want.update(subwords.encoding.encode_ordinary(" " + w.decode("utf-8", "replace")))
+    counts, prior = learned[-1]
+    assert {i: n for i, n in enumerate(prior) if n} == want
+    assert counts.sum(1) == pytest.approx([want[i] for i in range(subwords.size)], rel=1e-4, abs=0.01)
