@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenprep.llm import (
     chat,
     decontaminate,
+    disclosure,
     fingerprints,
     language,
     line_dedup,
@@ -17,8 +18,11 @@ from lumenprep.llm import (
     mixing,
     near_dup,
     quality,
+    runs,
+    search,
     suffix_dedup,
 )
+from lumenprep.llm.words import WORD_PATTERN
 from lumenprep.plans.session import ship_package
 
 QUALITY = 0.3
@@ -119,6 +123,70 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """doc_id, text; a tenth of the texts, by crc32 of the id, repeat a stretch of words from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all(F.col("text"), F.lit(WORD_PATTERN), F.lit(0))
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w)
+        a = F.pmod(g, F.greatest(n, F.lit(1))).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        times = F.ceil((n - a) / p).cast("int")
+        tail = F.slice(F.flatten(F.array_repeat(F.slice(w, a + 1, p), times)), 1, n - a)
+        return F.array_join(F.concat(F.slice(w, 1, a), tail), " ")
+
+    # An array of one, so that the words are found once.
+    edited = F.element_at(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise("")), 1)
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").isNotNull(), edited).otherwise(F.col("text")).alias("text"))
+
+
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.find_runs(with_periods(table(spark, sf_dir, "documents")))
+    found = F.col("runs")
+    listed = F.transform(found, lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    # a/b > c/d compared as a*d > c*b; the list is in the order that ties ask for
+    best = F.aggregate(
+        found,
+        found[0],
+        lambda kept, r: F.when(r["length"] * kept["period"] > kept["length"] * r["period"], r).otherwise(kept),
+    )
+    best = F.when(F.size(found) > 0, best)
+    return out.select(
+        "doc_id",
+        F.size(found).cast("bigint").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(listed, "\n"), F.when(F.size(found) > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = disclosure.sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("pii_spans")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    def listed(found: Column) -> Column:
+        return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return out.select(
+        "doc_id",
+        *[number(k) for k in disclosure.KINDS],
+        F.sha2(listed(F.filter(spans, lambda s: s["kind"] != disclosure.TERM)), 256).alias("base_sha256"),
+        listed(spans).alias("spans"),
+    )
+
+
 def shipped(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query after this package has been sent to the executors."""
 
@@ -140,6 +208,9 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_contamination": shipped(op8_contamination),
     "op9_format_conversations": shipped(op9_format_conversations),
     "op10_repeats": shipped(op10_repeats),
+    "op11_word_runs": shipped(op11_word_runs),
+    "op12_ranked_search": shipped(op12_ranked_search),
+    "op13_personal_data": shipped(op13_personal_data),
 }
 
 _ESCAPES = [(chat.SIGN, chat.SIGN + chat.SELF), *[(c, chat.SIGN + k) for c, k in zip(chat.CONTROLS, chat.CODES)]]
@@ -211,4 +282,34 @@ FROM (SELECT *, CASE WHEN drops IS NULL THEN ls ELSE list_filter(ls, lambda x: N
       FROM l LEFT JOIN b USING (h))
 """.replace("\\\\", "\\")
 
-LLM_ORACLES: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op1_mix_sources": OP1_SQL, "op9_format_conversations": OP9_SQL}
+OP12_SQL = r"""
+WITH found AS (
+  SELECT doc_id, row_number() OVER () AS doc, text FROM documents),
+dt AS (
+  SELECT doc, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM found),
+it AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+sizes AS (SELECT doc, count(*) AS n FROM dt GROUP BY doc),
+s AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS nt FROM sizes),
+tf AS (SELECT doc, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM dt SEMI JOIN it USING (term) GROUP BY doc, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, s),
+m AS (SELECT doc, 100 - 50 + (50 * n * nd) // nt AS m FROM sizes, s),
+scored AS (
+  SELECT item_id, doc, any_value(doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM it JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc) GROUP BY item_id, doc)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY rank <= 50
+""".replace("\\\\", "\\")
+
+LLM_ORACLES: dict[str, str] = {
+    "op1_mix_sources": OP1_SQL,
+    "op3_line_dedup": OP3_SQL,
+    "op9_format_conversations": OP9_SQL,
+    "op12_ranked_search": OP12_SQL,
+}

@@ -30,8 +30,8 @@ def db():
     return connection
 
 
-def test_ten_queries_and_the_pipeline():
-    assert sorted(int(q[2:].split("_")[0]) for q in LLM_QUERIES) == list(range(1, 11))
+def test_all_queries_and_the_pipeline():
+    assert sorted(int(q[2:].split("_")[0]) for q in LLM_QUERIES) == list(range(1, 14))
     assert set(LLM_QUERIES) | {"pipeline"} <= set(driver.queries())
 
 
