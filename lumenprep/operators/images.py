@@ -22,6 +22,11 @@ BROADCAST_PROFILE_ROWS = 200_000
 
 STACK_BYTES = 1 << 21
 
+# What a function returns leaves the task in pieces of about this many bytes, whatever the plan makes of a batch.
+OUTPUT_BYTES = 64 << 20
+
+Recompress = Callable[[np.ndarray, np.ndarray], np.ndarray]  # a stack of images and their qualities to a stack of three channels
+
 MODES = {1: 0, 3: 16, 4: 24}  # OpenCV type codes of 8-bit images, as in Spark's image source
 
 
@@ -56,6 +61,16 @@ def _by_shape(images: list, rows: Sequence[int]) -> Iterator[tuple[np.ndarray, n
             yield np.array(part), np.stack([images[i] for i in part])
 
 
+def pieces(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Start and number of consecutive rows of at most ``limit`` bytes together; a larger row stands alone."""
+    ends = np.cumsum(sizes)
+    start, before = 0, 0
+    while start < len(sizes):
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield start, stop - start
+        start, before = stop, ends[stop - 1]
+
+
 def _pack(images: list, origin: pa.Array) -> pa.StructArray:
     shape = [(None, None, None) if x is None else x.shape for x in images]
     h, w, c = (pa.array([s[i] for s in shape], pa.int32()) for i in range(3))
@@ -125,22 +140,39 @@ def gaussian_blur(image: Column, sigma: float) -> Column:
     return run(image)
 
 
-def resize_image(image: Column, height: Column, width: Column) -> Column:
-    """Bilinear, antialiased resize to a size per row."""
+def _shapes(images: pa.StructArray) -> tuple[np.ndarray, ...]:
+    """Height, width and channels, 0 without an image."""
+    _, *shape, _, _ = _fields(images)
+    return tuple(np.maximum(x.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), 0) for x in shape)
+
+
+def resize_image(image: Column, height: Column, width: Column, output_bytes: int = OUTPUT_BYTES) -> Column:
+    """Bilinear, antialiased resize to a size per row; the image itself where a size is NULL.
+
+    The sizes say how much a batch will return, so it leaves in pieces of about ``output_bytes``, or a row.
+    """
 
     @F.arrow_udf(IMAGE)
-    def run(images: pa.Array, heights: pa.Array, widths: pa.Array) -> pa.Array:
-        views = _image_views(images)
-        sizes = zip(heights.to_pylist(), widths.to_pylist())
-        out = [
-            x if x is None or h is None or w is None else pixels.resize(x[None], h, w)[0]
-            for x, (h, w) in zip(views, sizes)
-        ]
-        return _pack(out, _fields(images)[0])
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for images, heights, widths in batches:
+            yield from _resized(images, heights, widths, output_bytes)
 
     return run(image, height.cast("int"), width.cast("int"))
 
 
+def _resized(images: pa.StructArray, heights: pa.Array, widths: pa.Array, limit: int) -> Iterator[pa.Array]:
+    h, w, c = _shapes(images)
+    given = heights.is_valid().to_numpy(zero_copy_only=False) & widths.is_valid().to_numpy(zero_copy_only=False) & (h * w > 0)
+    h, w = (np.where(given, x.fill_null(0).to_numpy(zero_copy_only=False), own) for x, own in ((heights, h), (widths, w)))
+    for start, n in pieces(h * w * c, limit):
+        part = images.slice(start, n)
+        out = [
+            pixels.resize(x[None], int(h[i]), int(w[i]))[0] if given[i] else x
+            for i, x in enumerate(_image_views(part), start)
+        ]
+        yield _pack(out, _fields(part)[0])
+
+
 def recompress(image: Column, quality: Column) -> Column:
     """Three-channel image with the artefacts of JPEG at a quality per row."""
 
@@ -268,22 +300,34 @@ def plan_rows(
     )
 
 
+def planned_shapes(images: pa.StructArray, plan: dict[str, np.ndarray], targets: tuple) -> tuple[np.ndarray, ...]:
+    """Height, width and bytes of each image after the chain, known before any pixel is touched."""
+    h, w, c = _shapes(images)
+    target_h, target_w, _ = targets
+    resized = plan["resize"].astype(bool) & (h * w > 0)
+    scale = np.sqrt(target_h.astype(np.float64) * target_w / np.maximum(h * w, 1))
+    h, w = (np.where(resized, np.maximum(1, np.trunc(x * scale)), x).astype(np.int64) for x in (h, w))
+    return h, w, h * w * np.where(plan["jpeg"].astype(bool), 3, c)
+
+
 def _degrade_batch(
-    images: list, plan: dict[str, np.ndarray], targets: tuple, params: DegradeParams
+    images: list,
+    plan: dict[str, np.ndarray],
+    height: np.ndarray,
+    width: np.ndarray,
+    target_blur: np.ndarray,
+    params: DegradeParams,
+    recompress: Recompress,
 ) -> list:
     """The four stages in order, each on the images whose gate is open."""
     out = list(images)
     present = np.array([x is not None for x in images], bool)
-    target_h, target_w, target_blur = targets
 
     def chosen(stage: str) -> np.ndarray:
         return np.flatnonzero(plan[stage].astype(bool) & present)
 
     for i in chosen("resize"):
-        h, w = out[i].shape[:2]
-        scale = np.sqrt(float(target_h[i]) * float(target_w[i]) / (float(h) * w))
-        size = max(1, int(h * scale)), max(1, int(w * scale))
-        out[i] = pixels.resize(out[i][None], *size)[0]
+        out[i] = pixels.resize(out[i][None], int(height[i]), int(width[i]))[0]
     for rows, stack in _by_shape(out, chosen("blur")):
         sharp = pixels.laplacian_variance(stack) > params.blur_margin * target_blur[rows]
         if sharp.any():
@@ -294,7 +338,7 @@ def _degrade_batch(
             out[i], params.noise_sigma, int(plan["noise_seed"][i]), params.noise_channels
         )
     for rows, stack in _by_shape(out, chosen("jpeg")):
-        for i, result in zip(rows, pixels.recompress(stack, plan["quality"][rows])):
+        for i, result in zip(rows, recompress(stack, plan["quality"][rows])):
             out[i] = result
     return out
 
@@ -302,21 +346,31 @@ def _degrade_batch(
 PLAN_FIELDS = ("resize", "blur", "noise", "jpeg", "quality", "noise_seed")
 
 
-def _degrade_lists(images: pa.ListArray, plans: pa.ListArray, targets_of, params) -> pa.Array:
-    """Degrade lists of images without exploding them: flat values, same offsets."""
+def _degrade_lists(
+    images: pa.ListArray, plans: pa.ListArray, targets_of, params: DegradeParams, recompress: Recompress, limit: int
+) -> Iterator[pa.Array]:
+    """Degrade lists of images without exploding them: flat values, same offsets, cut by what the plan will return."""
     flat, flat_plan = images.flatten(), plans.flatten()
     names = [flat_plan.type.field(i).name for i in range(flat_plan.type.num_fields)]
     columns = dict(zip(names, flat_plan.flatten()))
     plan = {f: columns[f].to_numpy(zero_copy_only=False) for f in PLAN_FIELDS}
-    done = _degrade_batch(_image_views(flat), plan, targets_of(columns), params)
+    targets = targets_of(columns)
+    height, width, size = planned_shapes(flat, plan, targets)
     lengths = images.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    return pa.ListArray.from_arrays(
-        pa.array(offsets), _pack(done, _fields(flat)[0]), mask=images.is_null()
-    )
+    upto = np.concatenate([[0], np.cumsum(size)])
+    for start, n in pieces(np.diff(upto[offsets]), limit):
+        first, last = int(offsets[start]), int(offsets[start + n])
+        here = slice(first, last)
+        part = flat.slice(first, last - first)
+        chosen = {k: v[here] for k, v in plan.items()}
+        done = _degrade_batch(_image_views(part), chosen, height[here], width[here], targets[2][here], params, recompress)
+        yield pa.ListArray.from_arrays(
+            pa.array(offsets[start : start + n + 1] - first), _pack(done, _fields(part)[0]), mask=images.slice(start, n).is_null()
+        )
 
 
-def _degrade_udf(params: DegradeParams, lookup: Broadcast | None):
+def _degrade_udf(params: DegradeParams, lookup: Broadcast | None, recompress: Recompress, output_bytes: int):
     def targets_of(columns: dict) -> tuple:
         numbers = {k: v.to_numpy(zero_copy_only=False) for k, v in columns.items()}
         if lookup is None:
@@ -325,8 +379,9 @@ def _degrade_udf(params: DegradeParams, lookup: Broadcast | None):
         return height[numbers["res_idx"]], width[numbers["res_idx"]], blur[numbers["blur_idx"]]
 
     @F.arrow_udf(f"array<{IMAGE}>")
-    def run(images: pa.Array, plans: pa.Array) -> pa.Array:
-        return _degrade_lists(images, plans, targets_of, params)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for images, plans in batches:
+            yield from _degrade_lists(images, plans, targets_of, params, recompress, output_bytes)
 
     return run
 
@@ -347,12 +402,16 @@ def degrade(
     key: str = "example_id",
     needed: Column | None = None,
     broadcast_rows: int = BROADCAST_PROFILE_ROWS,
+    recompress: Recompress = pixels.recompress,
+    output_bytes: int = OUTPUT_BYTES,
 ) -> DataFrame:
     """``df`` with each image of the needed rows degraded towards the profile.
 
     A Python function under ``when`` still runs for every row, so the rows that need
     nothing are passed to it as NULL and their pixels never leave the JVM. A profile
     above ``broadcast_rows`` is joined instead of sent to the tasks; the result is equal.
+    ``recompress`` is the caller's lossy codec, for stacks of images of one shape. A batch leaves its task in
+    pieces of about ``output_bytes`` of planned pixels, or of one row, however small its images were.
     """
     element = df.schema["images"].dataType.elementType
     if "data" not in element.fieldNames():
@@ -364,7 +423,7 @@ def degrade(
     if max(size) <= broadcast_rows:
         rows = profile.orderBy("idx").toArrow()
         arrays = tuple(rows[c].to_numpy() for c in ("height", "width", "blur"))
-        run = _degrade_udf(params, df.sparkSession.sparkContext.broadcast(arrays))
+        run = _degrade_udf(params, df.sparkSession.sparkContext.broadcast(arrays), recompress, output_bytes)
         plans = F.transform(
             F.sequence(F.lit(0), F.size("images") - 1),
             lambda i: draw_plan(image_key(F.col(key), i), size, params, seed),
@@ -372,7 +431,7 @@ def degrade(
     elif df.isStreaming:
         raise ValueError("the profile is too large to be sent to the tasks of a stream")
     else:
-        run = _degrade_udf(params, None)
+        run = _degrade_udf(params, None, recompress, output_bytes)
         per_image = plan_rows(
             marked.where("_needed"), key, F.size("images"), profile, params, seed
         )
@@ -396,16 +455,17 @@ def degrade_encoded(
     encoder: Callable[[dict], bytes],
     key: str = "example_id",
     needed: Column | None = None,
+    **options,
 ) -> DataFrame:
     """``degrade`` for images kept as file bytes, by way of the caller's codec.
 
-    Only images that are degraded are decoded and encoded again; others keep their bytes.
+    Only images that are degraded are decoded and encoded again; others keep their bytes. ``options`` are those of ``degrade``.
     """
     needed = needs_degradation() if needed is None else needed
     opened = df.withColumns({"_kept": F.col("images"), "_todo": needed}).withColumn(
         "images", decode_images(F.when(F.col("_todo"), F.col("_kept")), decoder)
     )
-    done = degrade(opened, profile, params, seed, key, F.col("_todo"))
+    done = degrade(opened, profile, params, seed, key, F.col("_todo"), **options)
     packed = encode_images(F.when(F.col("_todo"), F.col("images")), encoder)
     return done.withColumn(
         "images", F.when(F.col("_todo"), packed).otherwise(F.col("_kept"))

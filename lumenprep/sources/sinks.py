@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,29 +48,50 @@ def write_prepared(
     writer.parquet(path)
 
 
-def encode_images(images: Column, encoder: Callable[[dict], bytes]) -> Column:
+# Converted images leave a task in pieces of about this many bytes.
+OUTPUT_BYTES = 64 << 20
+
+_WHOLE = pa.int32()
+_IMAGES = pa.list_(
+    pa.struct([("origin", pa.string()), ("height", _WHOLE), ("width", _WHOLE), ("nChannels", _WHOLE), ("mode", _WHOLE), ("data", pa.binary())])
+)
+_ENCODED = pa.list_(pa.struct([("bytes", pa.binary()), ("path", pa.string())]))
+
+
+def _converted(lists: pa.Array, convert: Callable[[dict], dict], kind: pa.DataType, content: str, limit: int) -> Iterator[pa.Array]:
+    """Lists with each image converted, cut once the results hold ``limit`` bytes. Sizes are not known before, so a row may be over."""
+    rows, held = [], 0
+    for given in lists:
+        images = given.as_py()
+        rows.append(None if images is None else [None if i is None else convert(i) for i in images])
+        held += sum(len(i[content]) for i in rows[-1] or [] if i is not None and i[content] is not None)
+        if held >= limit:
+            yield pa.array(rows, kind)
+            rows, held = [], 0
+    if rows:
+        yield pa.array(rows, kind)
+
+
+def encode_images(images: Column, encoder: Callable[[dict], bytes], output_bytes: int = OUTPUT_BYTES) -> Column:
     """Encoded images; ``encoder`` turns one image struct (as a dict) into file bytes."""
 
-    @F.pandas_udf(f"array<{ENCODED_IMAGE}>")
-    def run(lists: pd.Series) -> pd.Series:
-        return lists.map(
-            lambda images: None
-            if images is None
-            else [{"bytes": encoder(i), "path": i["origin"]} for i in images]
-        )
+    @F.arrow_udf(f"array<{ENCODED_IMAGE}>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            yield from _converted(lists, lambda i: {"bytes": encoder(i), "path": i["origin"]}, _ENCODED, "bytes", output_bytes)
 
     return run(images)
 
 
-def decode_images(images: Column, decoder: Callable[[bytes], dict]) -> Column:
-    """Decoded images; ``decoder`` turns file bytes into an image struct (as a dict)."""
+def decode_images(images: Column, decoder: Callable[[bytes], dict], output_bytes: int = OUTPUT_BYTES) -> Column:
+    """Decoded images; ``decoder`` turns file bytes into an image struct (as a dict).
+
+    A few bytes of file may be many of pixels: what is decoded leaves the task whenever it reaches ``output_bytes``.
+    """
 
-    @F.pandas_udf(f"array<{IMAGE}>")
-    def run(lists: pd.Series) -> pd.Series:
-        return lists.map(
-            lambda images: None
-            if images is None
-            else [{**decoder(i["bytes"]), "origin": i["path"]} for i in images]
-        )
+    @F.arrow_udf(f"array<{IMAGE}>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            yield from _converted(lists, lambda i: {**decoder(i["bytes"]), "origin": i["path"]}, _IMAGES, "data", output_bytes)
 
     return run(images)

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
 import zlib
 
+from pathlib import Path
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lumenprep import DatasetSpec, JobSpec, prepare
 from lumenprep.operators import images, pixels
 from lumenprep.plans.spec import DegradeParams
-from lumenprep.sources import stats
+from lumenprep.sources import sinks, stats
 from lumenprep.sources.schema import ENCODED_IMAGE, IMAGE
 
 RNG = np.random.default_rng(5)
@@ -297,3 +302,70 @@ def test_encoded_images_are_degraded_through_a_codec(spark):
         assert r["images"][0]["path"] == f"p{r['example_id'].split('/')[-1]}"
     with pytest.raises(ValueError, match="encoded"):
         prepare(spark, job, profile)
+
+
+# --- output of a batch -------------------------------------------------------------------
+
+
+def test_pieces():
+    assert list(images.pieces(np.array([3, 3, 3, 9, 1, 1]), 6)) == [(0, 2), (2, 1), (3, 1), (4, 2)]
+    assert list(images.pieces(np.array([], int), 6)) == [] and list(images.pieces(np.zeros(5, int), 6)) == [(0, 5)]
+
+
+def test_small_pieces_give_the_same(spark, pictures, profile):
+    params = DegradeParams(probability=0.7)
+    whole = by_key(images.degrade(pictures, profile, params, 3))
+    for limit in (1, 700):
+        assert by_key(images.degrade(pictures, profile, params, 3, output_bytes=limit)) == whole
+    each = pictures.select("example_id", F.posexplode_outer("images").alias("i", "image"), F.pmod(F.hash("example_id"), F.lit(20)).alias("h"))
+    sized = lambda limit: each.select("example_id", "i", images.resize_image(F.col("image"), F.when(F.col("h") > 0, F.col("h")), F.lit(9), limit).alias("image"))
+    plain = lambda df: sorted((r.example_id, r.i, r.image and bytes(r.image["data"])) for r in df.collect() if r.i is not None)
+    assert plain(sized(1)) == plain(sized(1 << 26)) and len(plain(sized(1))) > 100
+
+
+def test_codecs_cut_their_output(spark):
+    encode, decode = raw_codec()
+    rows = spark.createDataFrame([(i, [image_row(x) for x in random_stack(i % 3, 6, 5)] if i % 5 else None) for i in range(40)], f"k int, images array<{IMAGE}>")
+    packed = rows.select("k", sinks.encode_images(F.col("images"), encode, 10).alias("images"))
+    opened = packed.select("k", sinks.decode_images(F.col("images"), decode, 100).alias("images"))
+    plain = lambda df: {r.k: r.images and [bytes(i["data"]) for i in r.images] for r in df.collect()}
+    assert plain(opened) == plain(rows)
+
+
+def test_planned_shapes_are_those_that_come_out(spark, pictures, profile):
+    params = DegradeParams(probability=0.7)
+    fakes = pictures.where("label = 1 AND degrade_fake AND split = 'train' AND size(images) > 0")
+    after = by_key(images.degrade(pictures, profile, params, 3))
+    for r in images.plan_rows(fakes, "example_id", F.size("images"), profile, params, 3).join(fakes, "example_id").collect():
+        flat = pa.array([r["images"][r["image_pos"]].asDict()], sinks._IMAGES.value_type)
+        plan = {k: np.array([r["plan"][k]]) for k in ("resize", "jpeg")}
+        h, w, size = images.planned_shapes(flat, plan, tuple(np.array([r[t]]) for t in ("target_h", "target_w", "target_blur")))
+        got = after[r["example_id"]][r["image_pos"]]
+        assert (h[0], w[0], size[0]) == (got[0], got[1], len(got[2]))
+
+
+SMALL_WORKER = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession, functions as F
+from lumenprep.operators import images
+from lumenprep.sources.schema import IMAGE
+spark = (
+    SparkSession.builder.master("local[1]").config("spark.executor.pyspark.memory", "2400m").config("spark.driver.memory", "3g")
+    .config("spark.ui.enabled", "false").config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000").getOrCreate()
+)
+spark.sparkContext.setLogLevel("OFF")
+image = F.struct(F.lit("").alias("origin"), F.lit(64).alias("height"), F.lit(64).alias("width"), F.lit(3).alias("nChannels"),
+                 F.lit(16).alias("mode"), F.unhex(F.repeat(F.lit("40"), 64 * 64 * 3)).alias("data")).cast(IMAGE)
+rows = spark.range(0, 60, 1, 1).select(image.alias("image"))
+large = rows.select(images.resize_image(F.col("image"), F.lit(3000), F.lit(4000), output_bytes={limit}).alias("image"))
+print("BYTES", large.agg(F.sum(F.octet_length("image.data"))).first()[0])
+"""
+
+
+@pytest.mark.parametrize("limit, fits", [(64 << 20, True), (1 << 40, False)])
+def test_memory_is_bounded_by_the_piece(limit, fits):
+    """60 images of 64x64 towards 12 megapixels each: 2.2 GB from one batch, in a worker that may take 2.4 GB, libraries included; what it returns is copied once."""
+    root = str(Path(__file__).resolve().parent.parent)
+    run = subprocess.run([sys.executable, "-c", SMALL_WORKER.format(root=root, limit=limit)], capture_output=True, text=True, timeout=300)
+    assert (f"BYTES {60 * 3000 * 4000 * 3}" in run.stdout) == fits, run.stderr[-2000:]
