@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lumenprep.functions.draws import HASH_BITS, hash52
 from lumenprep.operators.staging import join_staged, stage
 
+LITERAL_FILES = 256  # offsets of so many files stand in an expression
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row within a partition in these bits
 
 
@@ -82,19 +83,33 @@ def file_offsets(df: DataFrame, file: str = "src_file") -> DataFrame:
     return stage(sizes.select(file, offset, "_n"), "files")
 
 
+def with_file_offset(
+    df: DataFrame, offsets: DataFrame, file: str = "src_file", row: str = "src_row", col: str = "_offset", literal_files: int = LITERAL_FILES
+) -> DataFrame:
+    """``df`` with the number of rows before its file.
+
+    The offsets of a few files are part of the expression, so rows are neither joined nor moved; those of more files
+    come by a join that moves the small side, or salts it where it is not small.
+    """
+    few = offsets.limit(literal_files + 1).collect()
+    if len(few) > literal_files:
+        named = offsets.select(F.col(file), F.col("_offset").alias(col))
+        return join_staged(df, named, [file], spread=row)
+    if not few:
+        return df.withColumn(col, F.lit(0).cast("bigint"))
+    by_file = F.create_map(*[F.lit(x) for r in few for x in (r[file], r["_offset"])])
+    return df.withColumn(col, F.element_at(by_file, F.col(file)))
+
+
 def file_index(
-    df: DataFrame, file: str = "src_file", row: str = "src_row", col: str = "idx"
+    df: DataFrame, file: str = "src_file", row: str = "src_row", col: str = "idx", literal_files: int = LITERAL_FILES
 ) -> DataFrame:
     """``global_index`` of whole files in the order (file, row), without any sort.
 
     ``row`` is the row number in the file, as Spark's Parquet scan gives it.
     """
-    offsets = file_offsets(df, file).drop("_n")
-    return (
-        join_staged(df, offsets, [file], spread=row)
-        .withColumn(col, F.col("_offset") + F.col(row))
-        .select(*df.columns, col)
-    )
+    placed = with_file_offset(df, file_offsets(df, file), file, row, "_offset", literal_files)
+    return placed.withColumn(col, F.col("_offset") + F.col(row)).select(*df.columns, col)
 
 
 def rank_within(

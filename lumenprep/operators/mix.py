@@ -8,7 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenprep.operators.index import attach_index, global_index, hash_index, require_unique
+from lumenprep.operators.index import (
+    attach_index,
+    file_offsets,
+    global_index,
+    hash_index,
+    require_unique,
+    with_file_offset,
+)
 from lumenprep.operators.staging import stage
 
 SHUFFLE_SALT = "shuffle"
@@ -91,6 +98,38 @@ def interleave(
     return merged.join(places, ["ds_pos", key])
 
 
+def _placed_files(datasets: Sequence[DataFrame], file: str, row: str) -> tuple[DataFrame, list[int]]:
+    """Tagged rows with ``_place``, the position in their dataset, and the sizes of the datasets: from file footers."""
+    placed, sizes = [], []
+    for df in datasets:
+        offsets = file_offsets(df, file)
+        sizes.append(offsets.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0])
+        with_offset = with_file_offset(df, offsets, file, row)
+        placed.append(with_offset.withColumn("_place", F.col("_offset") + F.col(row)).drop("_offset"))
+    return union_tagged(placed), sizes
+
+
+def concat_files(datasets: Sequence[DataFrame], file: str = "src_file", row: str = "src_row") -> DataFrame:
+    """``concat`` of whole Parquet files in the order of file and row, without a sort, and without a join for few files.
+
+    ``file`` and ``row`` are the columns of ``source_rows``.
+    """
+    rows, sizes = _placed_files(datasets, file, row)
+    starts = F.array(*[F.lit(sum(sizes[:i])).cast("bigint") for i in range(len(sizes))])
+    return rows.withColumn("pos", F.get(starts, F.col("ds_pos")) + F.col("_place")).drop("_place")
+
+
+def interleave_files(datasets: Sequence[DataFrame], file: str = "src_file", row: str = "src_row") -> DataFrame:
+    """``interleave`` of whole Parquet files in the order of file and row, as ``concat_files``."""
+    rows, sizes = _placed_files(datasets, file, row)
+    return rows.withColumn("pos", round_robin_position(F.col("_place") + 1, F.col("ds_pos"), sizes)).drop("_place")
+
+
+def source_rows(df: DataFrame, file: str = "src_file", row: str = "src_row") -> DataFrame:
+    """``df``, read from Parquet files, with each row's file and its number there."""
+    return df.withColumns({file: F.col("_metadata.file_path"), row: F.col("_metadata.row_index")})
+
+
 def shuffle(df: DataFrame, key: str, seed: int, col: str = "pos", bits: int = 12) -> DataFrame:
     """Seeded shuffle: position of each row in the order of its hash, by 2^bits buckets."""
     return hash_index(df, key, seed, SHUFFLE_SALT, col, bits)

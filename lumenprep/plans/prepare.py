@@ -16,8 +16,8 @@ from lumenprep.operators.mix import SHUFFLE_SALT, round_robin_position
 from lumenprep.operators.split import stratified_split
 from lumenprep.operators.staging import stage
 from lumenprep.plans.spec import JobSpec
-from lumenprep.sources.load import load_dataset
-from lumenprep.sources.schema import SOURCE_ORDER
+from lumenprep.sources.load import load_dataset, load_placed, placed_by_files
+from lumenprep.sources.schema import SOURCE_ORDER, reconcile
 
 
 def with_messages(
@@ -43,6 +43,36 @@ def load_all(spark: SparkSession, job: JobSpec) -> DataFrame:
     return reduce(DataFrame.unionByName, loaded)
 
 
+def placed_in_files(spark: SparkSession, job: JobSpec) -> DataFrame:
+    """All rows of a job over whole Parquet files, in the signature, with their ``pos``.
+
+    Sizes of files and row numbers in the scan give every position, so rows are neither joined nor moved.
+    """
+    if len({d.image_type for d in job.datasets}) > 1:
+        raise ValueError("all datasets of a job need the same image type")
+    parts: dict[str, list[tuple[int, DataFrame]]] = {"train": [], "eval": []}
+    sizes = {split: [0] * len(job.datasets) for split in parts}
+    for i, spec in enumerate(job.datasets):
+        constants = {"dataset": spec.name, "ds_pos": i, "degrade_fake": spec.degrade_fake}
+        for split, text in (("train", spec.train_split), ("eval", spec.eval_split)):
+            if text is None:
+                continue
+            rows, sizes[split][i] = load_placed(spark, spec, text)
+            parts[split].append((i, reconcile(rows, {**constants, "split": split}, spec.image_type, keep=["_place"])))
+    placed = []
+    for split, datasets in parts.items():
+        for i, rows in datasets:
+            if job.mix == "interleave":
+                pos = round_robin_position(F.col("_place") + 1, F.lit(i), sizes[split])
+            else:
+                pos = F.col("_place") + F.lit(sum(sizes[split][:i])).cast("bigint")
+            rows = rows.withColumn("pos", pos).drop("_place")
+            if split == "train" and job.num_total_samples is not None:
+                rows = rows.where(F.col("pos") < F.lit(job.num_total_samples))
+            placed.append(rows)
+    return with_messages(reduce(DataFrame.unionByName, placed), job.prompt_policy, job.completion_policy)
+
+
 def hold_out(keys: DataFrame, job: JobSpec) -> DataFrame:
     """Hold out the fraction of each dataset that has one.
 
@@ -95,16 +125,21 @@ def prepare(
     job: JobSpec,
     profile: DataFrame | None = None,
     codec: tuple[Callable[[bytes], dict], Callable[[dict], bytes]] | None = None,
+    **options,
 ) -> DataFrame:
     """The training and evaluation rows of a job, in the signature, with their ``pos``.
 
     With a profile of real images the fake images of flagged datasets are degraded
-    towards it; images kept as file bytes need a ``codec`` (decoder, encoder).
+    towards it; images kept as file bytes need a ``codec`` (decoder, encoder). ``options`` (``recompress``,
+    ``output_bytes``, ...) are those of ``degrade``.
 
-    The key columns are staged once; splits and positions come from them alone, and one
+    Over whole Parquet files without ids, unless rows are shuffled or a fraction of them is drawn, positions come from
+    the files, and nothing is joined or moved. Otherwise the key columns are staged once; splits and positions come from them alone, and one
     join takes both to the wide rows. A row is known by its id and the split it was loaded
     as, so a row may be in both; ids that are NULL or repeated there are an error.
     """
+    if not job.shuffle and all(placed_by_files(d) for d in job.datasets):
+        return _degraded(placed_in_files(spark, job), job, profile, codec, options)
     rows = load_all(spark, job).withColumnRenamed("split", "loaded")
     narrow = rows.select("example_id", "dataset", "label", "loaded", "ds_pos", *SOURCE_ORDER)
     keys = stage(narrow.withColumn("split", F.col("loaded")), "keys")
@@ -114,10 +149,13 @@ def prepare(
         in_budget = (F.col("split") == "eval") | (F.col("pos") < F.lit(job.num_total_samples))
         places = places.where(in_budget)
     wide = with_messages(rows, job.prompt_policy, job.completion_policy)
-    placed = wide.join(places, ["example_id", "loaded"]).drop("loaded")
+    return _degraded(wide.join(places, ["example_id", "loaded"]).drop("loaded"), job, profile, codec, options)
+
+
+def _degraded(placed: DataFrame, job: JobSpec, profile: DataFrame | None, codec: tuple | None, options: dict) -> DataFrame:
     if profile is None:
         return placed
     needed = needs_degradation(job.degrade_eval)
     if codec is None:
-        return degrade(placed, profile, job.degrade, job.seed, needed=needed)
-    return degrade_encoded(placed, profile, job.degrade, job.seed, *codec, needed=needed)
+        return degrade(placed, profile, job.degrade, job.seed, needed=needed, **options)
+    return degrade_encoded(placed, profile, job.degrade, job.seed, *codec, needed=needed, **options)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenprep.operators.index import file_offsets, with_file_offset
 from lumenprep.plans.spec import DatasetSpec
 from lumenprep.sources.schema import SOURCE_ORDER, reconcile
 from lumenprep.sources.slices import ends_by_files, ends_by_sort, parse_slices, slice_rows
@@ -72,6 +73,37 @@ def load_split(spark: SparkSession, spec: DatasetSpec, text: str) -> DataFrame:
     return _mark_terms(merged, len(terms))
 
 
+def placed_by_files(spec: DatasetSpec) -> bool:
+    """Whether the rows of a dataset have their places from their files: Parquet on disk without ids, and no fraction to draw."""
+    return spec.frames is None and spec.format == "parquet" and not spec.id_column and not isinstance(spec.eval_split, float)
+
+
+def load_placed(spark: SparkSession, spec: DatasetSpec, text: str) -> tuple[DataFrame, int]:
+    """``load_split`` of whole Parquet files with ``_place``, the position in the split, and the number of rows.
+
+    A place is the rows before the file, and the row in it, which the scan gives, less the start of the slice. Only
+    footers are read before, each split's once; rows are not moved.
+    """
+    terms = parse_slices(text)
+    known: dict[str, tuple[DataFrame, DataFrame, int]] = {}
+    parts, before = [], 0
+    for i, (term, piece) in enumerate(zip(terms, text.split("+"), strict=True)):
+        if term.name not in known:
+            rows = read_split(spark, spec, term.name)
+            offsets = file_offsets(rows)
+            n = offsets.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+            known[term.name] = rows, offsets, n
+        rows, offsets, n = known[term.name]
+        lo, hi = term.bounds(n)
+        inside = slice_rows(rows, piece, SOURCE_ORDER, ends=lambda df, order, o=offsets: ends_by_files(df, order, o))
+        placed = with_file_offset(inside, offsets)
+        place = F.col("_offset") + F.col("src_row") + F.lit(before - lo)
+        parts.append(placed.withColumns({"slice_term": F.lit(i), "_place": place.cast("bigint")}).drop("_offset"))
+        before += hi - lo
+    merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return _mark_terms(merged, len(terms)), before
+
+
 def _mark_terms(rows: DataFrame, n_terms: int) -> DataFrame:
     """Slices keep the order of their list, and a row in two slices counts twice."""
     if n_terms > 1:

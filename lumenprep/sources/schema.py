@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +37,10 @@ def wrap_image(df: DataFrame) -> DataFrame:
     return df.withColumn("images", F.array("image")).drop("image")
 
 
-def reconcile(df: DataFrame, constants: dict | None = None, image_type: str = IMAGE) -> DataFrame:
-    """``df`` with exactly the columns of the signature.
+def reconcile(
+    df: DataFrame, constants: dict | None = None, image_type: str = IMAGE, keep: Sequence[str] = ()
+) -> DataFrame:
+    """``df`` with exactly the columns of the signature, and those of ``keep`` after them.
 
     A single image is wrapped, missing columns are NULL, other columns are dropped, and
     ``constants`` are set for all rows. A value that does not fit its type fails the query.
@@ -60,7 +64,7 @@ def reconcile(df: DataFrame, constants: dict | None = None, image_type: str = IM
                 return value
         return value.cast(field.dataType).alias(field.name)
 
-    return df.select(*[column(f) for f in signature(image_type).fields])
+    return df.select(*[column(f) for f in signature(image_type).fields], *keep)
 
 
 def is_conversational(schema: T.StructType, column: str = "prompt") -> bool:

@@ -101,10 +101,10 @@ def ends_by_sort(df: DataFrame, order_by: Sequence[str]):
     return index.count(), keys
 
 
-def ends_by_files(df: DataFrame, order_by: Sequence[str]):
+def ends_by_files(df: DataFrame, order_by: Sequence[str], offsets: DataFrame | None = None):
     """The same for whole files ordered by (file, row): from the rows per file alone."""
     file, _ = order_by
-    offsets = file_offsets(df, file)
+    offsets = file_offsets(df, file) if offsets is None else offsets
 
     def keys(wanted: Sequence[int]) -> dict[int, list]:
         found = {}
