@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +103,13 @@ def text_image(text: Column) -> Column:
     ).cast(IMAGE)
 
 
+def coarse_levels(stack: np.ndarray, quality: np.ndarray) -> np.ndarray:
+    """A codec for images of one shape: the lower the quality, the fewer levels; three channels come out."""
+    step = (101 - quality.astype(np.int64))[:, None, None, None]
+    coarse = (stack // step * step).astype(np.uint8)
+    return np.repeat(coarse, 3, axis=-1) if stack.shape[-1] == 1 else coarse[..., :3]
+
+
 def gray_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One gray image per embedding; odd labels are fake."""
     vectors = table(spark, sf_dir, "embeddings")

@@ -257,14 +257,14 @@ WITH {PIX}, b AS ({blur_of('pix')}) SELECT vec_id, round(blur, 6) AS blur FROM b
 ORACLES["blur_of_texts"] = f"""
 WITH bytes AS (
   SELECT doc_id, regexp_extract_all(rpad(hex(encode(text)), CAST(ceil(strlen(text) / 48) * 96 AS INTEGER), '0'), '.{{6}}') AS p
-  FROM documents WHERE n_chars > 0),
+  FROM documents),
 cells AS (SELECT doc_id, unnest(p) AS c, unnest(range(0, len(p))) AS i FROM bytes),
 pix AS (
   SELECT doc_id, i // 16 AS y, i % 16 AS x,
     (3735 * CAST('0x' || substr(c, 1, 2) AS BIGINT) + 19235 * CAST('0x' || substr(c, 3, 2) AS BIGINT)
       + 9798 * CAST('0x' || substr(c, 5, 2) AS BIGINT) + 16384) >> 15 AS v FROM cells),
 b AS ({blur_of('pix', 'doc_id')})
-SELECT doc_id, round(blur + 1e-7, 4) AS blur FROM b"""
+SELECT doc_id, round(blur + 1e-7, 4) AS blur FROM documents LEFT JOIN b USING (doc_id)"""
 PROFILE = f"""blurs AS ({blur_of('pix')}),
 profile AS (
   SELECT row_number() OVER (ORDER BY vec_id) - 1 AS idx, blur, CAST(8 AS INTEGER) AS height, CAST(8 AS INTEGER) AS width
@@ -402,6 +402,71 @@ SELECT c.vec_id, CAST(c.label AS INTEGER) AS label, CAST(c.image_pos AS INTEGER)
   string_agg(repeat(printf('%02X', v), channels), '' ORDER BY y, x) AS pixels
 FROM done d JOIN choice c ON c.id = d.vec_id GROUP BY c.vec_id, c.label, c.image_pos, channels"""
 
+# The taps of the triangle filter from 8 pixels to n, and resizing 8x8 gray pixels with them.
+TAPS = f"""outs AS (SELECT n, o, {dbl(8)} / n AS ratio, greatest({dbl(8)} / n, 1) AS reach, (o + {dbl(0.5)}) * ({dbl(8)} / n) AS centre
+  FROM range(1, 14) a(n), range(0, 14) b(o) WHERE o < n),
+taps AS (
+  SELECT n, o, p, greatest(1 - abs((p - centre + {dbl(0.5)}) / reach), {dbl(0)}) AS wt FROM outs, range(0, 8) c(p)
+  WHERE p >= greatest(trunc(centre - reach + {dbl(0.5)}), 0) AND p < least(trunc(centre + reach + {dbl(0.5)}), 8)),
+fixed AS (SELECT n, o, p, CAST(floor(wt / sum(wt) OVER (PARTITION BY n, o) * 4194304 + {dbl(0.5)}) AS BIGINT) AS k FROM taps)"""
+
+
+def resized(source: str, name: str) -> str:
+    """CTEs that end in ``name``: pixels of ``source`` (vec_id, y, x, v, h, w) in the size h times w."""
+    return f"""{name}_across AS (
+  SELECT vec_id, h, w, y, o AS x, greatest(0, least(255, (CAST(sum(v * k) AS BIGINT) + 2097152) >> 22)) AS v
+  FROM {source} JOIN fixed ON n = w AND p = x GROUP BY vec_id, h, w, y, o),
+{name} AS (
+  SELECT vec_id, h, w, o AS y, x, greatest(0, least(255, (CAST(sum(v * k) AS BIGINT) + 2097152) >> 22)) AS v
+  FROM {name}_across JOIN fixed ON n = h AND p = y GROUP BY vec_id, h, w, o, x)"""
+
+
+ORACLES["prepared_degraded"] = f"""
+WITH {PIX}, {TAPS},
+sized AS (SELECT vec_id, y, x, v, vec_id % 13 + 1 AS h, vec_id % 11 + 3 AS w FROM pix WHERE label = 0),
+{resized('sized', 'seen')},
+seen_blur AS ({blur_of('seen')}),
+profile AS (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS idx, blur, vec_id % 13 + 1 AS height, vec_id % 11 + 3 AS width FROM seen_blur),
+base AS (
+  SELECT CASE WHEN label % 2 = 0 THEN 'real' WHEN vec_id % 5 > 0 THEN 'fake' ELSE 'kept' END AS dataset, vec_id,
+    CAST(label % 2 AS INTEGER) AS label FROM embeddings),
+named AS (SELECT *, dataset || '/train/' || CAST(vec_id AS VARCHAR) AS example_id,
+  CASE dataset WHEN 'real' THEN 0 WHEN 'fake' THEN 1 ELSE 2 END AS ds_pos FROM base),
+{stratified('named', 'example_id', f"CASE dataset WHEN 'real' THEN {dbl(0.1)} WHEN 'fake' THEN {dbl(0.1)} END")},
+turn AS (SELECT *, row_number() OVER (PARTITION BY split, ds_pos ORDER BY vec_id) AS rr FROM tagged),
+placed AS (SELECT *, {INTERLEAVED} AS pos FROM turn),
+plan AS (
+  SELECT vec_id, {choices("example_id || '#0'").replace(dbl(0.2), dbl(0.5))} FROM placed WHERE dataset = 'fake' AND split = 'train'),
+target AS (
+  SELECT p.*, t.blur AS target_blur,
+    CASE WHEN p.resize THEN CAST(greatest(1, trunc(8 * sqrt(CAST(s.height * s.width AS DOUBLE) / 64))) AS BIGINT) ELSE 8 END AS side
+  FROM plan p JOIN profile s ON s.idx = p.res_idx JOIN profile t ON t.idx = p.blur_idx),
+wanted AS (SELECT p.vec_id, y, x, v, side AS h, side AS w FROM pix p JOIN target USING (vec_id)),
+{resized('wanted', 'moved')},
+moved_blur AS ({blur_of('moved')}),
+soft AS ({blurred('moved', 'vec_id')}),
+softened AS (
+  SELECT m.vec_id, m.y, m.x, m.w, CASE WHEN t.blur AND b.blur > {dbl(1.2)} * t.target_blur THEN s.v ELSE m.v END AS v,
+    t.noise, t.jpeg, t.quality, t.noise_seed
+  FROM moved m JOIN target t USING (vec_id) JOIN moved_blur b USING (vec_id) JOIN soft s ON s.vec_id = m.vec_id AND s.y = m.y AND s.x = m.x),
+n0 AS (SELECT *, (noise_seed % {NOISE_PRIME} + (w * y + x) * CAST({NOISE_STEP} AS BIGINT)) % {NOISE_PRIME} AS u FROM softened),
+n1 AS (SELECT *, u * u % {NOISE_PRIME} AS u1 FROM n0),
+n2 AS (SELECT *, (u1 + 1) * (u1 + 1) % {NOISE_PRIME} AS u2 FROM n1),
+n3 AS (SELECT *, (u2 + 2) * (u2 + 2) % {NOISE_PRIME} AS u3 FROM n2),
+n4 AS (SELECT *, (u3 + 3) * (u3 + 3) % {NOISE_PRIME} AS u4 FROM n3),
+noisy AS (
+  SELECT *, CASE WHEN noise THEN least(255, greatest(0, v + {NOISE.format(sum='(u1 + u2 + u3 + u4)')})) ELSE v END AS grain FROM n4),
+done AS (
+  SELECT vec_id, y, x, CASE WHEN jpeg THEN grain // (101 - quality) * (101 - quality) ELSE grain END AS v,
+    CASE WHEN jpeg THEN 3 ELSE 1 END AS channels FROM noisy
+  UNION ALL SELECT vec_id, y, x, v, 1 FROM seen
+  UNION ALL SELECT vec_id, y, x, v, 1 FROM pix WHERE label = 1 AND vec_id NOT IN (SELECT vec_id FROM plan))
+SELECT any_value(p.split) AS split, any_value(p.pos) AS pos, p.example_id, any_value(p.label) AS label,
+  CAST(max(y) + 1 AS INTEGER) AS height, CAST(max(x) + 1 AS INTEGER) AS width, CAST(any_value(channels) AS INTEGER) AS channels,
+  string_agg(repeat(printf('%02X', v), channels), '' ORDER BY y, x) AS pixels
+FROM done JOIN placed p USING (vec_id) GROUP BY p.example_id"""
+
 # --- splits and order ------------------------------------------------------------------
 
 ORACLES["seeded_draws"] = f"""
@@ -444,6 +509,24 @@ held AS (
 SELECT 'train' AS split, i AS pos, 'docs/train/' || doc_id AS example_id, CAST(label AS INTEGER) AS label FROM cut
 UNION ALL
 SELECT 'eval', row_number() OVER (ORDER BY term, doc_id) - 1, 'docs/train/' || doc_id || '@' || term, label FROM held"""
+FILED = f"""filed AS (
+  SELECT doc_id, text, lang, CAST({PLACE} AS INTEGER) AS ds_pos, doc_id % 10 > 0 AS training, CAST(doc_id % 2 AS INTEGER) AS label FROM documents),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY ds_pos, training ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY ds_pos, training) AS n FROM filed)"""
+ORACLES["prepared_files"] = f"""
+WITH {FILED},
+bounds AS (SELECT *, CAST(round_even(80 * n / CAST(100 AS DOUBLE), 0) AS BIGINT) AS b80, CAST(round_even(10 * n / CAST(100 AS DOUBLE), 0) AS BIGINT) AS b10 FROM numbered),
+chosen AS (
+  SELECT *, 'train' AS split, 0 AS term FROM bounds WHERE training AND (ds_pos IN (1, 2) OR (ds_pos = 0 AND i < b80) OR (ds_pos = 3 AND i >= 5))
+  UNION ALL SELECT *, 'train', 1 FROM bounds WHERE training AND ds_pos = 0 AND i >= n - b10
+  UNION ALL SELECT *, 'eval', 0 FROM bounds WHERE (NOT training AND (ds_pos = 0 OR (ds_pos = 1 AND i < 50))) OR (training AND ds_pos = 3 AND i < 5)),
+turn AS (SELECT *, row_number() OVER (PARTITION BY split, ds_pos ORDER BY term, doc_id) AS rr FROM chosen)
+SELECT split, {INTERLEAVED} AS pos, ['en', 'fr', 'de', 'es'][ds_pos + 1] AS dataset, label, md5(text) AS digest,
+  CASE label WHEN 1 THEN 'Fake' ELSE 'Real' END AS completion FROM turn"""
+ORACLES["concat_files"] = f"""
+WITH {FILED} SELECT row_number() OVER (ORDER BY ds_pos, doc_id) - 1 AS pos, ds_pos, doc_id, md5(text) AS digest FROM numbered WHERE training"""
+ORACLES["interleave_files"] = f"""
+WITH {FILED} SELECT row_number() OVER (ORDER BY i, ds_pos) - 1 AS pos, ds_pos, doc_id, md5(text) AS digest FROM numbered WHERE training"""
 SHUFFLED = f"row_number() OVER (ORDER BY {h52('doc_id', 'shuffle')}, doc_id) - 1"
 ORACLES["seeded_shuffle"] = f"SELECT doc_id, lang, {SHUFFLED} AS pos FROM documents"
 ORACLES["sample_budget"] = f"""
@@ -473,7 +556,9 @@ def many(value: str, n: str) -> str:
     return f"[{value} FOR z IN range(0, {n})]"
 
 
-def collated(max_length: int | None, multiple: int | None, completion_only: bool, types: bool = False) -> str:
+def collated(
+    max_length: int | None, multiple: int | None, completion_only: bool, types: bool = False, tokens: str | None = None, keys: str = "conv_id, turn"
+) -> str:
     whole = "list_concat(p, c)"
     cut = whole if max_length is None else f"list_slice({whole}, 1, {max_length})"
     skip = "least(len(p), len(ids))" if completion_only else "CAST(0 AS BIGINT)"
@@ -481,11 +566,11 @@ def collated(max_length: int | None, multiple: int | None, completion_only: bool
     target = longest if multiple is None else f"CAST(ceil({longest} / {multiple}) AS BIGINT) * {multiple}"
     kind = f", array_to_string(list_concat([0 FOR z IN range(0, least(len(p), n))], [1 FOR z IN range(0, n - least(len(p), n))], {many('0', 't - n')}), ',') AS token_type_ids" if types else ""
     return f"""
-    WITH {TOKENS},
+    WITH {tokens or TOKENS},
     cut AS (SELECT *, {cut} AS ids FROM tokens),
     sized AS (SELECT *, CAST(len(ids) AS BIGINT) AS n, {skip} AS s FROM cut),
     target AS (SELECT *, {target} AS t FROM sized)
-    SELECT conv_id, turn, batch_id,
+    SELECT {keys}, batch_id,
       array_to_string(list_concat(ids, {many('0', 't - n')}), ',') AS input_ids,
       array_to_string(list_concat({many('1', 'n')}, {many('0', 't - n')}), ',') AS attention_mask,
       array_to_string(list_concat({many('-100', 's')}, ids[s + 1:], {many('-100', 't - n')}), ',') AS labels,
@@ -510,6 +595,22 @@ SELECT conv_id, batch_id, array_to_string(list_concat(ids, {many('0', 't - n')})
   array_to_string(list_concat({many('1', 'n')}, {many('0', 't - n')}), ',') AS attention_mask,
   array_to_string(list_concat({many('-100', 's')}, c, {many('-100', 't - n')}), ',') AS labels,
   CAST(n - s AS INTEGER) AS n_loss_tokens FROM target"""
+DIALOGUE_TOKENS = f"""{DIALOGUES},
+texts AS (
+  SELECT conv_id, (row_number() OVER (ORDER BY conv_id) - 1) // 8 AS batch_id,
+    coalesce(string_agg({chatml('role', 'text')}, '' ORDER BY turn) FILTER (NOT answer), '') || {ANSWER_HEADER} AS text,
+    coalesce(string_agg(text || '<|im_end|>' || chr(10), '') FILTER (answer), '') AS next_text
+  FROM last GROUP BY conv_id),
+tokens AS (
+  SELECT conv_id, batch_id, next_text, [{WORD_ID} FOR w IN {WORDS.format('text')}] AS p, [{WORD_ID} FOR w IN {WORDS.format('next_text')}] AS c FROM texts)"""
+ORACLES["collate_truncated_conversations"] = collated(150, 16, True, types=True, tokens=DIALOGUE_TOKENS, keys="conv_id")
+ORACLES["collate_full_loss_conversations"] = collated(None, None, False, tokens=DIALOGUE_TOKENS, keys="conv_id")
+ORACLES["flush_left_conversations"] = f"""
+WITH {DIALOGUE_TOKENS}, longest AS (SELECT *, max(len(p)) OVER (PARTITION BY batch_id) AS t FROM tokens)
+SELECT conv_id, array_to_string(list_concat(p, {many('0', 't - len(p)')}), ',') AS ids,
+  array_to_string(list_concat({many('1', 'len(p)')}, {many('0', 't - len(p)')}), ',') AS mask FROM longest"""
+ORACLES["suffix_trim_conversations"] = f"""
+WITH {DIALOGUE_TOKENS} SELECT conv_id, next_text AS completion_text, array_to_string(c, ',') AS generated FROM tokens"""
 ORACLES["collate_tokens"] = collated(None, None, True)
 ORACLES["collate_truncated"] = collated(60, 16, True, types=True)
 ORACLES["collate_full_loss"] = collated(None, None, False)
@@ -539,6 +640,27 @@ flat AS (SELECT conv_id, turn, unnest(c) AS id, unnest(range(0, len(c))) AS i FR
 texts AS (
   SELECT conv_id, turn, string_agg(token, ' ' ORDER BY i) AS text FROM flat JOIN vocab USING (id) GROUP BY conv_id, turn)
 SELECT conv_id, turn, coalesce(text, '') AS text FROM tokens LEFT JOIN texts USING (conv_id, turn)"""
+def numbered_words(least: int = 1) -> str:
+    return f"""places AS (SELECT doc_id, unnest({WORDS.format('text')}) AS token, unnest(range(0, len({WORDS.format('text')}))) AS i FROM documents),
+words AS (
+  SELECT token, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, token) + 2 AS INTEGER) AS id
+  FROM places GROUP BY token HAVING count(*) >= {least})"""
+
+
+ORACLES["dictionary_words"] = f"WITH {numbered_words()} SELECT token, n, id FROM words"
+ORACLES["dictionary_documents"] = f"""
+WITH {numbered_words()},
+coded AS (SELECT doc_id, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY i) AS ids FROM places JOIN words USING (token) GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_ids, md5(coalesce(ids, '')) AS ids, md5(array_to_string({WORDS.format('text')}, ' ')) AS words
+FROM documents LEFT JOIN coded USING (doc_id)"""
+ORACLES["dictionary_rare"] = f"""
+WITH {numbered_words(2)},
+coded AS (
+  SELECT doc_id, string_agg(CAST(coalesce(id, 1) AS VARCHAR), ',' ORDER BY i) AS ids, count(*) FILTER (id IS NULL) AS n_unknown
+  FROM places LEFT JOIN words USING (token) GROUP BY doc_id)
+SELECT doc_id, md5(coalesce(ids, '')) AS ids, coalesce(n_unknown, 0) AS n_unknown FROM documents LEFT JOIN coded USING (doc_id)"""
+ORACLES["decode_conversations"] = f"""
+WITH {DIALOGUE_TOKENS} SELECT conv_id, array_to_string({WORDS.format('next_text')}, ' ') AS text FROM tokens"""
 ORACLES["decode_documents"] = f"""
 WITH ids AS (SELECT doc_id, [{WORD_ID} FOR w IN {WORDS.format('text')}] AS c FROM documents), {vocabulary('documents')},
 flat AS (SELECT doc_id, unnest(c) AS id, unnest(range(0, len(c))) AS i FROM ids),

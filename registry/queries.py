@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenprep.functions import draws, labels, messages, sizing, template
-from lumenprep.operators import collate, evaluate, images, index, mix, report, split
+from lumenprep.operators import collate, dictionary, evaluate, images, index, mix, report, split
 from lumenprep.operators import rows as row_functions
 from lumenprep.operators.staging import stage, staged_path
 from lumenprep.plans.prepare import prepare
@@ -18,10 +18,12 @@ from lumenprep.plans.spec import DatasetSpec, DegradeParams, JobSpec
 from lumenprep.sources.schema import ENCODED_IMAGE, reconcile
 from lumenprep.sources.sinks import write_prepared
 from lumenprep.sources.slices import slice_rows
+from lumenprep.sources.stats import read_profile, write_profile
 from lumenprep.streaming import streams
 from registry.fixtures import (
     LANGUAGES,
     SEED,
+    coarse_levels,
     dialogues,
     exchanges,
     frame_size,
@@ -146,6 +148,61 @@ def prepared_overlap(spark, sf_dir):
     return prepare(spark, JobSpec([spec], SEED)).select("split", "pos", "example_id", "label")
 
 
+def _files_by_language(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of ``language/default/split`` with the documents in files, in the order of their ids."""
+    root = staged_path(spark, "files")
+    docs = table(spark, sf_dir, "documents").withColumn("label", F.pmod("doc_id", F.lit(2)).cast("int"))
+    for lang in LANGUAGES:
+        for name, part in (("train", F.pmod("doc_id", F.lit(10)) > 0), ("test", F.pmod("doc_id", F.lit(10)) == 0)):
+            rows = docs.where(in_language(lang) & part).select("doc_id", F.col("text").alias("video"), "label")
+            rows.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{root}/{lang}/default/{name}")
+    return root
+
+
+@query
+def prepared_files(spark, sf_dir):
+    """A job over Parquet files by path, config and split; positions come from the files."""
+    root = _files_by_language(spark, sf_dir)
+    splits = {"en": ("train[:80%]+train[-10%:]", "test"), "fr": ("train", "test[:50]"), "de": ("train", None), "es": ("train[5:]", "train[:5]")}
+    job = JobSpec.from_dict(
+        {
+            "dataset_name": list(splits),
+            "dataset_path": [f"{root}/{lang}" for lang in splits],
+            "dataset_config": "default",
+            "train_split": [t for t, _ in splits.values()],
+            "eval_split": [e for _, e in splits.values()],
+            "seed": SEED,
+            "mix": "interleave",
+        }
+    )
+    return prepare(spark, job).select(
+        "split", "pos", "dataset", "label", F.md5("video").alias("digest"), F.col("completion")[0]["content"].alias("completion")
+    )
+
+
+@query
+def prepared_degraded(spark, sf_dir):
+    """Real images of many sizes give a stored profile; flagged fakes are degraded towards it, resizing included."""
+    rows = gray_images(spark, sf_dir)
+    height, width = F.pmod("vec_id", F.lit(13)) + 1, F.pmod("vec_id", F.lit(11)) + 3
+    real = rows.where("label = 0").withColumn("image", images.resize_image(F.col("image"), height, width))
+    path = staged_path(spark, "profile")
+    write_profile(images.real_profile(real.withColumn("images", F.array("image")), "vec_id"), path)
+    fakes = rows.where("label = 1")
+    specs = [
+        DatasetSpec("real", frames={"train": real}, id_column="vec_id", eval_split=0.1),
+        DatasetSpec("fake", frames={"train": fakes.where("vec_id % 5 > 0")}, id_column="vec_id", eval_split=0.1),
+        DatasetSpec("kept", frames={"train": fakes.where("vec_id % 5 = 0")}, id_column="vec_id", degrade_fake=False),
+    ]
+    job = JobSpec(specs, SEED, mix="interleave", degrade=DegradeParams(probability=0.5))
+    out = prepare(spark, job, read_profile(spark, path), recompress=coarse_levels, output_bytes=1 << 16)
+    image = F.col("images")[0]
+    return out.select(
+        "split", "pos", "example_id", "label", image["height"].alias("height"), image["width"].alias("width"),
+        image["nChannels"].alias("channels"), F.hex(image["data"]).alias("pixels"),
+    )
+
+
 # --- sources and schema ----------------------------------------------------------------
 
 
@@ -383,8 +440,8 @@ def blur_estimate(spark, sf_dir):
 
 @query
 def blur_of_texts(spark, sf_dir):
-    """Whole documents as colour images of any height."""
-    docs = table(spark, sf_dir, "documents").where("n_chars > 0")
+    """Whole documents as colour images of any height; an empty one has no pixels and no estimate."""
+    docs = table(spark, sf_dir, "documents")
     image = text_image(F.col("text"))
     return docs.select("doc_id", F.round(images.blur_estimate(image) + 1e-7, 4).alias("blur"))
 
@@ -575,6 +632,25 @@ def interleave_wide(spark, sf_dir):
     )
 
 
+def _files_in_order(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    root = _files_by_language(spark, sf_dir)
+    return [mix.source_rows(spark.read.parquet(f"{root}/{lang}/default/train")) for lang in LANGUAGES]
+
+
+@query
+def concat_files(spark, sf_dir):
+    """Files one dataset after the other, whole rows, nothing sorted or joined."""
+    done = mix.concat_files(_files_in_order(spark, sf_dir))
+    return done.select("pos", "ds_pos", "doc_id", F.md5("video").alias("digest"))
+
+
+@query
+def interleave_files(spark, sf_dir):
+    """Files of several datasets in turn, whole rows, nothing sorted or joined."""
+    done = mix.interleave_files(_files_in_order(spark, sf_dir))
+    return done.select("pos", "ds_pos", "doc_id", F.md5("video").alias("digest"))
+
+
 @query
 def interleave_overlap(spark, sf_dir):
     """Two datasets with the same keys."""
@@ -699,6 +775,67 @@ def flush_left(spark, sf_dir):
     return done.select("conv_id", "turn", joined(F.col("ids")).alias("ids"), joined(F.col("mask")).alias("mask"))
 
 
+def _dialogue_texts(spark, sf_dir) -> DataFrame:
+    """Whole conversations in batches, rendered as prompt and completion."""
+    whole = dialogues(spark, sf_dir)
+    keys = index.global_index(whole.select("conv_id"), ["conv_id"], "pos")
+    rows = mix.batches(whole.join(keys, "conv_id"), BATCH).withColumns(
+        {"images": F.array().cast(f"array<{ENCODED_IMAGE}>"), "video": F.lit(None).cast("string")}
+    )
+    return collate.render_prepared(rows, TEMPLATE).select("conv_id", "batch_id", "prompt_text", "completion_text")
+
+
+def _dialogue_tokens(spark, sf_dir) -> DataFrame:
+    columns = {"prompt_text": "prompt_ids", "completion_text": "completion_ids"}
+    return collate.tokenise(_dialogue_texts(spark, sf_dir), columns, template.word_ids)
+
+
+def _flat_dialogues(batch: DataFrame, *more: str) -> DataFrame:
+    lists = ("input_ids", "attention_mask", "labels", *more)
+    return batch.select("conv_id", "batch_id", *[joined(F.col(c)).alias(c) for c in lists], "n_loss_tokens")
+
+
+@query
+def collate_truncated_conversations(spark, sf_dir):
+    """Whole conversations, at most 150 tokens, batches padded to a multiple of 16, with token types."""
+    types = _dialogue_tokens(spark, sf_dir).withColumns(
+        {
+            "prompt_types": F.transform("prompt_ids", lambda x: F.lit(0)),
+            "completion_types": F.transform("completion_ids", lambda x: F.lit(1)),
+        }
+    )
+    done = collate.collate(types, max_length=150, pad_to_multiple_of=16, token_types=("prompt_types", "completion_types"))
+    return _flat_dialogues(done, "token_type_ids")
+
+
+@query
+def collate_full_loss_conversations(spark, sf_dir):
+    return _flat_dialogues(collate.collate(_dialogue_tokens(spark, sf_dir), completion_only=False))
+
+
+@query
+def flush_left_conversations(spark, sf_dir):
+    """Prompts of whole conversations padded on the left to the batch, then moved back."""
+    rows = _dialogue_tokens(spark, sf_dir).withColumn("n", F.size("prompt_ids"))
+    rows = rows.withColumn("longest", collate.batch_max(F.col("n")) + 2)
+    padded = rows.select(
+        "conv_id",
+        "batch_id",
+        collate.pad_left(F.col("prompt_ids"), F.col("longest"), 0).alias("ids"),
+        collate.pad_left(collate.fill(1, F.col("n")), F.col("longest"), 0).alias("mask"),
+    )
+    done = collate.flush_left(padded, "mask", {"ids": 0})
+    return done.select("conv_id", joined(F.col("ids")).alias("ids"), joined(F.col("mask")).alias("mask"))
+
+
+@query
+def suffix_trim_conversations(spark, sf_dir):
+    """What follows the prompt of a whole conversation: in its text, and in ids that repeat their input."""
+    rows = _dialogue_tokens(spark, sf_dir).withColumn("output_ids", F.concat("prompt_ids", "completion_ids"))
+    rest = evaluate.generated_suffix(F.col("output_ids"), F.col("prompt_ids"))
+    return rows.select("conv_id", "completion_text", joined(rest).alias("generated"))
+
+
 @query
 def batch_media_flags(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
@@ -725,6 +862,44 @@ def decode_ids(spark, sf_dir):
     return evaluate.decode_ids(keyed, "key", "ids", vocab).select("conv_id", "turn", "text")
 
 
+@query
+def dictionary_words(spark, sf_dir):
+    """Every distinct word of the documents with an id of its own, frequent ones first."""
+    return dictionary.build_dictionary(table(spark, sf_dir, "documents"), ["text"])
+
+
+@query
+def dictionary_documents(spark, sf_dir):
+    """Whole documents to dense ids and back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    all_words = dictionary.build_dictionary(docs, ["text"])
+    coded = dictionary.encode(docs, "doc_id", {"text": "ids"}, all_words)
+    back = dictionary.decode(coded.select("doc_id", "ids"), "doc_id", "ids", all_words, col="words")
+    return back.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.md5(joined(F.col("ids"))).alias("ids"), F.md5("words").alias("words")
+    )
+
+
+@query
+def dictionary_rare(spark, sf_dir):
+    """The same with few words in the tasks and the others joined; a word that stands once is unknown."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = dictionary.build_dictionary(docs, ["text"], min_count=2)
+    coded = dictionary.encode(docs, "doc_id", {"text": "ids"}, known, hot_bytes=0)
+    return coded.select("doc_id", F.md5(joined(F.col("ids"))).alias("ids"), F.size(F.filter("ids", lambda x: x == 1)).cast("bigint").alias("n_unknown"))
+
+
+@query
+def decode_conversations(spark, sf_dir):
+    """Labels of whole conversations back to text, through a dictionary of their words."""
+    texts = _dialogue_texts(spark, sf_dir)
+    known = dictionary.build_dictionary(texts, ["prompt_text", "completion_text"])
+    columns = {"prompt_text": "prompt_ids", "completion_text": "completion_ids"}
+    batch = collate.collate(collate.tokenise(texts, columns, dictionary.tokenizer(known)))
+    ids = batch.select("conv_id", evaluate.replace_ignored(F.col("labels"), 0).alias("ids"))
+    return dictionary.decode(ids, "conv_id", "ids", known).select("conv_id", "text")
+
+
 @query
 def decode_documents(spark, sf_dir):
     """Whole documents to ids and back."""
