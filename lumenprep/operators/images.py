@@ -2,11 +2,12 @@
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenprep.functions.draws import gate, hash52, pick
@@ -202,20 +203,48 @@ def add_noise(image: Column, sigma: int, seed: Column, channels: str = "all") ->
 # --- profile of real images ------------------------------------------------------------
 
 
-def real_profile(df: DataFrame, key: str, real_label: int = 0) -> DataFrame:
-    """``idx``, ``blur``, ``height``, ``width`` of every real image, numbered from 0."""
+def _measured(df: DataFrame, key: str, real_label: int) -> DataFrame:
     real = df.where(F.col("label") == real_label).select(
         F.col(key).alias("_key"), F.posexplode("images").alias("_image", "image")
     )
-    measured = real.select(
+    return real.select(
         "_key",
         "_image",
         blur_estimate(F.col("image")).alias("blur"),
         F.col("image.height").alias("height"),
         F.col("image.width").alias("width"),
     ).where("height > 0")
+
+
+def sampled_profile(df: DataFrame, key: str, size: int, seed: int, real_label: int = 0) -> DataFrame:
+    """A profile of at most ``size`` real images: those with the smallest seeded hashes, in their order, with ``hash``.
+
+    An even sample whatever the number of images, and mergeable: see ``merge_profiles``. Keys are unique.
+    """
+    measured = _measured(df, key, real_label)
+    hashed = measured.select(hash52(image_key(F.col("_key"), F.col("_image")), seed, "profile").alias("hash"), "blur", "height", "width")
+    return _smallest(hashed, size)
+
+
+def merge_profiles(profiles: Sequence[DataFrame], size: int) -> DataFrame:
+    """The sample of all images from samples of their parts (of ``size`` or more, with one seed), as if they were drawn together."""
+    if not profiles:
+        raise ValueError("there is no profile to merge")
+    columns = ("hash", "blur", "height", "width")
+    return _smallest(reduce(DataFrame.union, [p.select(*columns) for p in profiles]), size)
+
+
+def _smallest(hashed: DataFrame, size: int) -> DataFrame:
+    # Each task keeps its own smallest ones; ``size`` rows meet in one, and only those are numbered.
+    kept = stage(hashed.orderBy("hash", "blur", "height", "width").limit(size), "sample")
+    order = Window.orderBy("hash", "blur", "height", "width")
+    return kept.withColumn("idx", (F.row_number().over(order) - 1).cast("bigint")).select("idx", "blur", "height", "width", "hash")
+
+
+def real_profile(df: DataFrame, key: str, real_label: int = 0) -> DataFrame:
+    """``idx``, ``blur``, ``height``, ``width`` of every real image, numbered from 0."""
     # Measured once; what is sorted afterwards are numbers.
-    measured = stage(measured, "profile")
+    measured = stage(_measured(df, key, real_label), "profile")
     return global_index(measured, ["_key", "_image"], "idx").select("idx", "blur", "height", "width")
 
 

@@ -118,15 +118,36 @@ def rank_within(
     """1-based rank of each row inside its group, for groups of any size.
 
     A large group is spread over range partitions, and its rows meet the start of the
-    group in a join that a hot group does not slow down.
+    group in a join that a hot group does not slow down. Only the keys are sorted and
+    written; other columns meet their rank in one join by the keys, unique per row.
     """
-    indexed = stage(global_index(df, [group, *order_by], "_idx"), "rank")
+    keys = list(dict.fromkeys([group, *order_by]))
+    indexed = stage(global_index(df.select(*keys), keys, "_idx"), "rank")
     starts = stage(indexed.groupBy(group).agg(F.min("_idx").alias("_start")), "starts")
-    return (
+    ranked = (
         join_staged(indexed, starts, [group], spread="_idx")
         .withColumn(col, F.col("_idx") - F.col("_start") + 1)
-        .select(*df.columns, col)
+        .select(*keys, col)
     )
+    if set(df.columns) <= set(keys):
+        return ranked.select(*df.columns, col)
+    refuse_repeated(indexed, keys, "ranks")
+    return join_by_keys(df, ranked, keys).select(*df.columns, col)
+
+
+def refuse_repeated(df: DataFrame, keys: Sequence[str], what: str) -> None:
+    """Raise if two rows have the same keys; NULL counts as a value."""
+    repeated = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").agg(F.sum("_n").alias("n")).first()["n"]
+    if repeated:
+        raise ValueError(f"{what}: {repeated} rows share their order keys with others")
+
+
+def join_by_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], right_keys: Sequence[str] | None = None) -> DataFrame:
+    """Inner join on keys where NULL equals NULL; the keys of the right side vanish."""
+    named = dict(zip(right_keys or keys, range(len(keys))))
+    renamed = right.select(*[F.col(c).alias(f"_k{named[c]}") if c in named else F.col(c) for c in right.columns])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return left.join(renamed, on).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def hash_bucket(hashed: Column, bits: int) -> Column:

@@ -6,8 +6,9 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lumenprep.operators.index import global_index
+from lumenprep.operators.index import global_index, join_by_keys, refuse_repeated
 from lumenprep.operators.staging import stage
 
 
@@ -39,13 +40,24 @@ def add_column(
 ) -> DataFrame:
     """Columns of ``values`` beside the rows of ``df`` at the same place.
 
-    Both are numbered in their own order and joined on the number; they must have
-    equally many rows.
+    Both are numbered in their own order, by keys that are unique in it; they must have
+    equally many rows. Keys alone are sorted, written and paired by number; wide rows are read
+    once, and meet the pairs of keys in a join on each side.
     """
-    left = stage(global_index(df, order_by, "_row"), "rows")
-    right = stage(global_index(values, values_order, "_row"), "values")
+    sides = []
+    for side, keys, tag in ((df, order_by, "l"), (values, values_order, "r")):
+        named = side.select(*[F.col(c).alias(f"_{tag}{i}") for i, c in enumerate(keys)])
+        names = named.columns
+        sides.append((stage(global_index(named, names, "_row"), "rows"), names))
+    (left, left_names), (right, right_names) = sides
     n_left, n_right = left.count(), right.count()
     if n_left != n_right:
         raise ValueError(f"{n_right} values for {n_left} rows")
+    refuse_repeated(left, left_names, "rows")
+    refuse_repeated(right, right_names, "values")
+    pairs = left.join(right, "_row").drop("_row")
     new = [c for c in values.columns if c not in df.columns]
-    return left.join(right.select("_row", *new), "_row").drop("_row")
+    added = values.select(*[F.col(c).alias(f"_v{i}") for i, c in enumerate(values_order)], *[F.col(c).alias(f"_new_{c}") for c in new])
+    placed = join_by_keys(pairs, added, right_names, [f"_v{i}" for i in range(len(values_order))]).drop(*right_names)
+    joined = join_by_keys(df, placed, order_by, left_names)
+    return joined.select(*df.columns, *[F.col(f"_new_{c}").alias(c) for c in new])

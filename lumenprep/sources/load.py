@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from lumenprep.operators.index import file_offsets, with_file_offset
 from lumenprep.plans.spec import DatasetSpec
 from lumenprep.sources.schema import SOURCE_ORDER, reconcile
-from lumenprep.sources.slices import ends_by_files, ends_by_sort, parse_slices, slice_rows
+from lumenprep.sources.slices import ends_by_counting, ends_by_files, parse_slices, slice_rows
 
 def split_path(spec: DatasetSpec, split: str) -> str:
     """``path/config/split``; without a config ``path/split``."""
@@ -58,7 +58,7 @@ def with_row_key(
 def load_split(spark: SparkSession, spec: DatasetSpec, text: str) -> DataFrame:
     """Rows of ``text``: a split name, or slices of splits joined by ``+``."""
     terms = parse_slices(text)
-    ends = ends_by_sort if spec.id_column else ends_by_files
+    ends = ends_by_counting if spec.id_column else ends_by_files
 
     def sliced(name: str, piece: str) -> DataFrame:
         return slice_rows(read_split(spark, spec, name), piece, SOURCE_ORDER, ends=ends)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lumenprep.sources.schema import ENCODED_IMAGE, IMAGE
@@ -48,6 +48,26 @@ def write_prepared(
     writer.parquet(path)
 
 
+def write_checked(
+    df: DataFrame, path: str, bad: Column, counted: dict[str, Column] | None = None, mode: str = "errorifexists"
+) -> dict[str, int]:
+    """Write the good rows under ``path/bad=0`` and the others under ``path/bad=1``, and count both on the way.
+
+    One pass over ``df``: the counts (``n_rows``, ``n_bad``, and how many rows meet each condition of ``counted``) are
+    observed while the rows are written. A NULL condition does not hold. ``df`` must have no column ``bad``.
+    """
+    if any(c.lower() == "bad" for c in df.columns):
+        raise ValueError("the rows have a column named bad")
+    metrics = Observation()
+    marked = df.withColumn("bad", F.coalesce(bad, F.lit(False)).cast("int"))
+    conditions = {"n_bad": F.col("bad") == 1, **(counted or {})}
+    observed = marked.observe(
+        metrics, F.count(F.lit(1)).alias("n_rows"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(name) for name, c in conditions.items()]
+    )
+    observed.write.mode(mode).partitionBy("bad").option("compression", "zstd").parquet(path)
+    return {k: int(v) for k, v in metrics.get.items()}
+
+
 # Converted images leave a task in pieces of about this many bytes.
 OUTPUT_BYTES = 64 << 20
 

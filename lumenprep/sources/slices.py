@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenprep.operators.index import file_offsets, global_index
+from lumenprep.operators.selection import keys_at, selectable
 from lumenprep.operators.staging import stage
 
 _TERM = re.compile(
@@ -101,6 +102,22 @@ def ends_by_sort(df: DataFrame, order_by: Sequence[str]):
     return index.count(), keys
 
 
+def ends_by_counting(df: DataFrame, order_by: Sequence[str], **options):
+    """The same by counting passes over the order columns: nothing but small buckets is sorted.
+
+    For whole numbers and texts; other keys are sorted. ``options`` are those of ``selection.keys_at``.
+    """
+    if not selectable(df, order_by):
+        return ends_by_sort(df, order_by)
+    missing = reduce(Column.__or__, [F.col(c).isNull() for c in order_by])
+    leading = F.col(order_by[0])
+    first = df.agg(F.count("*").alias("n"), F.count_if(missing).alias("none"), F.min(leading).alias("low"), F.max(leading).alias("high")).first()
+    if first["none"]:
+        raise ValueError(f"{first['none']} rows have no order key, so they cannot be sliced")
+    bounds = first["n"], first["low"], first["high"]
+    return first["n"], lambda wanted: keys_at(df.select(*order_by), order_by, wanted, bounds, **options)
+
+
 def ends_by_files(df: DataFrame, order_by: Sequence[str], offsets: DataFrame | None = None):
     """The same for whole files ordered by (file, row): from the rows per file alone."""
     file, _ = order_by
@@ -122,13 +139,13 @@ def slice_rows(
     text: str,
     order_by: Sequence[str],
     term_col: str = "slice_term",
-    ends=ends_by_sort,
+    ends=ends_by_counting,
 ) -> DataFrame:
     """Rows of ``df`` in the slices of ``text``, each tagged with its place in the list.
 
     The keys (unique, not NULL) at the slice ends, two rows per term, become ordinary range
     filters on ``df``, which reach the scan; the rows themselves are not shuffled.
-    Overlapping terms repeat rows. ``ends`` finds those keys: by sorting the order columns,
+    Overlapping terms repeat rows. ``ends`` finds those keys: by counting or sorting the order columns,
     or from the sizes of whole files.
     """
     terms = parse_slices(text)

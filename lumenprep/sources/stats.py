@@ -10,14 +10,20 @@ PROFILE = "idx bigint, blur double, height int, width int"
 
 
 def write_profile(profile: DataFrame, path: str) -> None:
-    """Keep a profile for later jobs."""
-    profile.select("idx", "blur", "height", "width").write.parquet(path)
+    """Keep a profile for later jobs, with the hashes of a sample, so that it can be merged."""
+    hashes = [c for c in ("hash",) if c in profile.columns]
+    profile.select("idx", "blur", "height", "width", *hashes).write.parquet(path)
 
 
 def read_profile(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PROFILE).parquet(path)
 
 
+def read_sample(spark: SparkSession, path: str) -> DataFrame:
+    """A kept sample with its hashes, for ``merge_profiles``."""
+    return spark.read.schema(f"{PROFILE}, hash bigint").parquet(path)
+
+
 def profile_from_arrays(
     spark: SparkSession, blur_vals: Sequence[float], res_vals: Sequence[Sequence[int]]
 ) -> DataFrame:

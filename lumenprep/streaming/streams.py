@@ -19,6 +19,8 @@ from lumenprep.plans.spec import DatasetSpec, DegradeParams, check_eval_split
 from lumenprep.sources.load import split_path, with_row_key
 from lumenprep.sources.schema import SOURCE_ORDER, reconcile
 
+COUNTS = "_counts"  # not read with the rows
+
 
 def read_stream(
     spark: SparkSession, spec: DatasetSpec, split: str, max_files: int | None = None
@@ -72,9 +74,10 @@ def write_stream(
 ) -> StreamingQuery:
     """Parquet under ``path``, one folder per micro-batch.
 
-    With ``n_datasets`` the datasets are interleaved within each micro-batch (``pos``);
-    a stream has no order beyond it. A repeated micro-batch overwrites its own folder, and
-    leaves nothing staged.
+    With ``n_datasets`` the datasets are interleaved within each micro-batch, and ``pos`` goes on where the
+    micro-batch before ended: the number of rows of each is kept beside the rows, so that a restart goes on too.
+    No state is kept by dataset, so a large one is spread over tasks as in a batch job. A repeated
+    micro-batch overwrites its own folder, and leaves nothing staged.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -82,14 +85,26 @@ def write_stream(
             if n_datasets is not None:
                 narrow = stage(batch.select("example_id", "ds_pos", *SOURCE_ORDER), "keys")
                 require_unique(narrow, ["example_id"], "ids of the micro-batch")
+                before = rows_before(batch.sparkSession, path, batch_id)
                 place = interleave_position(narrow, SOURCE_ORDER, n_datasets)
-                batch = batch.join(place.select("example_id", "pos"), "example_id")
+                batch = batch.join(place.select("example_id", (F.col("pos") + F.lit(before)).alias("pos")), "example_id")
+                counts = narrow.agg(F.count("*").alias("n"))
+                counts.write.mode("overwrite").parquet(f"{path}/{COUNTS}/micro_batch={batch_id}")
             batch.write.mode("overwrite").parquet(f"{path}/micro_batch={batch_id}")
 
     writer = prepared.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def rows_before(spark: SparkSession, path: str, batch_id: int) -> int:
+    """Rows in the micro-batches before ``batch_id``, from the counts kept with them."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{COUNTS}")
+    if batch_id == 0 or not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return 0
+    kept = spark.read.schema("n bigint, micro_batch bigint").parquet(f"{path}/{COUNTS}")
+    return kept.where(F.col("micro_batch") < batch_id).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def stream_accuracy(
     answers: DataFrame, prediction: Column, label: Column, by: Sequence[str]
 ) -> DataFrame:

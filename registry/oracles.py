@@ -271,6 +271,17 @@ profile AS (
   FROM blurs JOIN (SELECT vec_id FROM embeddings WHERE label % 2 = 0) USING (vec_id))"""
 ORACLES["real_profile"] = f"""
 WITH {PIX}, {PROFILE} SELECT idx, round(blur, 6) AS blur, height, width FROM profile"""
+ORACLES["profile_sample"] = f"""
+WITH {PIX}, {PROFILE},
+hashed AS (SELECT {h52("CAST(vec_id AS VARCHAR) || '#0'", 'profile')} AS hash, blur FROM blurs JOIN embeddings USING (vec_id) WHERE label % 2 = 0)
+SELECT row_number() OVER (ORDER BY hash) - 1 AS idx, round(blur, 6) AS blur, CAST(8 AS INTEGER) AS height, CAST(8 AS INTEGER) AS width, hash
+FROM hashed ORDER BY hash LIMIT 100"""
+ORACLES["checked_messages"] = """
+SELECT role = 'system' AS bad, role, count(*) AS n_turns, (SELECT count(*) FROM conversations) AS n_rows,
+  (SELECT count(*) FROM conversations WHERE role = 'system') AS n_bad,
+  (SELECT count(*) FROM conversations WHERE role = 'assistant') AS n_answers,
+  (SELECT count(*) FROM conversations WHERE text = '') AS n_empty
+FROM conversations GROUP BY role"""
 ORACLES["profile_summary"] = f"""
 WITH {PIX}, {PROFILE}
 SELECT count(*) AS n_images, round(min(blur), 6) AS min_blur, round(max(blur), 6) AS max_blur,

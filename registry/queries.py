@@ -16,9 +16,9 @@ from lumenprep.plans.prepare import prepare
 from lumenprep.plans.session import ship_package
 from lumenprep.plans.spec import DatasetSpec, DegradeParams, JobSpec
 from lumenprep.sources.schema import ENCODED_IMAGE, reconcile
-from lumenprep.sources.sinks import write_prepared
+from lumenprep.sources.sinks import write_checked, write_prepared
 from lumenprep.sources.slices import slice_rows
-from lumenprep.sources.stats import read_profile, write_profile
+from lumenprep.sources.stats import read_profile, read_sample, write_profile
 from lumenprep.streaming import streams
 from registry.fixtures import (
     LANGUAGES,
@@ -453,6 +453,29 @@ def real_profile(spark, sf_dir):
     return profile.select("idx", F.round("blur", 6).alias("blur"), "height", "width")
 
 
+@query
+def profile_sample(spark, sf_dir):
+    """A sample of the real images, from two stored samples of halves of them."""
+    rows = gray_images(spark, sf_dir).withColumn("images", F.array("image"))
+    stored = []
+    for half in (0, 1):
+        stored.append(staged_path(spark, "sample"))
+        write_profile(images.sampled_profile(rows.where(F.pmod(F.col("vec_id"), F.lit(4)) == 2 * half), "vec_id", 100, SEED), stored[-1])
+    rest = images.sampled_profile(rows.where("vec_id % 2 = 1"), "vec_id", 200, SEED)
+    whole = images.merge_profiles([*[read_sample(spark, path) for path in stored], rest], 100)
+    return whole.select("idx", F.round("blur", 6).alias("blur"), "height", "width", "hash")
+
+
+@query
+def checked_messages(spark, sf_dir):
+    """Turns with their bad roles set aside and counted in the pass that writes them."""
+    turns = table(spark, sf_dir, "conversations")
+    path = staged_path(spark, "checked")
+    counts = write_checked(turns, path, F.col("role") == "system", {"n_answers": F.col("role") == "assistant", "n_empty": F.col("text") == ""})
+    back = spark.read.parquet(path).groupBy((F.col("bad") == 1).alias("bad"), "role").agg(F.count("*").alias("n_turns"))
+    return back.withColumns({name: F.lit(n).cast("bigint") for name, n in counts.items()})
+
+
 @query
 def profile_summary(spark, sf_dir):
     rows = gray_images(spark, sf_dir).withColumn("images", F.array("image"))
