@@ -72,7 +72,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     if getattr(_scopes, "paths", None) is not None:
         _scopes.paths.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged_path = path
+    return table
+
+
+def unstage(*tables: DataFrame | None) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for table in tables:
+        path = table.__dict__.pop("_staged_path", None) if table is not None else None
+        if path is not None:
+            _delete(table.sparkSession, path)
 
 
 def join_staged(
