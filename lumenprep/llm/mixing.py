@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenprep.llm.columns import number_of, numbered
 from lumenprep.functions.draws import HASH_BITS, hash52
 from lumenprep.llm.words import WORD_PATTERN
 
@@ -125,30 +126,28 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
 
     A document stands once per epoch that takes it. ``mix_words`` is its size, or fewer where
     the budget of its source ends inside it. Input rows that the mix does not reach are left out.
-    Columns of ``docs`` with those names give way to the new ones.
+    Columns of ``docs`` with those names give way to the new ones; all others, whatever their names, come through.
     """
-    ids = {k: options.get(k, v) for k, v in (("id_col", "doc_id"), ("source_col", "source"), ("text_col", "text"))}
     plan = plan_mix(docs, **options).where(F.col("taken") > 0)
     keys = plan.select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("text_hash").alias("_hash"),
+        F.col("doc_id").alias("id"), F.col("source").alias("src"), F.col("text_hash").alias("hash"),
         "size", "target", "taken",
     )
     new = ("mix_epoch", "mix_words", "mix_target")
-    rows = (
-        docs.drop(*new)
-        .withColumn("_text_hash", F.xxhash64(ids["text_col"]))
-        .dropDuplicates([ids["id_col"], ids["source_col"], "_text_hash"])
+    kept = docs.drop(*new)
+    own_id, own_source, own_text = (
+        number_of(kept, options.get(k, v)) for k, v in (("id_col", "doc_id"), ("source_col", "source"), ("text_col", "text"))
     )
+    rows = numbered(kept).withColumn("text_hash", F.xxhash64(own_text)).dropDuplicates([own_id, own_source, "text_hash"])
     # Where the hashes agree, equal ids and sources are asked of them, NULL included.
     joined = rows.join(
         keys,
-        (F.col("_text_hash") == F.col("_hash"))
-        & F.col(ids["id_col"]).eqNullSafe(F.col("_id"))
-        & F.col(ids["source_col"]).eqNullSafe(F.col("_src")),
+        (F.col("text_hash") == F.col("hash"))
+        & F.col(own_id).eqNullSafe(F.col("id"))
+        & F.col(own_source).eqNullSafe(F.col("src")),
     )
     last = F.floor((F.col("taken") - 1) / F.col("size")).cast("int")
     out = joined.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), last)))
     words = F.least(F.col("size"), F.col("taken") - F.col("mix_epoch") * F.col("size"))
-    return out.withColumn("mix_words", words).withColumn("mix_target", F.col("target")).select(
-        *docs.drop(*new).columns, *new
-    )
+    chosen = out.withColumn("mix_words", words).withColumn("mix_target", F.col("target"))
+    return chosen.select(*numbered(kept).columns, *new).toDF(*kept.columns, *new)
