@@ -9,7 +9,9 @@ Document hashes first pass a bitmap of the benchmark's hashes. It has a fixed si
 sent to every task whatever the benchmark's size; it lets all hits pass, and few others. What passes
 is joined with the benchmark by hash, exactly.
 
-Words are compared with A-Z lower-cased. Items of fewer than 8 words are not searched for. Items with
+Words are compared with A-Z lower-cased. Items of 20 words or more have masks that span 8 to 13 words, shorter ones
+narrower masks, and those of 3 to 7 words must stand in a document word for word. Items of one or two words
+would be found nearly everywhere and are not searched for. Items with
 equal texts count as one, under their smallest id. NULL texts are empty; repeated documents are
 reported one by one; NULL ids stay NULL. Without items or documents there are no rows.
 """
@@ -25,10 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenprep.llm.columns import number_of, numbered
 from lumenprep.llm.words import Block, PrefixHash, blocks, mix64
 from lumenprep.operators.staging import stage
 
 MASKS = ("11111111", "110101011011", "1110100110101", "1011001011101")
+SHORT_MASKS = ("111111", "11100111", "11011011", "110111", "111011", "1101011")
+SHORT_WORDS, WHOLE_WORDS, LEAST_WORDS = 20, 8, 3  # items under the first have short masks, under the second one that covers them
+WHOLE_MASKS = tuple("1" * n for n in range(LEAST_WORDS, WHOLE_WORDS))
+ALL_MASKS = (*MASKS, *SHORT_MASKS, *WHOLE_MASKS)
 FILTER_BITS = 26
 MIN_MATCHED = 13
 MIN_SHARE = 0.8  # of the words of an item shorter than that
@@ -64,24 +71,47 @@ def _bits(h: np.ndarray) -> tuple[np.ndarray, ...]:
     return h >> np.uint64(64 - FILTER_BITS), (h >> np.uint64(12)) & low, h & low
 
 
+def masks_of(n: int) -> tuple[str, ...]:
+    """Masks for an item of ``n`` words."""
+    if n >= SHORT_WORDS:
+        return MASKS
+    if n >= WHOLE_WORDS:
+        return SHORT_MASKS
+    return ("1" * n,) if n >= LEAST_WORDS else ()
+
+
+def needed(n: int, min_matched: int = MIN_MATCHED, min_share: float = MIN_SHARE) -> int:
+    """How many words of an item of ``n`` words must agree."""
+    return n if n < WHOLE_WORDS else min(min_matched, int(np.ceil(min_share * n)))
+
+
 def item_seeds(items: DataFrame) -> DataFrame:
-    """seed, item, item_pos of every mask at every position of ``items`` (item, text)."""
+    """seed, item, item_pos, mask (its number) of every mask of an item at every position of ``items`` (item, text)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             words, first = block_words(block)
             text_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
             ids = block.rows.column("item")
-            for mask in MASKS:
+            own = [masks_of(int(n)) for n in np.diff(first)]
+            for number, mask in enumerate(ALL_MASKS):
+                has = np.array([mask in masks for masks in own], dtype=bool)
                 h, at = seed_hashes(words, first, mask)
+                use = has[text_of[at]]
+                h, at = h[use], at[use]
                 rows = text_of[at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), ids.take(pa.array(rows)), pa.array((at - first[rows]).astype(np.int32))],
-                    names=["seed", "item", "item_pos"],
+                    [
+                        pa.array(h.view(np.int64)),
+                        ids.take(pa.array(rows)),
+                        pa.array((at - first[rows]).astype(np.int32)),
+                        pa.array(np.full(len(at), number, np.int32)),
+                    ],
+                    names=["seed", "item", "item_pos", "mask"],
                 )
 
     item = items.schema["item"].dataType.simpleString()
-    return items.mapInArrow(run, f"seed bigint, item {item}, item_pos int")
+    return items.mapInArrow(run, f"seed bigint, item {item}, item_pos int, mask int")
 
 
 def hash_filter(seeds: DataFrame) -> np.ndarray:
@@ -112,16 +142,16 @@ def passing(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return left
 
 
-def document_hits(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """Documents (doc_id, text) with a hash that passes the filter; ``seeds`` and ``places`` of all those."""
+def document_hits(docs: DataFrame, bitmap: np.ndarray, masks: tuple[str, ...] = MASKS) -> DataFrame:
+    """Documents (doc_id, text) with a hash of ``masks`` that passes the filter; ``seeds`` and ``places`` of all those."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = shared.value
         for block in blocks(batches, "text"):
             words, first = block_words(block)
-            seeds, places = [], []
-            for mask in MASKS:
+            seeds, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for mask in masks:
                 h, at = seed_hashes(words, first, mask)
                 left = passing(marks, h)
                 seeds.append(h[left])
@@ -195,8 +225,7 @@ def verify(pairs: DataFrame, min_matched: int, min_share: float, min_identity: f
                         matched = int(same[begin:end].sum())
                         if matched > best[0]:
                             best = (matched, end - begin, low + begin + d)
-                    need = min(min_matched, int(np.ceil(min_share * len(item))))
-                    if best[0] >= need:
+                    if best[0] >= needed(len(item), min_matched, min_share):
                         found.append((i, len(item), *best))
                 if found:
                     at, size, matched, aligned, start = (list(x) for x in zip(*found, strict=True))
@@ -237,7 +266,7 @@ def find_contamination(
 
     doc_id, text_hash (of the document), item_id, item_words, matched, aligned (words of the stretch, equal
     or not), at_word (where it begins). A pair is found if at least ``min_matched`` words agree (for short items
-    ``min_share`` of theirs), and ``min_identity`` of the stretch.
+    ``min_share`` of theirs, for those under 8 words all), and ``min_identity`` of the stretch.
     """
     items = (
         benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
@@ -247,7 +276,8 @@ def find_contamination(
     items = stage(items.select("item", "text"), "items")
     seeds = stage(item_seeds(items), "item_seeds")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    hits = stage(document_hits(rows, hash_filter(seeds)).withColumn("row", F.monotonically_increasing_id()), "hits")
+    used = tuple(ALL_MASKS[r["mask"]] for r in seeds.select("mask").distinct().orderBy("mask").collect())  # at most one row per mask
+    hits = stage(document_hits(rows, hash_filter(seeds), used).withColumn("row", F.monotonically_increasing_id()), "hits")
     candidates = (
         hits.select("row", F.explode(F.arrays_zip("seeds", "places")).alias("h"))
         .select("row", F.col("h.seeds").alias("seed"), F.col("h.places").alias("place"))
@@ -265,8 +295,9 @@ def find_contamination(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents in which an item was found; all columns as they were."""
+    """``docs`` without the documents in which an item was found; all columns as they were, whatever their names."""
     found = find_contamination(docs, benchmark, id_col, text_col, **options)
-    bad = stage(found.select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct(), "contaminated")
-    same = (F.xxhash64(F.col(text_col)) == F.col("_bad_hash")) & F.col(id_col).eqNullSafe(F.col("_bad_id"))
-    return docs.join(bad, same, "left_anti")
+    bad = stage(found.select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct(), "contaminated")
+    own_id, own_text = number_of(docs, id_col), number_of(docs, text_col)
+    same = (F.xxhash64(F.col(own_text)) == F.col("bad_hash")) & F.col(own_id).eqNullSafe(F.col("bad_id"))
+    return numbered(docs).join(bad, same, "left_anti").toDF(*docs.columns)

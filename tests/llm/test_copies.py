@@ -206,14 +206,16 @@ def test_items_in_documents(spark):
     docs += [(900 + i, " ".join(word() for _ in range(80))) for i in range(20)] + [(None, " ".join(items[5])), (7, None), (8, ""), (9, " ".join(items[4]) * 1), (9, " ".join(items[4]))]
     bench = [(i, " ".join(x)) for i, x in enumerate(items)] + [(50, " ".join(items[5])), (51, None), (52, "")]
     got = Counter((r.doc_id, r.item_id) for r in decontaminate.find_contamination(spark.createDataFrame([(*d, 1) for d in docs], "doc_id bigint, text string, seeds int"), spark.createDataFrame(bench, "item_id bigint, text string")).collect())
-    want = Counter()
+    want, bad = Counter(), set()
     for i, text in docs:
         for j, item in enumerate(items):
-            if len(item) >= 8 and best(item, (text or "").lower().split()) >= min(13, -(-8 * len(item) // 10)):
+            # Items under 8 words must stand there word for word.
+            if best(item, (text or "").lower().split()) >= (len(item) if len(item) < 8 else min(13, -(-8 * len(item) // 10))):
                 want[i, j] += 1
+                bad.add((i, text))
     assert got == want
     kept = decontaminate.drop_contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string"))
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, _ in docs if not any(k[0] == i for k in want)), key=str)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, text in docs if (i, text) not in bad), key=str)  # a clean row stays whatever others of its id hold
 
 
 def test_no_items_or_documents(spark):
@@ -259,3 +261,67 @@ def test_items_with_substitutions(spark):
     want = {i: best(items[i], text.split()) for i, text in docs}
     assert {r.doc_id: r.matched for r in found} == {i: m for i, m in want.items() if m >= min(13, -(-8 * len(items[i]) // 10))}
     assert all(r.doc_id == r.item_id and r.matched >= 0.75 * r.aligned for r in found) and len(found) > 60
+
+
+@pytest.mark.parametrize("n", range(3, 25))
+def test_recall_by_length_and_substitutions(n):
+    """Of the placements that the rule accepts, the masks hit at least nine in ten."""
+    rng = random.Random(n)
+    for k in range(5):
+        if k > n:
+            continue
+        accepted = found = 0
+        for _ in range(400):
+            gone = set(rng.sample(range(n), k))
+            begin, end = decontaminate.best_stretch(np.array([i not in gone for i in range(n)]), 0.75)
+            if end - begin - len(gone & set(range(begin, end))) < decontaminate.needed(n):
+                continue
+            accepted += 1
+            found += any(
+                all(c == "0" or o + j not in gone for j, c in enumerate(mask)) for mask in decontaminate.masks_of(n) for o in range(n - len(mask) + 1)
+            )
+        assert found >= 0.9 * accepted and (k or accepted)
+
+
+def test_short_items_stand_word_for_word(spark):
+    docs = [(1, "so a b c it is"), (2, "one two three four five six seven"), (3, "one two three FOUR five six"), (4, "a b"), (5, None)]
+    items = [(10, "a b c"), (11, "one two three four five six seven"), (12, "a b"), (13, "is")]
+    got = decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string"))
+    assert sorted((r.doc_id, r.item_id, r.matched) for r in got.collect()) == [(1, 10, 3), (2, 11, 7)]
+
+
+CLASHES = ("size", "taken", "target", "_id", "_tid", "_kept_id", "_bad_id", "tid", "kept_id", "bad_id", "hash", "src", "_0", "a.b")
+
+
+def test_columns_of_any_name_come_through(spark):
+    from lumenprep.llm import mixing
+
+    rows = [(i, "a text of several words that stands here " * (1 + i % 3), "s", *range(len(CLASHES))) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string, " + ", ".join(f"`{c}` int" for c in CLASHES))
+    items = spark.createDataFrame([(1, "no such words stand in any of them at all")], "item_id int, text string")
+    for out in (mixing.mix_sources(docs), near_dup.keep_one(docs), decontaminate.drop_contaminated(docs, items)):
+        assert out.columns[: len(docs.columns)] == docs.columns
+        got = out.collect()
+        assert got and all(tuple(r)[3 : 3 + len(CLASHES)] == tuple(range(len(CLASHES))) for r in got)
+
+
+def test_a_large_group_and_half_similar_outsiders(spark):
+    """A third of the texts are near copies of one; others share half of it, some of those are near copies of each other."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    base = [word() for _ in range(120)]
+    rows = []
+    for i in range(60):
+        text = list(base)
+        for _ in range(rng.randrange(4)):
+            text[rng.randrange(120)] = word()
+        rows.append((i, " ".join(text)))
+    for i in range(100, 140):
+        cut = rng.randrange(60, 100)
+        rows.append((i, " ".join(base[:cut] + [word() for _ in range(120 - cut)])))
+    for i in range(200, 220):
+        rows.append((i, rows[60 + i % 20][1] + f" {word()}"))
+    rows += [(300, rows[0][1])] * 20
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = near_dup.near_copies(docs, bands=60, band_rows=1).select("doc_id", "class_id").collect()
+    assert sorted(((r.doc_id, r.class_id) for r in got), key=str) == classes(rows)
