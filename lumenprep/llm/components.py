@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenprep.operators.staging import stage
+from lumenprep.operators.staging import stage, unstage
 
 
 def _stars(edges: DataFrame, larger: bool) -> DataFrame:
@@ -40,7 +40,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     current = stage(oriented.distinct(), "edges")
     before = None
     while (mark := _mark(current)) != before:
-        before = mark
-        current = stage(_stars(_stars(current, True), False), "edges")
+        before, last = mark, current
+        current = stage(_stars(_stars(last, True), False), "edges")
+        unstage(last)
     roots = current.select(F.col("a").alias("tid"), F.col("b").alias("root"))
-    return stage(roots.union(current.select("b", "b").distinct()), "components")
+    components = stage(roots.union(current.select("b", "b").distinct()), "components")
+    unstage(current)
+    return components

@@ -15,6 +15,10 @@ of its texts, those of small groups first, are compared with those of other grou
 link between two texts of a bucket is missing, and a large group of copies costs a comparison each and not one per pair.
 Groups are the connected components of the links.
 
+One minus the weighted Jaccard similarity is a metric. So a text's distance to the first one that its bucket was compared with,
+or what its size says of it, rules out all texts whose own distance differs by more than a link may be long. That leaves
+little for the outsiders of a large group to be compared with.
+
 Texts under five words are one shingle. Texts without words are near copies only of equal texts. NULL texts are empty.
 A group's id is its smallest doc_id (NULL if it has none).
 """
@@ -29,9 +33,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenprep.llm.columns import number_of, numbered
 from lumenprep.llm.components import connected_components
 from lumenprep.llm.words import Block, PrefixHash, blocks, mix64
-from lumenprep.operators.staging import stage
+from lumenprep.operators.staging import join_staged, stage, unstage
 
 WORDS = 5
 BANDS, ROWS = 24, 4
@@ -126,11 +131,19 @@ def text_id(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
+def distinct_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (tid, text) with each text once: of exact copies only the first of a batch gets a signature."""
+    for batch in batches:
+        codes = batch.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        _, first = np.unique(codes, return_index=True)
+        yield batch.take(pa.array(np.sort(first))) if len(first) < batch.num_rows else batch
+
+
 def text_bands(texts: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
     """key, tid, size (number of shingles): a row per band of every text of ``texts`` (tid, text) that has words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
+        for block in blocks(distinct_texts(batches), "text"):
             h, text_of = shingles(block, words)
             size = np.bincount(text_of, minlength=block.rows.num_rows)
             keys = band_keys(signatures(*weigh(h, text_of), block.rows.num_rows, bands * rows), bands, rows)
@@ -148,7 +161,7 @@ def text_bands(texts: DataFrame, bands: int, rows: int, words: int) -> DataFrame
 
 
 def overlap(pairs: DataFrame, threshold: float, words: int) -> DataFrame:
-    """(a, b) of ``pairs`` (a, b, text_a, text_b) whose multisets overlap enough."""
+    """a, b, near (whether their multisets overlap enough) and far (their distance) of ``pairs`` (a, b, text_a, text_b)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,23 +177,28 @@ def overlap(pairs: DataFrame, threshold: float, words: int) -> DataFrame:
                     (ka, ta, ca, na), (kb, _, cb, nb) = sides
                     _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
                     both = np.bincount(ta[ia], np.minimum(ca[ia], cb[ib]), minlength=n)
-                    like = np.flatnonzero(both >= threshold * (na + nb - both) - 1e-9)
-                    yield block.rows.select(["a", "b"]).take(pa.array(like))
+                    near = both >= threshold * (na + nb - both) - 1e-9
+                    far = 1 - both / np.maximum(na + nb - both, 1)
+                    yield pa.RecordBatch.from_arrays(
+                        [block.rows.column("a"), block.rows.column("b"), pa.array(near), pa.array(far)], names=["a", "b", "near", "far"]
+                    )
 
-    return pairs.mapInArrow(run, "a binary, b binary")
+    return pairs.mapInArrow(run, "a binary, b binary, near boolean, far double")
 
 
 def find_groups(rows: DataFrame, threshold: float, bands: int, band_rows: int, words: int) -> DataFrame:
     """Staged (tid, root) of the texts of ``rows`` (tid, text) that have near copies."""
     keyed = stage(text_bands(rows, bands, band_rows, words).distinct(), "bands")
     crowd = keyed.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
-    members = stage(keyed.join(crowd, "key"), "members")
-    central = members.groupBy("tid").agg(F.sum("_n").alias("central"))
-    members = stage(members.drop("_n").join(central, "tid"), "members")
-    # Texts that share a bucket, once each.
-    texts = stage(
-        rows.join(members.select("tid").distinct(), "tid", "left_semi").groupBy("tid").agg(F.any_value("text").alias("text")), "texts"
+    shared = stage(keyed.join(crowd, "key"), "members")
+    unstage(keyed)
+    central = shared.groupBy("tid").agg(F.sum("_n").alias("central"))
+    members = stage(
+        shared.drop("_n").join(central, "tid").withColumns({"low": F.lit(0.0), "high": F.lit(1.0)}), "members"
     )
+    unstage(shared)
+    # Texts that share a bucket, once each. An inner join, as a semi join would be moved before the grouping, and all copies of a text to one task.
+    texts = stage(rows.groupBy("tid").agg(F.any_value("text").alias("text")).join(members.select("tid").distinct(), "tid"), "texts")
     groups = None
     done = None  # (key, tid) of texts that were compared with all others of their bucket
     rests = None  # tid and rest: how many of a text's shingles stand in other texts as well
@@ -199,6 +217,7 @@ def find_groups(rows: DataFrame, threshold: float, bands: int, band_rows: int, w
             break
         if done is not None and rests is None:
             rests = stage(shared_shingles(waiting, texts, words), "rests")
+            unstage(waiting)
             continue
         # First the texts of small groups: when they are through, the large group has nothing left to meet.
         crowd = waiting.groupBy("key", "root").agg(F.count("*").alias("_crowd"))
@@ -208,12 +227,21 @@ def find_groups(rows: DataFrame, threshold: float, bands: int, band_rows: int, w
             waiting.join(crowd, ["key", "root"])
             .withColumn("_rank", F.row_number().over(order))
             .where(F.col("_rank") <= many)
-            .select("key", F.col("tid").alias("b"), F.col("root").alias("_root_b"), F.col("size").alias("_size_b"), F.col("rest").alias("_rest_b")),
+            .select(
+                "key", F.col("tid").alias("b"), F.col("root").alias("_root_b"), F.col("size").alias("_size_b"), F.col("rest").alias("_rest_b"),
+                F.col("low").alias("_low_b"), F.col("high").alias("_high_b"),
+            ),
             "pivots",
-        )
+        )
+        link = 1 - threshold + 1e-9
         pairs = (
             waiting.join(pivots, "key")
-            .where((F.col("root") != F.col("_root_b")) & possible(F.least("rest", "_rest_b"), F.col("size"), F.col("_size_b"), threshold))
+            .where(
+                (F.col("root") != F.col("_root_b"))
+                & possible(F.least("rest", "_rest_b"), F.col("size"), F.col("_size_b"), threshold)
+                & (F.col("low") - F.col("_high_b") <= link)
+                & (F.col("_low_b") - F.col("high") <= link)
+            )
             .select(F.least("tid", "b").alias("a"), F.greatest("tid", "b").alias("b"))
             .distinct()
         )
@@ -222,18 +250,37 @@ def find_groups(rows: DataFrame, threshold: float, bands: int, band_rows: int, w
             .join(texts.select(F.col("tid").alias("b"), F.col("text").alias("text_b")), "b")
             .select("a", "b", "text_a", "text_b")
         )
-        links = stage(overlap(wide, threshold, words), "links")
+        measured = stage(overlap(wide, threshold, words), "measured")
+        links = measured.where("near").select("a", "b")
         if links.limit(1).count():
             edges = links if groups is None else links.unionByName(groups.select(F.col("tid").alias("a"), F.col("root").alias("b")))
-            groups = connected_components(edges)
+            before, groups = groups, connected_components(edges)
+            unstage(before)
+        if done is None:
+            placed = stage(with_distances(members, pivots, measured), "members")
+            unstage(members)
+            members = placed
         through = pivots.select("key", F.col("b").alias("tid"))
-        done = stage(through if done is None else done.unionByName(through), "done")
+        before, done = done, stage(through if done is None else done.unionByName(through), "done")
+        unstage(before, pivots, measured, waiting)
         many = many * 4 if many > 1 else MORE_PIVOTS
     if groups is None:
         return members.select("tid", F.col("tid").alias("root")).limit(0)
     return groups
 
 
+def with_distances(members: DataFrame, pivots: DataFrame, measured: DataFrame) -> DataFrame:
+    """``members`` with bounds of their distance to the pivot of their bucket: equal where it was measured, else from the sizes."""
+    of = pivots.select("key", F.col("b").alias("_pivot"), F.col("_size_b"))
+    pairs = members.drop("low", "high").join(of, "key").withColumns({"a": F.least("tid", "_pivot"), "b": F.greatest("tid", "_pivot")})
+    sizes = F.least("size", "_size_b") / F.greatest("size", "_size_b")
+    low = F.when(F.col("tid") == F.col("_pivot"), 0.0).otherwise(F.coalesce("far", 1 - sizes))
+    high = F.when(F.col("tid") == F.col("_pivot"), 0.0).otherwise(F.coalesce("far", F.lit(1.0)))
+    return pairs.join(measured.select("a", "b", "far"), ["a", "b"], "left").select(
+        "key", "tid", "size", "central", low.alias("low"), high.alias("high")
+    )
+
+
 def possible(shared: Column, size: Column, other: Column, threshold: float) -> Column:
     """Whether two texts of these sizes can be near when at most ``shared`` shingles stand in both."""
     most = F.least(shared, size, other)
@@ -274,7 +321,7 @@ def near_copies(
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_id(F.col(text_col)).alias("tid"), F.coalesce(text_col, F.lit("")).alias("text"))
     groups = find_groups(rows.select("tid", "text"), threshold, bands, band_rows, words)
-    narrow = rows.select("doc_id", "tid").join(groups, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    narrow = join_staged(rows.select("doc_id", "tid"), groups, ["tid"], spread="doc_id", how="left").withColumn("root", F.coalesce("root", "tid"))
     # The smallest id that is not NULL comes first.
     least = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "tid"))
     firsts = narrow.groupBy("root").agg(least.alias("_first"))
@@ -284,10 +331,11 @@ def near_copies(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each group of near copies: the one with the smallest id. All columns as they were."""
+    """``docs`` with one row of each group of near copies: the one with the smallest id. All columns as they were, whatever their names."""
     classes = near_copies(docs, id_col, text_col, **options)
     kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("tid") == F.col("keep_tid")))
-    kept = stage(kept.select(F.col("doc_id").alias("_kept_id"), F.col("tid").alias("_kept_tid")).distinct(), "kept")
-    same = (F.col("_tid") == F.col("_kept_tid")) & F.col(id_col).eqNullSafe(F.col("_kept_id"))
-    joined = docs.withColumn("_tid", text_id(F.col(text_col))).join(kept, same, "left_semi")
-    return joined.dropDuplicates([id_col, "_tid"]).drop("_tid")
+    kept = stage(kept.select(F.col("doc_id").alias("kept_id"), F.col("tid").alias("kept_tid")).distinct(), "kept")
+    own_id, own_text = number_of(docs, id_col), number_of(docs, text_col)
+    same = (F.col("tid") == F.col("kept_tid")) & F.col(own_id).eqNullSafe(F.col("kept_id"))
+    joined = numbered(docs).withColumn("tid", text_id(F.col(own_text))).join(kept, same, "left_semi")
+    return joined.dropDuplicates([own_id, "tid"]).drop("tid").toDF(*docs.columns)
