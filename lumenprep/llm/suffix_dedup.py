@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenprep.llm.words import Block, PrefixHash, blocks, mix64
-from lumenprep.operators.staging import stage
+from lumenprep.operators.staging import join_staged, stage, unstage
 
 LENGTH = 400
 GRAM = 64
@@ -289,12 +289,18 @@ def find_repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, group_
     """
     spots = stage(find_spots(rows, length, gram), "spots")
     # Most anchors stand once in the corpus; only the others go on.
-    several = spots.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("anchor")
-    spots = stage(spots.join(several, "anchor"), "spots")
+    several = stage(spots.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("anchor"), "several")
+    every = spots
+    spots = stage(join_staged(every, several, ["anchor"], spread="doc_id"), "spots")
+    unstage(every, several)
     kinds = spots.groupBy("anchor", "ctx", "before", "after").agg(
         F.count("*").alias("n"), F.min(F.struct("text_hash", "pos", "doc_id")).alias("one")
     )
-    kinds = stage(kinds.join(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchor"), "kinds")
+    counted = stage(kinds, "kinds")
+    crowded = stage(counted.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > 1), "crowded")
+    met = join_staged(counted, crowded, ["anchor"], spread="ctx", how="left")
+    kinds = stage(met.withColumn("kinds", F.coalesce("kinds", F.lit(1).cast("bigint"))), "kinds")
+    unstage(counted, crowded)
     wanted = (
         kinds.where(F.col("kinds") > 1)
         .groupBy(F.col("one.text_hash").alias("_hash"), F.col("one.doc_id").alias("_id"))
@@ -309,7 +315,7 @@ def find_repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, group_
     equal = kinds.where(F.col("n") > 1).select("anchor", "ctx", F.greatest(F.lit(0), length - F.col("after")).alias("low"), F.col("before").alias("high")).where("low <= high")
     ranges = stage(expanded.unionByName(equal).groupBy("anchor", "ctx").agg(F.min("low").alias("low"), F.max("high").alias("high")), "ranges")
     spans = (
-        spots.join(ranges, ["anchor", "ctx"])
+        join_staged(spots, ranges, ["anchor", "ctx"], spread="doc_id")
         .select("doc_id", "text_hash", F.struct((F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + length).alias("end")).alias("span"))
         .groupBy("doc_id", "text_hash")
         .agg(F.collect_set("span").alias("spans"), F.lit(False).alias("whole"))
@@ -317,7 +323,7 @@ def find_repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, group_
     ids = stage(rows.where(F.octet_length("text") >= length).select("doc_id", "text_hash", F.unhex(F.md5("text")).alias("tid")), "ids")
     copies = ids.groupBy("tid").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("tid")
     none = F.array().cast(spans.schema["spans"].dataType)
-    whole = ids.join(copies, "tid").select("doc_id", "text_hash", none.alias("spans"), F.lit(True).alias("whole"))
+    whole = join_staged(ids, stage(copies, "copies"), ["tid"], spread="doc_id").select("doc_id", "text_hash", none.alias("spans"), F.lit(True).alias("whole"))
     both = spans.unionByName(whole).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.max("whole").alias("whole"))
     return stage(both.select("doc_id", "text_hash", "whole", F.when(F.col("whole"), none).otherwise(F.col("spans")).alias("spans")), "repeats")
 
