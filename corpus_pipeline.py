@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenprep.llm import decontaminate, line_dedup, mixing, near_dup, quality
-from lumenprep.operators.staging import stage
+from lumenprep.llm.sketch_groups import sketch_groups
+from lumenprep.operators.staging import join_staged, stage, staged_path, staging_scope
 from lumenprep.plans.session import ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -30,13 +31,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """host, text: of each source one text of every group of near copies, and every other text once."""
+    """host, text: of each source one text of every group of near copies, and every other text once.
+
+    The groups are those that fingerprints show, which takes DataFrame functions alone; the stage after this one searches exactly.
+    """
     texts = docs.select(F.coalesce("source", F.lit("")).alias("host"), near_dup.text_id(F.col("text")).alias("tid"), F.coalesce("text", F.lit("")).alias("text"))
-    groups = near_dup.find_groups(texts.select("tid", "text"), near_dup.THRESHOLD, near_dup.BANDS, near_dup.ROWS, near_dup.WORDS)
-    members = texts.select("host", "tid").join(groups, "tid")
+    groups = sketch_groups(texts.select("tid", "text"))
+    members = stage(join_staged(texts.select("host", "tid").distinct(), groups, ["tid"], spread="host"), "members")
     first = members.groupBy("host", "root").agg(F.min("tid").alias("tid")).select("host", "tid")
-    more = stage(members.select("host", "tid").distinct().join(first, ["host", "tid"], "left_anti"), "more_copies")
-    return texts.join(more, ["host", "tid"], "left_anti").dropDuplicates(["host", "tid"]).select("host", "text")
+    more = stage(members.join(first, ["host", "tid"], "left_anti").select("host", "tid", F.lit(True).alias("more")), "more_copies")
+    others = join_staged(texts, more, ["host", "tid"], spread="host", how="left").where(F.col("more").isNull())
+    return others.dropDuplicates(["host", "tid"]).select("host", "text")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,5 +88,9 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, apply in STAGES:
-        docs = stage(apply(spark, docs, sf_dir), name)
+        path = staged_path(spark, name)
+        with staging_scope(spark):  # what a stage puts aside is deleted with it
+            out = apply(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
     return docs
