@@ -70,12 +70,12 @@ def prepare_stream(
 
 def write_stream(
     prepared: DataFrame, path: str, checkpoint: str, n_datasets: int | None = None,
-    available_now: bool = True,
+    available_now: bool = True, continued: bool = False,
 ) -> StreamingQuery:
     """Parquet under ``path``, one folder per micro-batch.
 
-    With ``n_datasets`` the datasets are interleaved within each micro-batch, and ``pos`` goes on where the
-    micro-batch before ended: the number of rows of each is kept beside the rows, so that a restart goes on too.
+    With ``n_datasets`` the datasets are interleaved within each micro-batch (``pos``). ``continued`` lets ``pos`` go on
+    where the micro-batch before ended: the number of rows of each is kept beside the rows, so that a restart goes on too.
     No state is kept by dataset, so a large one is spread over tasks as in a batch job. A repeated
     micro-batch overwrites its own folder, and leaves nothing staged.
     """
@@ -85,11 +85,12 @@ def write_stream(
             if n_datasets is not None:
                 narrow = stage(batch.select("example_id", "ds_pos", *SOURCE_ORDER), "keys")
                 require_unique(narrow, ["example_id"], "ids of the micro-batch")
-                before = rows_before(batch.sparkSession, path, batch_id)
+                before = rows_before(batch.sparkSession, path, batch_id) if continued else 0
                 place = interleave_position(narrow, SOURCE_ORDER, n_datasets)
                 batch = batch.join(place.select("example_id", (F.col("pos") + F.lit(before)).alias("pos")), "example_id")
-                counts = narrow.agg(F.count("*").alias("n"))
-                counts.write.mode("overwrite").parquet(f"{path}/{COUNTS}/micro_batch={batch_id}")
+                if continued:
+                    counts = narrow.agg(F.count("*").alias("n"))
+                    counts.write.mode("overwrite").parquet(f"{path}/{COUNTS}/micro_batch={batch_id}")
             batch.write.mode("overwrite").parquet(f"{path}/micro_batch={batch_id}")
 
     writer = prepared.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)

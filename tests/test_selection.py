@@ -130,7 +130,7 @@ def test_places_of_a_stream_go_on(spark, tmp_path):
     def run():
         datasets = [DatasetSpec(n, path=p, schema=schema, id_column="id", image_type=ENCODED_IMAGE) for n, p in sources.items()]
         rows_ = streams.prepare_stream([(d, streams.read_stream(spark, d, "train", max_files=1)) for d in datasets])
-        streams.write_stream(rows_, str(tmp_path / "out"), str(tmp_path / "state"), n_datasets=2).awaitTermination()
+        streams.write_stream(rows_, str(tmp_path / "out"), str(tmp_path / "state"), n_datasets=2, continued=True).awaitTermination()
         return spark.read.parquet(str(tmp_path / "out")).orderBy("pos").collect()
 
     add(0, 5)
