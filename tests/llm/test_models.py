@@ -211,3 +211,72 @@ def test_lm_experts_learn_from_all_documents(spark, docs, monkeypatch):
     counts, prior = learned[-1]
     assert {i: n for i, n in enumerate(prior) if n} == want
     assert counts.sum(1) == pytest.approx([want[i] for i in range(subwords.size)], rel=1e-4, abs=0.01)
+
+
+def block_of(texts):
+    import pyarrow as pa
+
+    from lumenprep.llm.words import blocks
+
+    return next(blocks([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])], "text"))
+
+
+def test_lm_words_equal_a_plain_loop():
+    """Every subword by itself, with loops over places and experts, in place of blocks of windows."""
+    subwords = lm.Subwords.of(lm.TOKENIZER)
+    rng = np.random.default_rng(11)
+    model = lm.AttentionModel.start(subwords.size, subwords.end, np.append(np.tile([True, False, False], lm.TOPICS), False))
+    model.set_experts(rng.integers(0, 9, (subwords.size, 25)), rng.random(subwords.size), subwords.opens)
+    model.pairs = lm.Pairs(np.array([(500 << lm.PAIR_BITS) | 600], np.uint64), np.array([3]), subwords.opens)
+    t = lm.tokens_of(block_of(["", "one", "Unbelievably long-winded   sentences, again and again. " * 7, None, "é ß\n12345678"]), subwords)
+    first, rest = model.word_scores(t)
+    p = {k: x.astype(np.float64) for k, x in model.p.items()}
+    bounds = np.concatenate([[0], np.cumsum(t.sizes)])
+
+    def weights(ids, i):
+        start = i - i % lm.WIDTH
+        read = range(max(0, start - lm.CONTEXT), i + 1)
+        before = [subwords.end if j == 0 else ids[j - 1] for j in read]
+        x = [p["e"][s] + p["pos"][j - start + lm.CONTEXT] for s, j in zip(before, read, strict=True)]
+        raw = np.array([(x[-1] @ p["q"]) @ (y @ p["k"]) / math.sqrt(lm.DIM) for y in x])
+        a = np.exp(raw - raw.max())
+        y = x[-1] + (a / a.sum()) @ np.array([z @ p["v"] for z in x]) @ p["o"]
+        h = y + np.maximum(0, y @ p["w1"] + p["b1"]) @ p["w2"]
+        g = np.exp(h @ p["g"] + p["c"])
+        return (1 - lm.FLOOR) * g / g.sum() + lm.FLOOR / len(g), before[-1]
+
+    for a, b in zip(t.first[:-1], t.first[1:], strict=True):
+        ids = t.ids[bounds[a] : bounds[b]]
+        at = 0
+        for w in range(a, b):
+            logs = []
+            for i in range(at, at + t.sizes[w]):
+                g, before = weights(ids, i)
+                logs.append(math.log(sum(g * model.chances(np.array([before]), np.array([ids[i]]))[0])))
+            opening = math.log(weights(ids, at)[0][model.opens].sum())
+            at += t.sizes[w]
+            over = 0.0 if w == b - 1 else math.log(weights(ids, at)[0][model.opens].sum())
+            assert first[w] == pytest.approx(logs[0] - opening, abs=1e-3)
+            assert rest[w] == pytest.approx(sum(logs[1:]) + over, abs=1e-3)
+
+
+def test_lm_topics_equal_a_plain_loop():
+    subwords = lm.Subwords.of(lm.TOKENIZER)
+    table = np.random.default_rng(4).normal(size=(subwords.size, lm.TOPICS)).astype(np.float32)
+    t = lm.tokens_of(block_of(["", "incomprehensibilities of words " * 40, "a b", None]), subwords)
+    bounds = np.concatenate([[0], np.cumsum(t.sizes)])
+    want = []
+    for a, b in zip(bounds[t.first[:-1]], bounds[t.first[1:]], strict=True):
+        for i in range(a, b, lm.WIDTH):
+            end = min(b, i + lm.WIDTH)
+            topic = int(np.argmax(sum(table[s].astype(np.float64) for s in t.ids[i:end])))
+            for j in range(i, end):
+                place = j - bounds[np.searchsorted(bounds, j, "right") - 1]
+                want.append(topic * 3 + min(place, 2))
+    assert lm.topic_members(t, table).tolist() == want
+
+
+def test_lm_scores_better_than_base_on_held_out_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = lm.score_documents(docs).where("held_out").toPandas()
+    assert out.score.sum() > out.base_score.sum() + 0.03 * out.n_tokens.sum()
