@@ -2,9 +2,9 @@
 
 Ids of a hash may coincide; these cannot, and they run without gaps, as embedding tables need them. The words are counted
 with partial sums, then numbered by one range sort of the distinct ones. To encode, the most frequent words go to the
-tasks, as many as ``hot_bytes`` hold, and are looked up once per distinct word of a batch. Rows that hold other words
-meet the rest of the dictionary in a join; those words are the rare ones, and a word that the dictionary
-does not have is spread over tasks.
+tasks, as many as ``hot_bytes`` hold, and are looked up once per distinct word of a batch. Other words meet the rest of the
+dictionary in a join, once for each block of rows that has them (``blocks``), so neither a frequent word nor one that the
+dictionary does not have is hot.
 """
 
 from __future__ import annotations
@@ -14,18 +14,19 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenprep.functions.template import FIRST_TOKEN_ID, words
+from lumenprep.operators.blocks import BLOCK_ITEMS, Coder, code_blocks, fill_blocks, list_lengths, places_of, relist
 from lumenprep.operators.evaluate import decode_ids
 from lumenprep.operators.index import global_index, require_unique
-from lumenprep.operators.staging import BROADCAST_ROWS, join_staged, stage
+from lumenprep.operators.staging import BROADCAST_ROWS, stage
 
 UNKNOWN_ID = 1
 HOT_BYTES = 16 << 20  # of words in every task; a Python dictionary of them takes several times as much
 _STEP = 4096
-_COLD = -1
 
 Split = Callable[[Column], Column]
 
@@ -59,10 +60,15 @@ def hot_words(dictionary: DataFrame, hot_bytes: int) -> tuple[DataFrame, DataFra
     return dictionary.where(F.col("id") < cut), dictionary.where(F.col("id") >= cut)
 
 
-def _look_up(hot: DataFrame, missing: int) -> Callable[[Column], Column]:
-    """A function from a column of words to their ids; ``missing`` for words that are not there. Bounded by the caller."""
+def _shared(hot: DataFrame) -> Broadcast:
+    """Words and ids as a Python dictionary in every task. Bounded by the caller."""
     held = hot.select("token", "id").toArrow()
-    shared = hot.sparkSession.sparkContext.broadcast(dict(zip(held["token"].to_pylist(), held["id"].to_pylist(), strict=True)))
+    return hot.sparkSession.sparkContext.broadcast(dict(zip(held["token"].to_pylist(), held["id"].to_pylist(), strict=True)))
+
+
+def _look_up(hot: DataFrame, missing: int) -> Callable[[Column], Column]:
+    """A function from a column of words to their ids; ``missing`` for words that are not there."""
+    shared = _shared(hot)
 
     @F.arrow_udf("array<int>")
     def run(lists: pa.Array) -> pa.Array:
@@ -97,37 +103,48 @@ def encode(
     unknown_id: int = UNKNOWN_ID,
     hot_bytes: int = HOT_BYTES,
     broadcast_rows: int = BROADCAST_ROWS,
+    block_items: int = BLOCK_ITEMS,
 ) -> DataFrame:
     """``df`` with id columns: ``columns`` maps text column to id column. NULL texts have NULL ids.
 
     Rows are only joined, by ``key`` (unique, not NULL), where the tasks cannot hold the dictionary; the result is the same.
     """
     hot, rest = hot_words(dictionary, hot_bytes)
-    look_up = _look_up(hot, unknown_id if rest is None else _COLD)
     if rest is None:
+        look_up = _look_up(hot, unknown_id)
         return df.withColumns({out: look_up(split(F.col(text))) for text, out in columns.items()})
-    require_unique(df, [key], "rows to encode")
-    for text, out in columns.items():
-        df = _with_rest(df, key, text, out, look_up, rest, split, unknown_id, broadcast_rows)
-    return df
+    lists = {f"_words{i}": out for i, out in enumerate(columns.values())}
+    worded = df.select(key, *[split(F.col(text)).alias(c) for text, c in zip(columns, lists, strict=True)])
+    coded = code_blocks(worded, key, list(lists), "string", _coder(_shared(hot)), block_items)
+    require_unique(coded.where(F.col("_code").isNull()), [key], "rows to encode")
+    schema = ", ".join([f"`{key}` {df.schema[key].dataType.simpleString()}", *[f"`{out}` array<int>" for out in lists.values()]])
+    size = rest.agg(F.count("*").alias("rows"), F.sum(F.octet_length("token") + 8).alias("bytes")).first()
+    small = size["rows"] <= broadcast_rows and size["bytes"] <= HOT_BYTES
+    table = rest.select(F.col("token").alias("_item"), F.col("id").alias("_value"))
+    found = fill_blocks(coded, key, list(lists), table, unknown_id, _fill(lists), schema, small)
+    return df.drop(*lists.values()).join(found, key)
+
+
+def _coder(shared: Broadcast) -> Coder:
+    """The ids of words in the tasks' dictionary, and numbers below zero for the others of a block."""
+
+    def run(tokens: pa.Array, seen: dict) -> tuple[np.ndarray, np.ndarray]:
+        known, before = shared.value, len(seen)
+        names = tokens.to_pylist()
+        codes = np.array([known[w] if w in known else seen.setdefault(w, ~len(seen)) for w in names], dtype=np.int32)
+        return codes, np.flatnonzero(codes <= ~before)
 
+    return run
 
-def _with_rest(
-    df: DataFrame, key: str, text: str, out: str, look_up: Split, rest: DataFrame, split: Split, unknown_id: int, broadcast_rows: int
-) -> DataFrame:
-    """Ids from the tasks' dictionary, then those of the other words from the rest of it."""
-    narrow = stage(df.select(F.col(key).alias("_key"), split(F.col(text)).alias("_words")).withColumn("_ids", look_up(F.col("_words"))), "encoded")
-    places = F.filter(F.transform("_ids", lambda x, i: F.struct(i.alias("place"), x.alias("id"))), lambda p: p["id"] == _COLD)
-    cold = narrow.select("_key", F.explode(F.transform(places, lambda p: F.struct(p["place"], F.get("_words", p["place"]).alias("token")))).alias("_c"))
-    cold = cold.select("_key", "_c.place", "_c.token")
-    # One row per word that occurs, so a frequent word outside of the dictionary stands there once.
-    found = stage(cold.select("token").distinct().join(rest.select("token", "id"), "token"), "rare_words")
-    met = join_staged(cold, found, ["token"], spread="_key", broadcast_rows=broadcast_rows)
-    more = met.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("place", "id"))).alias("_more"))
-    whole = narrow.drop("_words").join(more, "_key", "left")
-    rare = lambda i: F.when(F.col("_more").isNotNull(), F.element_at("_more", i))
-    filled = F.transform("_ids", lambda x, i: F.when(x != _COLD, x).otherwise(F.coalesce(rare(i), F.lit(unknown_id))))
-    return df.drop(out).join(whole.select(F.col("_key").alias(key), filled.alias(out)), key)
+
+def _fill(lists: dict[str, str]) -> Callable[[str, pa.Array, np.ndarray, pa.Array], dict[str, pa.Array]]:
+    def run(name: str, coded: pa.Array, codes: np.ndarray, values: pa.Array) -> dict[str, pa.Array]:
+        flat = coded.flatten().to_numpy(zero_copy_only=False)
+        place, there = places_of(flat, codes)
+        ids = np.where(there, values.to_numpy(zero_copy_only=False)[place], flat) if len(codes) else flat
+        return {lists[name]: relist(pa.array(ids, pa.int32()), list_lengths(coded), coded.is_null())}
+
+    return run
 
 
 def decode(df: DataFrame, key: str, ids: str, dictionary: DataFrame, **options) -> DataFrame:

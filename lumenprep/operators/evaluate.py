@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenprep.functions.template import word_id, words
-from lumenprep.operators.collate import IGNORE
+from lumenprep.operators.blocks import BLOCK_ITEMS, code_blocks, fill_blocks, list_lengths, places_of
+from lumenprep.operators.collate import IDS, IGNORE
 from lumenprep.operators.index import require_unique
-from lumenprep.operators.staging import join_staged, stage
+from lumenprep.operators.staging import stage
 
 # Vocabularies up to this many bytes (tokens and ids) travel to the tasks.
 BROADCAST_VOCABULARY = 32 << 20
+_NO_ID = -(1 << 31)  # for numbers that no vocabulary of ints can have
 
 
 def argmax(scores: Column) -> Column:
@@ -56,34 +58,59 @@ def decode_ids(
     unknown: str = "",
     col: str = "text",
     broadcast_bytes: int = BROADCAST_VOCABULARY,
+    block_items: int = BLOCK_ITEMS,
 ) -> DataFrame:
     """``df`` with the text of ``ids``, special ids left out.
 
     A vocabulary of bounded size goes to the tasks and nothing is shuffled. A larger one
-    is joined to the exploded ids, frequent ones spread over tasks, and each row's tokens
-    come back together by ``key``. The result is the same: an id that stands twice in the
+    is joined to the distinct ids of blocks of rows (``blocks``). The result is the same: an id that stands twice in the
     vocabulary, and a ``key`` that is NULL or repeated, are errors either way.
     """
     vocab = stage(vocab.select(F.col("id").cast("int"), "token"), "vocabulary")
     require_unique(vocab, ["id"], "vocabulary")
-    require_unique(df, [key], "rows to decode")
-    kept = F.filter(F.col(ids), lambda x: ~x.isin(*special_ids)) if special_ids else F.col(ids)
     size = vocab.agg(F.coalesce(F.sum(F.octet_length("token") + 8), F.lit(0)).alias("bytes")).first()["bytes"]
     if size <= broadcast_bytes:
+        require_unique(df, [key], "rows to decode")
+        kept = F.filter(F.col(ids), lambda x: ~x.isin(*special_ids)) if special_ids else F.col(ids)
         return df.withColumn(col, _lookup_udf(df, vocab, joiner, unknown)(kept))
-    exploded = df.select(key, F.posexplode(kept).alias("_pos", "_id"))
-    tokens = vocab.withColumnRenamed("id", "_id")
-    named = join_staged(exploded, tokens, ["_id"], "_pos", "left", broadcast_rows=0).select(
-        key, F.struct("_pos", F.coalesce("token", F.lit(unknown)).alias("token")).alias("_item")
-    )
-    # A list has as many entries as the ids of its row.
-    texts = named.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("_item")), lambda x: x["token"]), joiner).alias(col)
-    )
-    joined = df.drop(col).join(texts, key, "left")
-    return joined.withColumn(
-        col, F.when(F.col(ids).isNotNull(), F.coalesce(col, F.lit("")))
-    )
+    # Ids come back from the blocks, so that nothing else of a table of keys and ids has to be joined.
+    plain = df.schema[ids].dataType.simpleString() == IDS
+    fits = F.transform(ids, lambda x: F.when(x.isNotNull(), F.coalesce(x.try_cast("int"), F.lit(_NO_ID))))
+    coded = code_blocks(df.select(key, (F.col(ids) if plain else fits).alias("_ids")), key, ["_ids"], "int", _code_ids, block_items)
+    require_unique(coded.where(F.col("_code").isNull()), [key], "rows to decode")
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, `_ids` {IDS}, `_text` string"
+    table = vocab.select(F.col("id").alias("_item"), F.col("token").alias("_value"))
+    texts = fill_blocks(coded, key, ["_ids"], table, unknown, _join_tokens(special_ids, joiner, unknown), schema)
+    others = [c for c in df.columns if c not in (key, ids, col)]
+    if others or not plain:
+        return df.drop(col).join(texts.select(key, F.col("_text").alias(col)), key)
+    return texts.select(*[F.col("_ids").alias(c) if c == ids else F.col(c) for c in df.columns if c != col], F.col("_text").alias(col))
+
+
+def _code_ids(ids: pa.Array, seen: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Ids are their own codes."""
+    values = ids.to_numpy(zero_copy_only=False).astype(np.int32)
+    before = seen.get("ids", np.zeros(0, np.int32))
+    new = np.flatnonzero(~places_of(values, before)[1])
+    seen["ids"] = np.union1d(before, values[new])
+    return values, new
+
+
+def _join_tokens(special_ids: Sequence[int], joiner: str, unknown: str):
+    def run(name: str, coded: pa.Array, codes: np.ndarray, values: pa.Array) -> dict[str, pa.Array]:
+        flat, lengths = coded.flatten(), list_lengths(coded)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        if special_ids:
+            kept = pc.and_(flat.is_valid(), pc.invert(pc.is_in(flat, pa.array(list(special_ids), pa.int32()))))
+            flat, row = flat.filter(kept), row[kept.to_numpy(zero_copy_only=False)]
+        place, there = places_of(flat.fill_null(0).to_numpy(zero_copy_only=False), codes)
+        there &= flat.is_valid().to_numpy(zero_copy_only=False)
+        tokens = values.take(pa.array(place, mask=~there)).fill_null(unknown)
+        ends = np.searchsorted(row, np.arange(len(lengths) + 1))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens, mask=coded.is_null())
+        return {name: coded, "_text": pc.binary_join(lists, pa.scalar(joiner, pa.large_string())).cast(pa.string())}
+
+    return run
 
 
 def _lookup_udf(df: DataFrame, vocab: DataFrame, joiner: str, unknown: str):

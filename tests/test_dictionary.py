@@ -107,3 +107,33 @@ def test_repeated_keys_are_refused_where_they_matter(spark, rows):
     built = dictionary.build_dictionary(rows, ["text"])
     with pytest.raises(ValueError, match="rows to encode"):
         dictionary.encode(rows.union(rows), "k", {"text": "ids"}, built, hot_bytes=0)
+
+
+@pytest.mark.parametrize("hot, limit", [(0, 0), (0, 200_000), (900, 0)])
+def test_blocks_of_few_items_and_two_columns(spark, texts, rows, monkeypatch, hot, limit):
+    """Codes start anew in each block, and columns of a row share them."""
+    monkeypatch.setattr(dictionary, "_STEP", 16)
+    built = dictionary.build_dictionary(rows, ["text"], min_count=2)
+    ids = {w: i for w, (i, _) in numbered(texts[0], 2).items()}
+    two = rows.withColumn("back", F.reverse("text")).withColumn("other", F.lit("x"))
+    coded = dictionary.encode(two, "k", {"text": "ids", "back": "back_ids"}, built, hot_bytes=hot, broadcast_rows=limit, block_items=5)
+    of = lambda t: None if t is None else [ids.get(w, 1) for w in WORD.findall(t)]
+    got = {r.k: (r.ids, r.back_ids, r.other) for r in coded.collect()}
+    assert got == {k: (of(t), of(t and t[::-1]), "x") for k, t in enumerate(texts[0])}
+    whole = dictionary.build_dictionary(rows, ["text"])
+    long = dictionary.encode(rows, "k", {"text": "ids"}, whole, hot_bytes=hot, block_items=7)
+    back = dictionary.decode(long.select("k", "ids"), "k", "ids", whole, broadcast_bytes=0, block_items=5).collect()
+    assert {r.k: r.text for r in back} == {k: None if t is None else " ".join(WORD.findall(t)) for k, t in enumerate(texts[0])}
+
+
+def test_words_meet_the_rest_once_a_block(spark, rows):
+    """Nothing has a row for each place of a word (the join had one), and the salted side was broadcast, which driver memory did not hold."""
+    from lumenprep.operators.blocks import code_blocks
+    from lumenprep.operators.staging import join_staged, stage
+
+    many = spark.range(20, numPartitions=1).select(F.col("id").alias("k"), F.split(F.repeat(F.lit("a b "), 500), " ").alias("w"))
+    coded = code_blocks(many, "k", ["w"], "string", dictionary._coder(spark.sparkContext.broadcast({})), 1 << 20)
+    assert sorted(r._item for r in coded.where("_code IS NOT NULL").collect()) == ["", "a", "b"]
+    small = stage(spark.range(10).withColumn("v", F.col("id")), "small")
+    joined = join_staged(spark.range(100).withColumn("s", F.col("id")), small, ["id"], "s", broadcast_rows=0)
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
