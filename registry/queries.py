@@ -918,7 +918,7 @@ def decode_conversations(spark, sf_dir):
     texts = _dialogue_texts(spark, sf_dir)
     known = dictionary.build_dictionary(texts, ["prompt_text", "completion_text"])
     columns = {"prompt_text": "prompt_ids", "completion_text": "completion_ids"}
-    batch = collate.collate(collate.tokenise(texts, columns, dictionary.tokenizer(known)))
+    batch = collate.collate(dictionary.encode(texts, "conv_id", columns, known))
     ids = batch.select("conv_id", evaluate.replace_ignored(F.col("labels"), 0).alias("ids"))
     return dictionary.decode(ids, "conv_id", "ids", known).select("conv_id", "text")
 

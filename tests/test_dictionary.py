@@ -137,3 +137,20 @@ def test_words_meet_the_rest_once_a_block(spark, rows):
     small = stage(spark.range(10).withColumn("v", F.col("id")), "small")
     joined = join_staged(spark.range(100).withColumn("s", F.col("id")), small, ["id"], "s", broadcast_rows=0)
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_conversations_with_a_dictionary_that_tasks_cannot_hold(spark, sf_dir, monkeypatch):
+    """The query raised as soon as the words had more bytes than the tasks take."""
+    from functools import partial
+
+    from registry.queries import REGISTRY
+
+    def digest():
+        return sorted((r.conv_id, r.text) for r in REGISTRY["decode_conversations"](spark, sf_dir).collect())
+
+    small = digest()
+    for name in ("encode", "tokenizer"):
+        monkeypatch.setattr(dictionary, name, partial(getattr(dictionary, name), hot_bytes=100, **({"broadcast_rows": 0} if name == "encode" else {})))
+    monkeypatch.setattr(dictionary, "decode", partial(dictionary.decode, broadcast_bytes=0))
+    monkeypatch.setattr(dictionary, "_STEP", 16)
+    assert digest() == small
