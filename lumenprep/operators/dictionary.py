@@ -104,15 +104,19 @@ def encode(
     hot_bytes: int = HOT_BYTES,
     broadcast_rows: int = BROADCAST_ROWS,
     block_items: int = BLOCK_ITEMS,
+    whole: bool = True,
 ) -> DataFrame:
     """``df`` with id columns: ``columns`` maps text column to id column. NULL texts have NULL ids.
 
+    Without ``whole`` only the key and the ids come back, and ids need not be joined to the other columns.
+
     Rows are only joined, by ``key`` (unique, not NULL), where the tasks cannot hold the dictionary; the result is the same.
     """
     hot, rest = hot_words(dictionary, hot_bytes)
     if rest is None:
         look_up = _look_up(hot, unknown_id)
-        return df.withColumns({out: look_up(split(F.col(text))) for text, out in columns.items()})
+        coded = df.withColumns({out: look_up(split(F.col(text))) for text, out in columns.items()})
+        return coded if whole else coded.select(key, *columns.values())
     lists = {f"_words{i}": out for i, out in enumerate(columns.values())}
     worded = df.select(key, *[split(F.col(text)).alias(c) for text, c in zip(columns, lists, strict=True)])
     coded = code_blocks(worded, key, list(lists), "string", _coder(_shared(hot)), block_items)
@@ -122,7 +126,7 @@ def encode(
     small = size["rows"] <= broadcast_rows and size["bytes"] <= HOT_BYTES
     table = rest.select(F.col("token").alias("_item"), F.col("id").alias("_value"))
     found = fill_blocks(coded, key, list(lists), table, unknown_id, _fill(lists), schema, small)
-    return df.drop(*lists.values()).join(found, key)
+    return df.drop(*lists.values()).join(found, key) if whole else found
 
 
 def _coder(shared: Broadcast) -> Coder:

@@ -896,8 +896,8 @@ def dictionary_documents(spark, sf_dir):
     """Whole documents to dense ids and back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     all_words = dictionary.build_dictionary(docs, ["text"])
-    coded = dictionary.encode(docs, "doc_id", {"text": "ids"}, all_words)
-    back = dictionary.decode(coded.select("doc_id", "ids"), "doc_id", "ids", all_words, col="words")
+    coded = dictionary.encode(docs, "doc_id", {"text": "ids"}, all_words, whole=False)
+    back = dictionary.decode(coded, "doc_id", "ids", all_words, col="words")
     return back.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.md5(joined(F.col("ids"))).alias("ids"), F.md5("words").alias("words")
     )
@@ -908,7 +908,7 @@ def dictionary_rare(spark, sf_dir):
     """The same with few words in the tasks and the others joined; a word that stands once is unknown."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     known = dictionary.build_dictionary(docs, ["text"], min_count=2)
-    coded = dictionary.encode(docs, "doc_id", {"text": "ids"}, known, hot_bytes=0)
+    coded = dictionary.encode(docs, "doc_id", {"text": "ids"}, known, hot_bytes=0, whole=False)
     return coded.select("doc_id", F.md5(joined(F.col("ids"))).alias("ids"), F.size(F.filter("ids", lambda x: x == 1)).cast("bigint").alias("n_unknown"))
 
 

@@ -121,8 +121,9 @@ def test_blocks_of_few_items_and_two_columns(spark, texts, rows, monkeypatch, ho
     got = {r.k: (r.ids, r.back_ids, r.other) for r in coded.collect()}
     assert got == {k: (of(t), of(t and t[::-1]), "x") for k, t in enumerate(texts[0])}
     whole = dictionary.build_dictionary(rows, ["text"])
-    long = dictionary.encode(rows, "k", {"text": "ids"}, whole, hot_bytes=hot, block_items=7)
-    back = dictionary.decode(long.select("k", "ids"), "k", "ids", whole, broadcast_bytes=0, block_items=5).collect()
+    long = dictionary.encode(rows, "k", {"text": "ids"}, whole, hot_bytes=hot, block_items=7, whole=False)
+    assert long.columns == ["k", "ids"]
+    back = dictionary.decode(long, "k", "ids", whole, broadcast_bytes=0, block_items=5).collect()
     assert {r.k: r.text for r in back} == {k: None if t is None else " ".join(WORD.findall(t)) for k, t in enumerate(texts[0])}
 
 
