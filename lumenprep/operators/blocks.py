@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from lumenprep.operators.staging import stage
 
 BLOCK_ITEMS = 4 << 20  # 16 MiB of codes; a longer list is a block of its own
+_PIECE_ITEMS = 1 << 19  # coded at once, for the memory of a worker
 _SLICE_ITEMS = 1 << 18
 _PARTITION_SHIFT = 33
 
@@ -65,7 +66,7 @@ def code_blocks(df: DataFrame, key: str, lists: Sequence[str], item: str, coder:
         for part in parts:
             types = {"_block": pa.int64(), key: part.column(key).type, **{c: pa.list_(pa.int32()) for c in lists}, "_code": pa.int32(), "_item": item_type}
             per_row = sum(list_lengths(part.column(c)) for c in lists)
-            for start, end in pieces(per_row, block_items):
+            for start, end in pieces(per_row, min(block_items, _PIECE_ITEMS)):
                 some = part.slice(start, end - start)
                 coded = {"_block": pa.array(np.full(end - start, block)), key: some.column(key)}
                 for name in lists:
