@@ -9,15 +9,12 @@ than all components found, so a signature costs little more than a point per shi
 
 Equal texts are one text from the start. Bands of the signature are buckets. In a bucket the most central text (the one
 with the most neighbours in all its buckets) is compared with the others by the exact multiset overlap, and texts that
-are in one group with it are done with. What is left is looked at again: shingles that stand in no other text bound the
-overlap of a text with any other, and comparisons that cannot reach the threshold by that bound are left out. While a bucket still holds texts of different groups, more
-of its texts, those of small groups first, are compared with those of other groups (256, 1024, ... a round). So in the end no
-link between two texts of a bucket is missing, and a large group of copies costs a comparison each and not one per pair.
-Groups are the connected components of the links.
-
-One minus the weighted Jaccard similarity is a metric. So a text's distance to the first one that its bucket was compared with,
-or what its size says of it, rules out all texts whose own distance differs by more than a link may be long. That leaves
-little for the outsiders of a large group to be compared with.
+are in one group with it are done with. The texts of buckets that still hold different groups meet through their rarest
+shingles: near texts must have one in common so early, in the order of all shingles by frequency, that what comes after it is enough for the overlap
+they need (a prefix filter, exact). Texts of a large group that differ from its others do so by rare shingles, so
+outsiders of the group meet the few that share those and not the whole group, and once however many buckets
+they share. So in the end no link between two texts of a bucket is missing, and a large group of copies costs a comparison each and not
+one per pair. Groups are the connected components of the links.
 
 Texts under five words are one shingle. Texts without words are near copies only of equal texts. NULL texts are empty.
 A group's id is its smallest doc_id (NULL if it has none).
@@ -41,7 +38,6 @@ from lumenprep.operators.staging import join_staged, stage, unstage
 WORDS = 5
 BANDS, ROWS = 24, 4
 THRESHOLD = 0.8
-MORE_PIVOTS = 256  # of a bucket in the second round of comparisons; four times as many in each later one
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -161,7 +157,7 @@ def text_bands(texts: DataFrame, bands: int, rows: int, words: int) -> DataFrame
 
 
 def overlap(pairs: DataFrame, threshold: float, words: int) -> DataFrame:
-    """a, b, near (whether their multisets overlap enough) and far (their distance) of ``pairs`` (a, b, text_a, text_b)."""
+    """a, b and near (whether their multisets overlap enough) of ``pairs`` (a, b, text_a, text_b)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,12 +174,9 @@ def overlap(pairs: DataFrame, threshold: float, words: int) -> DataFrame:
                     _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
                     both = np.bincount(ta[ia], np.minimum(ca[ia], cb[ib]), minlength=n)
                     near = both >= threshold * (na + nb - both) - 1e-9
-                    far = 1 - both / np.maximum(na + nb - both, 1)
-                    yield pa.RecordBatch.from_arrays(
-                        [block.rows.column("a"), block.rows.column("b"), pa.array(near), pa.array(far)], names=["a", "b", "near", "far"]
-                    )
+                    yield pa.RecordBatch.from_arrays([block.rows.column("a"), block.rows.column("b"), pa.array(near)], names=["a", "b", "near"])
 
-    return pairs.mapInArrow(run, "a binary, b binary, near boolean, far double")
+    return pairs.mapInArrow(run, "a binary, b binary, near boolean")
 
 
 def find_groups(rows: DataFrame, threshold: float, bands: int, band_rows: int, words: int) -> DataFrame:
@@ -193,106 +186,63 @@ def find_groups(rows: DataFrame, threshold: float, bands: int, band_rows: int, w
     shared = stage(keyed.join(crowd, "key"), "members")
     unstage(keyed)
     central = shared.groupBy("tid").agg(F.sum("_n").alias("central"))
-    members = stage(
-        shared.drop("_n").join(central, "tid").withColumns({"low": F.lit(0.0), "high": F.lit(1.0)}), "members"
-    )
+    members = stage(shared.drop("_n").join(central, "tid"), "members")
     unstage(shared)
     # Texts that share a bucket, once each. An inner join, as a semi join would be moved before the grouping, and all copies of a text to one task.
     texts = stage(rows.groupBy("tid").agg(F.any_value("text").alias("text")).join(members.select("tid").distinct(), "tid"), "texts")
-    groups = None
-    done = None  # (key, tid) of texts that were compared with all others of their bucket
-    rests = None  # tid and rest: how many of a text's shingles stand in other texts as well
-    many = 1
-    while True:
-        now = members.withColumn("root", F.col("tid")) if groups is None else members.join(groups, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-        left = now if done is None else now.join(done, ["key", "tid"], "left_anti")
-        if rests is None:
-            left = left.withColumn("rest", F.col("size"))
-        else:
-            smallest = left.groupBy("key").agg(F.min("size").alias("_smallest"))
-            left = left.join(rests, "tid").join(smallest, "key").where(possible(F.col("rest"), F.col("size"), F.greatest("_smallest", "rest"), threshold)).drop("_smallest")
-        open_keys = left.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where(F.col("_low") != F.col("_high")).select("key")
-        waiting = stage(left.join(open_keys, "key"), "waiting")
-        if not waiting.limit(1).count():
-            break
-        if done is not None and rests is None:
-            rests = stage(shared_shingles(waiting, texts, words), "rests")
-            unstage(waiting)
-            continue
-        # First the texts of small groups: when they are through, the large group has nothing left to meet.
-        crowd = waiting.groupBy("key", "root").agg(F.count("*").alias("_crowd"))
-        by_crowd = [F.col("_crowd")] if done is not None else []
-        order = Window.partitionBy("key").orderBy(*by_crowd, F.desc("central"), "tid")
-        pivots = stage(
-            waiting.join(crowd, ["key", "root"])
-            .withColumn("_rank", F.row_number().over(order))
-            .where(F.col("_rank") <= many)
-            .select(
-                "key", F.col("tid").alias("b"), F.col("root").alias("_root_b"), F.col("size").alias("_size_b"), F.col("rest").alias("_rest_b"),
-                F.col("low").alias("_low_b"), F.col("high").alias("_high_b"),
-            ),
-            "pivots",
-        )
-        link = 1 - threshold + 1e-9
-        pairs = (
-            waiting.join(pivots, "key")
-            .where(
-                (F.col("root") != F.col("_root_b"))
-                & possible(F.least("rest", "_rest_b"), F.col("size"), F.col("_size_b"), threshold)
-                & (F.col("low") - F.col("_high_b") <= link)
-                & (F.col("_low_b") - F.col("high") <= link)
-            )
-            .select(F.least("tid", "b").alias("a"), F.greatest("tid", "b").alias("b"))
-            .distinct()
-        )
-        wide = (
-            pairs.join(texts.select(F.col("tid").alias("a"), F.col("text").alias("text_a")), "a")
-            .join(texts.select(F.col("tid").alias("b"), F.col("text").alias("text_b")), "b")
-            .select("a", "b", "text_a", "text_b")
-        )
-        measured = stage(overlap(wide, threshold, words), "measured")
-        links = measured.where("near").select("a", "b")
-        if links.limit(1).count():
-            edges = links if groups is None else links.unionByName(groups.select(F.col("tid").alias("a"), F.col("root").alias("b")))
-            before, groups = groups, connected_components(edges)
-            unstage(before)
-        if done is None:
-            placed = stage(with_distances(members, pivots, measured), "members")
-            unstage(members)
-            members = placed
-        through = pivots.select("key", F.col("b").alias("tid"))
-        before, done = done, stage(through if done is None else done.unionByName(through), "done")
-        unstage(before, pivots, measured, waiting)
-        many = many * 4 if many > 1 else MORE_PIVOTS
+    by_centre = Window.partitionBy("key").orderBy(F.desc("central"), "tid")
+    ranked = members.withColumn("_rank", F.row_number().over(by_centre)).where(F.col("_rank") == 1)
+    first = stage(ranked.select("key", F.col("tid").alias("b"), F.col("size").alias("_size_b")), "pivots")
+    met = (
+        members.join(first, "key")
+        .where((F.col("tid") != F.col("b")) & possible(F.col("size"), F.col("_size_b"), threshold))
+        .select(F.least("tid", "b").alias("a"), F.greatest("tid", "b").alias("b"))
+        .distinct()
+    )
+    groups = linked(None, met, texts, threshold, words)
+    # Buckets whose texts are not all in one group yet.
+    now = with_roots(members, groups)
+    open_keys = now.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where(F.col("_low") != F.col("_high")).select("key")
+    waiting = stage(now.join(open_keys, "key").select("tid", "size", "root").distinct(), "waiting")
+    if waiting.limit(1).count():
+        before, groups = groups, linked(groups, sharing(waiting, texts, threshold, words), texts, threshold, words)
+        unstage(before)
+    unstage(members, first, waiting, texts)
+    return members.select("tid", F.col("tid").alias("root")).limit(0) if groups is None else groups
+
+
+def with_roots(members: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """``members`` with the ``root`` of their group, themselves if they have none."""
     if groups is None:
-        return members.select("tid", F.col("tid").alias("root")).limit(0)
-    return groups
-
-
-def with_distances(members: DataFrame, pivots: DataFrame, measured: DataFrame) -> DataFrame:
-    """``members`` with bounds of their distance to the pivot of their bucket: equal where it was measured, else from the sizes."""
-    of = pivots.select("key", F.col("b").alias("_pivot"), F.col("_size_b"))
-    pairs = members.drop("low", "high").join(of, "key").withColumns({"a": F.least("tid", "_pivot"), "b": F.greatest("tid", "_pivot")})
-    sizes = F.least("size", "_size_b") / F.greatest("size", "_size_b")
-    low = F.when(F.col("tid") == F.col("_pivot"), 0.0).otherwise(F.coalesce("far", 1 - sizes))
-    high = F.when(F.col("tid") == F.col("_pivot"), 0.0).otherwise(F.coalesce("far", F.lit(1.0)))
-    return pairs.join(measured.select("a", "b", "far"), ["a", "b"], "left").select(
-        "key", "tid", "size", "central", low.alias("low"), high.alias("high")
+        return members.withColumn("root", F.col("tid"))
+    return members.join(groups, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+
+
+def linked(groups: DataFrame | None, pairs: DataFrame, texts: DataFrame, threshold: float, words: int) -> DataFrame | None:
+    """``groups`` joined by the links among ``pairs`` (a, b), which are compared by their texts."""
+    wide = (
+        pairs.join(texts.select(F.col("tid").alias("a"), F.col("text").alias("text_a")), "a")
+        .join(texts.select(F.col("tid").alias("b"), F.col("text").alias("text_b")), "b")
+        .select("a", "b", "text_a", "text_b")
     )
+    links = stage(overlap(wide, threshold, words).where("near").select("a", "b"), "links")
+    edges = links if groups is None else links.unionByName(groups.select(F.col("tid").alias("a"), F.col("root").alias("b")))
+    out = connected_components(edges) if edges.limit(1).count() else None
+    unstage(links)
+    return out
 
 
-def possible(shared: Column, size: Column, other: Column, threshold: float) -> Column:
-    """Whether two texts of these sizes can be near when at most ``shared`` shingles stand in both."""
-    most = F.least(shared, size, other)
-    return most >= threshold * (size + other - most) - 1e-9
+def possible(size: Column, other: Column, threshold: float) -> Column:
+    """Whether two texts of these sizes can be near."""
+    return F.least(size, other) >= threshold * F.greatest(size, other) - 1e-9
 
 
-def shared_shingles(waiting: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """tid, rest: how many shingles of each text of ``waiting`` stand in another of them, with their weights.
+def sharing(waiting: DataFrame, texts: DataFrame, threshold: float, words: int) -> DataFrame:
+    """Pairs (a, b) of ``waiting`` (tid, size, root) that can be near and have different roots: a prefix filter.
 
-    Two of the texts overlap in no more than the smaller of their rests.
+    The shingles of all texts are put in one order, the rarest first. If the first that two texts have in common has so
+    many before it that what is left of either is less than the overlap they need, they are not near.
     """
-    sizes = waiting.select("tid", "size").distinct()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
@@ -300,10 +250,28 @@ def shared_shingles(waiting: DataFrame, texts: DataFrame, words: int) -> DataFra
             tids = block.rows.column("tid").take(pa.array(text_of))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), tids, pa.array(n)], names=["shingle", "tid", "n"])
 
-    held = texts.join(sizes, "tid", "left_semi").select("tid", "text").mapInArrow(run, "shingle bigint, tid binary, n bigint")
-    own = held.groupBy("shingle").agg(F.count("*").alias("_texts"), F.min("tid").alias("tid"), F.sum("n").alias("n")).where(F.col("_texts") == 1)
-    alone = own.groupBy("tid").agg(F.sum("n").alias("_alone"))
-    return sizes.join(alone, "tid", "left").select("tid", (F.col("size") - F.coalesce("_alone", F.lit(0))).alias("rest"))
+    named = texts.join(waiting.select("tid"), "tid").select("tid", "text")
+    held = stage(named.mapInArrow(run, "shingle bigint, tid binary, n bigint"), "shingles")
+    often = stage(held.groupBy("shingle").agg(F.count("*").alias("_texts")).where(F.col("_texts") > 1), "often")
+    placed = join_staged(held, often, ["shingle"], spread="tid", how="left").withColumn("_texts", F.coalesce("_texts", F.lit(1)))
+    before = Window.partitionBy("tid").orderBy("_texts", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("left", -F.coalesce(F.sum("n").over(before), F.lit(0))).join(waiting, "tid").withColumn("left", F.col("left") + F.col("size"))
+    early = stage(placed.where((F.col("_texts") > 1) & (F.col("left") >= threshold * F.col("size") - 1e-9)).select("shingle", "tid", "root", "size", "left"), "early")
+    share = threshold / (1 + threshold)  # of the sizes of two texts, what their overlap must have
+    # No text with the shingle is smaller than this, nor is a near one.
+    least = stage(early.groupBy("shingle").agg(F.min("size").alias("_smallest"), F.count("*").alias("_n")).where(F.col("_n") > 1).drop("_n"), "least")
+    enough = F.col("left") >= share * (F.col("size") + F.greatest("_smallest", threshold * F.col("size"))) - 1e-9
+    able = stage(join_staged(early, least, ["shingle"], spread="tid").where(enough).drop("_smallest"), "able")
+    # Of two texts of different roots, one is not of the root that most texts with the shingle have.
+    crowds = able.groupBy("shingle", "root").agg(F.count("*").alias("_n")).groupBy("shingle")
+    most = crowds.agg(F.max_by("root", F.struct("_n", "root")).alias("_most"), F.count("*").alias("_roots")).where(F.col("_roots") > 1).drop("_roots")
+    several = stage(join_staged(able, stage(most, "most"), ["shingle"], spread="tid"), "several")
+    others = several.where(F.col("root") != F.col("_most")).select("shingle", *[F.col(c).alias(f"_{c}") for c in ("tid", "root", "size", "left")])
+    need = share * (F.col("size") + F.col("_size")) - 1e-9
+    pairs = several.join(others, "shingle").where((F.col("root") != F.col("_root")) & (F.least("left", "_left") >= need))
+    found = stage(pairs.select(F.least("tid", "_tid").alias("a"), F.greatest("tid", "_tid").alias("b")).distinct(), "pairs")
+    unstage(held, often, early, least, able, several)
+    return found
 
 
 def near_copies(

@@ -97,6 +97,30 @@ def test_chain_in_a_large_bucket(spark):
     assert sorted((r.doc_id, r.class_id) for r in near_dup.near_copies(docs).collect()) == sorted(classes(rows))
 
 
+def test_outsiders_do_not_meet_a_whole_group(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(160)]
+
+    def changed(words, n, mark):
+        words = list(words)
+        for at in rng.sample(range(len(words)), n):
+            words[at] = f"{mark}x{at}"
+        return words
+
+    texts = [base] + [changed(base, 3, f"g{i}") for i in range(250)]
+    for i in range(40):  # outsiders in pairs, so none of their shingles is alone
+        one = changed(base, 6, f"o{i}")
+        texts += [one, changed(one, 1, f"p{i}")]
+    rows = [(i, " ".join(words)) for i, words in enumerate(texts)]
+    compared = []
+    overlap = near_dup.overlap
+    monkeypatch.setattr(near_dup, "overlap", lambda pairs, *options: compared.append(pairs.count()) or overlap(pairs, *options))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = near_dup.near_copies(docs, bands=24, band_rows=1).select("doc_id", "class_id").collect()
+    assert sorted(map(tuple, got)) == sorted(classes(rows))
+    assert sum(compared) < 10 * len(rows)
+
+
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert near_dup.near_copies(docs).count() == 0 and near_dup.keep_one(docs).count() == 0
