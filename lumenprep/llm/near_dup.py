@@ -240,7 +240,7 @@ def possible(size: Column, other: Column, threshold: float) -> Column:
 def sharing(waiting: DataFrame, texts: DataFrame, threshold: float, words: int) -> DataFrame:
     """Pairs (a, b) of ``waiting`` (tid, size, root) that can be near and have different roots: a prefix filter.
 
-    The shingles of all texts are put in one order, the rarest first. If the first that two texts have in common has so
+    The shingles of all texts are put in one order: those of a single root, which no pair needs, then the rarest first. If the first that two texts have in common has so
     many before it that what is left of either is less than the overlap they need, they are not near.
     """
 
@@ -248,15 +248,17 @@ def sharing(waiting: DataFrame, texts: DataFrame, threshold: float, words: int)
         for block in blocks(batches, "text"):
             h, text_of, n = weigh(*shingles(block, words))
             tids = block.rows.column("tid").take(pa.array(text_of))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), tids, pa.array(n)], names=["shingle", "tid", "n"])
-
-    named = texts.join(waiting.select("tid"), "tid").select("tid", "text")
-    held = stage(named.mapInArrow(run, "shingle bigint, tid binary, n bigint"), "shingles")
-    often = stage(held.groupBy("shingle").agg(F.count("*").alias("_texts")).where(F.col("_texts") > 1), "often")
-    placed = join_staged(held, often, ["shingle"], spread="tid", how="left").withColumn("_texts", F.coalesce("_texts", F.lit(1)))
-    before = Window.partitionBy("tid").orderBy("_texts", "shingle").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("left", -F.coalesce(F.sum("n").over(before), F.lit(0))).join(waiting, "tid").withColumn("left", F.col("left") + F.col("size"))
-    early = stage(placed.where((F.col("_texts") > 1) & (F.col("left") >= threshold * F.col("size") - 1e-9)).select("shingle", "tid", "root", "size", "left"), "early")
+            of = block.rows.column("of").take(pa.array(text_of))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), tids, of, pa.array(n)], names=["shingle", "tid", "of", "n"])
+
+    named = texts.join(waiting.select("tid", F.xxhash64("root").alias("of")), "tid").select("tid", "of", "text")
+    held = stage(named.mapInArrow(run, "shingle bigint, tid binary, of bigint, n bigint"), "shingles")
+    counted = held.groupBy("shingle").agg(F.count("*").alias("_texts"), F.min("of").alias("_low"), F.max("of").alias("_high"))
+    often = counted.where(F.col("_low") != F.col("_high")).select("shingle", "_texts")
+    # From the end of the order: what is left of a text at each of its shingles, the most that can be in common from there on.
+    onward = Window.partitionBy("tid").orderBy(F.desc("_texts"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = held.select("shingle", "tid", "n").join(often, "shingle").withColumn("left", F.sum("n").over(onward)).join(waiting, "tid")
+    early = stage(placed.where(F.col("left") >= threshold * F.col("size") - 1e-9).select("shingle", "tid", "root", "size", "left"), "early")
     share = threshold / (1 + threshold)  # of the sizes of two texts, what their overlap must have
     # No text with the shingle is smaller than this, nor is a near one.
     least = stage(early.groupBy("shingle").agg(F.min("size").alias("_smallest"), F.count("*").alias("_n")).where(F.col("_n") > 1).drop("_n"), "least")
@@ -270,7 +272,7 @@ def sharing(waiting: DataFrame, texts: DataFrame, threshold: float, words: int)
     need = share * (F.col("size") + F.col("_size")) - 1e-9
     pairs = several.join(others, "shingle").where((F.col("root") != F.col("_root")) & (F.least("left", "_left") >= need))
     found = stage(pairs.select(F.least("tid", "_tid").alias("a"), F.greatest("tid", "_tid").alias("b")).distinct(), "pairs")
-    unstage(held, often, early, least, able, several)
+    unstage(held, early, least, able, several)
     return found
 
 
