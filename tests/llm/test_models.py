@@ -280,3 +280,31 @@ def test_lm_scores_better_than_base_on_held_out_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = lm.score_documents(docs).where("held_out").toPandas()
     assert out.score.sum() > out.base_score.sum() + 0.03 * out.n_tokens.sum()
+
+
+def test_lm_learns_nothing_from_a_sample(spark, docs):
+    """Topics and gates came from at most ``sample_documents`` pieces, so scores changed with it."""
+    some = docs.limit(60)
+    a, b = ({r.doc_id: r.score for r in lm.score_documents(some, sample_documents=n).collect()} for n in (1, 2000))
+    assert a == b
+    subwords = lm.Subwords.of(lm.TOKENIZER)
+    counted, coded = lm.corpus_counts(some.select("text"), lm.TOKENIZER)
+    table = np.random.default_rng(4).normal(size=(subwords.size, lm.TOPICS)).astype(np.float32)
+    t = [lm.tokens_of(block_of([r.text]), subwords) for r in some.collect()]
+    want = sum(np.bincount(x.ids.astype(np.int64) * lm.MEMBERS + lm.topic_members(x, table), minlength=subwords.size * lm.MEMBERS) for x in t)
+    assert lm.topic_counts(coded, table, lm.TOKENIZER)[:, : lm.MEMBERS].ravel().tolist() == want.tolist()
+    cells = {r.key: r["count"] for r in counted.where("kind = 'cell'").collect()}
+    whole = sum(lm.together(x, lm.kind_of(subwords.size)) for x in t).ravel() * lm.CELL
+    assert all(abs(whole[i] - cells.get(i, 0)) < 0.01 * lm.CELL for i in range(len(whole)))
+
+
+def test_attention_of_counts_by_running_sums():
+    rng = np.random.default_rng(6)
+    m = lm.AttentionModel.start(50, 49, np.append(np.tile([True, False, False], lm.TOPICS), False))
+    m.set_weights(rng.integers(0, 9, (50, len(m.opens))).astype(float), rng.integers(0, 9, (50, 3)).astype(float))
+    ids = rng.integers(0, 50, (7, lm.CONTEXT + lm.WIDTH))
+    real = np.ones_like(ids, dtype=bool)
+    real[0, : lm.CONTEXT] = real[1, 20:] = False
+    plain = m.gates(ids, real, lm.WIDTH, {})
+    use = real[:, lm.CONTEXT :]
+    assert np.allclose(m.gates(ids, real, lm.WIDTH)[use], plain[use], atol=1e-5) and np.allclose(plain[use].sum(-1), 1, atol=1e-5)
