@@ -308,3 +308,35 @@ def test_attention_of_counts_by_running_sums():
     plain = m.gates(ids, real, lm.WIDTH, {})
     use = real[:, lm.CONTEXT :]
     assert np.allclose(m.gates(ids, real, lm.WIDTH)[use], plain[use], atol=1e-5) and np.allclose(plain[use].sum(-1), 1, atol=1e-5)
+
+
+def test_lm_tasks_get_small_batches(spark, docs, tmp_path, monkeypatch):
+    seen, bound = str(tmp_path / "seen"), spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    plain = type(docs).mapInArrow
+
+    def watched(self, run, schema):
+        def noted(batches):
+            def each():
+                for batch in batches:
+                    with open(seen, "a") as out:
+                        print(batch.nbytes, file=out)
+                    yield batch
+
+            return run(each())
+
+        return plain(self, noted, schema)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", watched)
+    long = docs.where("length(text) > 500").withColumn("text", F.substring(F.repeat("text", 200), 1, 100_000)).limit(60).coalesce(1)
+    assert lm.score_documents(long).count() == 60
+    sizes = [int(x) for x in open(seen)]
+    assert sum(sizes) > 6_000_000 and max(sizes) < lm.BATCH_BYTES + 2 * 100_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == bound
+
+
+def test_lm_stages_subwords_by_document(spark, docs):
+    some = docs.limit(50).select(F.coalesce("text", F.lit("")).alias("text"))
+    subwords = lm.Subwords.of(lm.TOKENIZER)
+    _, coded = lm.corpus_counts(some, lm.TOKENIZER)
+    t = [lm.tokens_of(block_of([r.text]), subwords) for r in some.collect()]
+    assert sorted(bytes(r.ids) for r in coded.collect()) == sorted(x.ids.astype(lm.id_type(subwords.size)).tobytes() for x in t)
