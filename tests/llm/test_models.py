@@ -340,3 +340,26 @@ def test_lm_stages_subwords_by_document(spark, docs):
     _, coded = lm.corpus_counts(some, lm.TOKENIZER)
     t = [lm.tokens_of(block_of([r.text]), subwords) for r in some.collect()]
     assert sorted(bytes(r.ids) for r in coded.collect()) == sorted(x.ids.astype(lm.id_type(subwords.size)).tobytes() for x in t)
+
+
+def test_lm_words_cut_together_equal_words_cut_alone():
+    subwords = lm.Subwords.of(lm.TOKENIZER)
+    odd = ["end.", ",start", "a" * 60, "1234567", "x.y", "日本語", "naïve", "é", "…", "don't", "A.B.", ".,;:!?-_()[]", "\x00", " b", "²", "🙂", "9é", "B2B", "--a--", "ﬁn٣"]
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(odd, 30)) for _ in range(40)] + ["".join(map(chr, rng.integers(1, 127, 300))) for _ in range(40)]
+    subwords.forget()
+    t = lm.tokens_of(block_of(texts), subwords)
+    alone = subwords.encoding.encode_ordinary
+    lower = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+    want = [[*(i for w in re.findall(r"[^\x20\x09-\x0D]+", x) for i in alone(" " + w.translate(lower))), subwords.end] for x in texts]
+    bounds = lm.window_starts(t)[0]
+    assert [t.ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == want
+    many = block_of([f"w{i}. v{i}" for i in range(20_000)])  # one call cuts a block's new words
+    calls = []
+    subwords.forget()
+    try:
+        subwords.encoding = type("Counted", (), {"encode_ordinary": staticmethod(lambda x: calls.append(1) or alone(x))})()
+        lm.tokens_of(many, subwords)
+    finally:
+        subwords.encoding = alone.__self__
+    assert len(calls) == 1
