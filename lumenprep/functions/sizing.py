@@ -45,20 +45,43 @@ def area_matched_size(
 
 
 def all_frames(n_frames: Column) -> Column:
-    """Indices of all frames; none for an empty video."""
-    return F.when(n_frames > 0, F.sequence(F.lit(0).cast("bigint"), n_frames.cast("bigint") - 1)).otherwise(
-        F.array().cast("array<bigint>")
+    """Indices of all frames; none for an empty video, NULL for one of unknown length."""
+    n = n_frames.cast("bigint")
+    return F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1)).when(
+        n <= 0, F.array().cast("array<bigint>")
     )
 
 
+def frame_range(n_frames: Column, block: int = 1 << 20) -> tuple[Column, Column]:
+    """How many frames ``all_frames`` lists, and the last one.
+
+    Of more than ``block`` frames that many are listed at a time, since a row cannot hold the list of a
+    long video. Without frames these are the number as given and one before it (0 and -1), and NULL if it
+    is not known.
+    """
+    n, size, nothing = n_frames.cast("bigint"), F.lit(block).cast("bigint"), F.lit(0).cast("bigint")
+    whole = all_frames(F.when(n <= size, n))
+
+    def add(listed: Column, first: Column) -> Column:
+        frames = all_frames(F.least(size, n - first))
+        count = listed["count"] + F.size(frames)
+        return F.struct(count.alias("count"), (first + F.element_at(frames, -1)).alias("last"))
+
+    start = F.struct(nothing.alias("count"), nothing.alias("last"))
+    listed = F.aggregate(F.sequence(nothing, n - 1, size), start, add)
+    count = F.when(n > size, listed["count"]).when(n > 0, F.size(whole)).otherwise(n)
+    last = F.when(n > size, listed["last"]).when(n > 0, F.element_at(whole, -1)).otherwise(n - 1)
+    return count, last
+
+
 def spread_frames(n_frames: Column, wanted: int) -> Column:
-    """At most ``wanted`` frame indices, spread evenly."""
+    """At most ``wanted`` frame indices, spread evenly; NULL for a video of unknown length."""
     n = n_frames.cast("bigint")
     k = F.least(n, F.lit(wanted).cast("bigint"))
     chosen = F.transform(
         F.sequence(F.lit(0).cast("bigint"), k - 1), lambda i: F.floor(i * n / k).cast("bigint")
     )
-    return F.when(n > 0, chosen).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n > 0, chosen).when(n <= 0, F.array().cast("array<bigint>"))
 
 
 def run_steps(

@@ -404,11 +404,11 @@ def area_matched_size(spark, sf_dir):
 @query
 def frame_indices(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    every = sizing.all_frames(F.col("n_chars"))
+    n_all, last = sizing.frame_range(F.col("n_chars"))
     return docs.select(
         "doc_id",
-        F.size(every).cast("bigint").alias("n_all"),
-        F.element_at(every, -1).alias("last"),
+        n_all.alias("n_all"),
+        last.alias("last"),
         joined(sizing.spread_frames(F.col("n_chars"), 30)).alias("spread"),
     )
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import oracle_sql, queries
 from lumenprep.functions import messages as M
 from lumenprep.functions import sizing, template
 from lumenprep.operators import collate
@@ -101,6 +103,24 @@ def test_frames_and_steps(spark):
     assert spark.range(1).select(steps).first()[0] == 175_000
 
 
+def test_frames_of_empty_and_unknown_texts(spark, tmp_path):
+    """A text of 0 or NULL characters ended the query; its rows are those of the SQL."""
+    counts = "VALUES (1, 0), (2, NULL), (3, 1), (4, 29), (5, 31), (6, 300000000) AS t(doc_id, n)"
+    docs = spark.sql(f"SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(n AS BIGINT) AS n_chars FROM {counts}")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries()["frame_indices"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    tables = oracle_sql()["frame_indices"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert [tuple(r) for r in found] == duckdb.sql(f"SELECT * FROM ({tables}) ORDER BY doc_id").fetchall()
+
+
+def test_frames_listed_in_blocks(spark):
+    df = spark.sql("SELECT * FROM VALUES (-1), (0), (1), (6), (7), (8), (20), (21), (NULL) AS t(n)")
+    got = df.select("n", *sizing.frame_range(F.col("n"), 7)).collect()
+    assert [tuple(r)[1:] for r in got] == [(r["n"], None if r["n"] is None else r["n"] - 1) for r in got]
+    unknown = df.where("n IS NULL").select(sizing.all_frames(F.col("n")), sizing.spread_frames(F.col("n"), 4)).first()
+    assert tuple(unknown) == (None, None)
+
+
 @pytest.mark.parametrize(
     "h, w, want",
     [(512, 512, (512, 512)), (100, 100, (512, 512)), (4000, 3000, (1312, 960)), (1, 1, (512, 512))],
