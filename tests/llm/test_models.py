@@ -363,3 +363,80 @@ def test_lm_words_cut_together_equal_words_cut_alone():
     finally:
         subwords.encoding = alone.__self__
     assert len(calls) == 1
+
+
+def coded_of(spark, *parts):
+    subwords = lm.Subwords.of(lm.TOKENIZER)
+    rows = [(bytearray(lm.tokens_of(block_of([x]), subwords).ids.astype(lm.id_type(subwords.size)).tobytes()),) for texts in parts for x in texts]
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, len(parts)), "ids binary")
+
+
+def test_lm_layer_is_fitted_to_all_documents(spark, docs, monkeypatch):
+    """Its weights followed from counts by formula, all places asked the same, and no gradient was taken."""
+    calls, plain = [], getattr(lm, "fitted", None)
+    monkeypatch.setattr(lm, "fitted", lambda *given: calls.append((*given, plain(*given))) or calls[-1][-1])
+    some = docs.limit(60)
+    lm.score_documents(some).collect()
+    start, coded, _, _, model = calls[0]
+    subwords = lm.Subwords.of(lm.TOKENIZER)
+    training = [lm.tokens_of(block_of([r.text]), subwords) for r in some.collect() if not held_out(r.doc_id, 10)]
+    assert coded.count() == len(training)
+    before, after = (sum(x.sum() for t in training for x in m.word_scores(t)) for m in (start, model))
+    assert after > before + 0.05 * sum(len(t.which) for t in training)
+    asked = model.p["q"].T @ model.p["e"].T
+    weights = asked[:, [300, 400, 500]].T @ (model.p["e"] @ model.p["k"]).T
+    assert np.ptp(weights - weights.mean(1, keepdims=True), axis=0).max() > 1e-3  # what is read depends on what reads
+    assert (model.p["e"] == start.p["e"]).all() and set(model.p) == set(start.p)
+
+
+def test_lm_layer_is_the_mean_of_tasks_by_windows(spark, docs):
+    subwords = lm.Subwords.of(lm.TOKENIZER)
+    texts = [r.text for r in docs.limit(12).collect()]
+    rng = np.random.default_rng(5)
+    model = lm.AttentionModel.start(subwords.size, subwords.end, np.append(np.tile([True, False, False], lm.TOPICS), False))
+    counts = rng.integers(0, 9, (subwords.size, 25)).astype(float)
+    model.pairs = lm.Pairs(np.array([(500 << lm.PAIR_BITS) | 600], np.uint64), np.array([3]), subwords.opens)
+    model.set_experts(counts, rng.random(subwords.size), subwords.opens)
+    model.set_weights(counts, rng.integers(0, 9, (subwords.size, 3)).astype(float))
+    table = rng.normal(size=(subwords.size, lm.TOPICS)).astype(np.float32)
+    given = [texts[:5]], [texts[5:10]], [texts[:5], texts[5:10]], [texts[5:11]]
+    one, two, both, more = (lm.fitted(model, coded_of(spark, *x), table, lm.TOKENIZER).p for x in given)
+    n = [sum(-(-len(lm.tokens_of(block_of([x]), subwords).ids) // lm.WIDTH) for x in some) for some in (texts[:5], texts[5:10])]
+    for k in model.p:
+        assert np.allclose(both[k], (n[0] * one[k] + n[1] * two[k]) / sum(n), atol=1e-5)
+    assert not np.allclose(one["g"], model.p["g"], atol=1e-3) and not np.array_equal(two["g"], more["g"])
+
+
+def test_lm_chances_leave_out_what_stands_there():
+    subwords = lm.Subwords.of(lm.TOKENIZER)
+    t = lm.tokens_of(block_of(["Unbelievably long-winded sentences, again and again. " * 3]), subwords)
+    ids, opens = t.ids.astype(np.int64), np.append(np.tile([True, False, False], lm.TOPICS), False)
+    place = lm.places_in_words(ids, subwords)
+    member = 6 + place
+
+    def model_of(left: int) -> lm.AttentionModel:
+        """Counted on all subwords but the one at ``left``."""
+        rest = np.arange(len(ids)) != left
+        counts, prior = np.zeros((subwords.size, 25)), np.bincount(ids, minlength=subwords.size)
+        np.add.at(counts, (ids[rest], member[rest]), 1)
+        at = np.flatnonzero(rest & ~subwords.opens[ids])
+        keys, n = np.unique((ids[at - 1] << lm.PAIR_BITS) | ids[at], return_counts=True)
+        into = np.bincount(ids[~subwords.opens[ids]], minlength=subwords.size)
+        m = lm.AttentionModel.start(subwords.size, subwords.end, opens)
+        m.set_experts(counts, prior, subwords.opens)
+        m.pairs = lm.Pairs(keys.astype(np.uint64), n, subwords.opens, into=into, after=np.bincount(ids[at - 1], minlength=subwords.size))
+        return m
+
+    whole = model_of(-1)
+    where = np.arange(len(ids))[None]
+    got = lm.chances_without(whole, whole.pairs, ids, where, member, np.ones_like(where, bool))[0]
+    for i in range(len(ids)):
+        want = model_of(i).chances(ids[[i - 1]], ids[[i]])[0]
+        own = [member[i], 24] if place[i] else [member[i]]
+        assert got[i, own] == pytest.approx(want[own], rel=0.02)
+
+
+def test_lm_fitted_layer_predicts_held_out_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = lm.score_documents(docs).where("held_out").toPandas()
+    assert out.score.sum() > out.base_score.sum() + 0.07 * out.n_tokens.sum()
