@@ -428,8 +428,7 @@ def test_lm_chances_leave_out_what_stands_there():
         return m
 
     whole = model_of(-1)
-    where = np.arange(len(ids))[None]
-    got = lm.chances_without(whole, whole.pairs, ids, where, member, np.ones_like(where, bool))[0]
+    got = lm.chances_without(whole, ids, np.arange(len(ids))[None], member, lm.inside_without(whole.pairs, ids))[0]
     for i in range(len(ids)):
         want = model_of(i).chances(ids[[i - 1]], ids[[i]])[0]
         own = [member[i], 24] if place[i] else [member[i]]
